@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from .fingerprints import op1_fingerprints
+from . import licenses
+from .licenses import op4_licenses
 from .media import op9_media
 from .mixing import op10_mixing
 from .sharding import op8_sharding
+from .simhash import op6_simhash
+from .urls import op5_urls
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op4_licenses": op4_licenses,
+    "op5_urls": op5_urls,
+    "op6_simhash": op6_simhash,
     "op8_sharding": op8_sharding,
     "op9_media": op9_media,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.ORACLE_SQL}
