@@ -38,7 +38,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes of the texts, start and end of each word in them, and the first word of each text.
 
     The last array has one entry more than there are texts.
@@ -46,7 +46,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     first = offsets[0]
     text = LOWER[data[first : offsets[-1]]]
     local = offsets - first
-    inside = ~WHITE[text]
+    inside = ~white[text]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()

@@ -7,12 +7,16 @@ from . import licenses
 from .licenses import op4_licenses
 from .media import op9_media
 from .mixing import op10_mixing
+from .pii import op3_pii
 from .sharding import op8_sharding
 from .simhash import op6_simhash
+from .toxicity import op2_toxicity
 from .urls import op5_urls
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_toxicity": op2_toxicity,
+    "op3_pii": op3_pii,
     "op4_licenses": op4_licenses,
     "op5_urls": op5_urls,
     "op6_simhash": op6_simhash,
