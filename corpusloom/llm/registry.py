@@ -7,6 +7,7 @@ from . import licenses
 from .licenses import op4_licenses
 from .media import op9_media
 from .mixing import op10_mixing
+from .pieces import op7_pieces
 from .pii import op3_pii
 from .sharding import op8_sharding
 from .simhash import op6_simhash
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_licenses": op4_licenses,
     "op5_urls": op5_urls,
     "op6_simhash": op6_simhash,
+    "op7_pieces": op7_pieces,
     "op8_sharding": op8_sharding,
     "op9_media": op9_media,
     "op10_mixing": op10_mixing,
