@@ -37,6 +37,11 @@ def word_count(column: str = "text") -> F.Column:
     return F.regexp_count(F.coalesce(F.col(column), F.lit("")), F.lit(WORD)).cast("long")
 
 
+def document_hash(key: str) -> F.Column:
+    """HASH_BITS bits that decide about a document: of its key, source and text."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.coalesce("source", F.lit("\0")), F.coalesce("text", F.lit(""))), 64 - HASH_BITS)
+
+
 def targets(sizes: list[int], weights: list[int], most: int = MOST) -> list[Fraction]:
     """What each source gets of the sum of sizes, by weight, at most so many times its size."""
     got = [Fraction(0)] * len(sizes)
@@ -91,8 +96,7 @@ def thresholds(rows: DataFrame, budgets: list[tuple[str | None, float]]) -> dict
 
 def mixed(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """For each document its source, size, source_size, target and copies (0 to most)."""
-    h = F.shiftrightunsigned(F.xxhash64(key, F.coalesce("source", F.lit("\0")), F.coalesce("text", F.lit(""))), 64 - HASH_BITS)
-    rows = written(docs.select(F.col(key), F.col("source"), word_count().alias("size"), h.alias("hash")), "mixing")
+    rows = written(docs.select(F.col(key), F.col("source"), word_count().alias("size"), document_hash(key).alias("hash")), "mixing")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
     sizes = sorted(((r["source"], r["size"] or 0) for r in sizes), key=lambda x: (x[0] is None, x[0] or ""))
     share = targets([n for _, n in sizes], [weights[i % len(weights)] for i in range(len(sizes))], most)
@@ -109,6 +113,20 @@ def mixed(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = WEIGH
     return out.withColumn("copies", F.col("_whole") + (F.col("hash") < F.col("_below")).cast("int")).select(key, "source", "size", "source_size", "target", "copies", "hash")
 
 
+def repeated(docs: DataFrame, mix: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs, each row as often as the mix takes it. mix: what mixed() returned for these docs.
+
+    Copies follow from a row's source and hash, so no text is shuffled: the plan has one row for
+    each source. The mix must be of the same rows.
+    """
+    ends = mix.groupBy("source").agg(F.max("copies").alias("_most"), F.min("copies").alias("_rest"), F.max(F.struct("copies", "hash")).alias("_top"))
+    cut = ends.select(F.col("source").alias("_source"), "_most", "_rest", F.col("_top.hash").alias("_cut"))
+    hashed = docs.withColumn("_hash", document_hash(key))
+    rows = hashed.join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("_source")))
+    times = F.when(F.col("_hash") <= F.col("_cut"), F.col("_most")).otherwise(F.col("_rest"))
+    return rows.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents: words taken of each."""
     rows = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))

@@ -71,7 +71,7 @@ def simhash(column: pa.Array, shingle: int = SHINGLE, words: int = 1) -> np.ndar
     """For each text `words` 64-bit fingerprints; the first is over XXH64 with seed 42, the others over hashes of it."""
     text, starts, ends, per = shingle_spans(column, shingle)
     first = hashing.xxh64_spans(text, starts, ends, SEED)
-    return np.stack([majority(first if k == 0 else hashing.mix(first + U64(k) * U64(0x9E3779B97F4A7C15)), per) for k in range(words)], axis=1)
+    return np.stack([majority(first if k == 0 else hashing.mix(first + U64(k * 0x9E3779B97F4A7C15 % 2**64)), per) for k in range(words)], axis=1)
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
