@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 from ..config import CHARS_PER_TOKEN
 
 
+_BLOCK = r"\A\x{FEFF}?---\r?\n((?s:.*?))\r?\n---[ \t]*\r?\n?"
+
+
 def frontmatter(text: Column) -> Column:
     """The block between --- lines at the very beginning, or null."""
-    found = F.regexp_extract(text, r"^\x{FEFF}?---[ \t]*\r?\n((?s:.*?))(?:\r?\n)?---[ \t]*(?:\r?\n|$)", 1)
-    return F.when(text.rlike(r"^\x{FEFF}?---[ \t]*\r?\n(?s:.*?)(?:(?<=\n)|\r?\n)---[ \t]*(?:\r?\n|$)"), found)
+    return F.when(text.rlike(_BLOCK), F.regexp_extract(text, _BLOCK, 1))
 
 
 def body(text: Column) -> Column:
-    """What follows the frontmatter; the whole text without one."""
-    return F.regexp_replace(text, r"\A\x{FEFF}?---[ \t]*\r?\n(?s:.*?)(?:(?<=\n)|\r?\n)---[ \t]*(?:\r?\n|\z)", "")
+    """What follows the frontmatter, byte for byte; the whole text without one."""
+    return F.regexp_replace(text, _BLOCK, "")
 
 
 def content_hash(text: Column) -> Column:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..config import MIN_CONTENT_CHARS, POOL_PER_ARM, RRF_K
@@ -26,7 +27,7 @@ def cosine_to(vectors: list[list[float]]):
     q = np.asarray(vectors, np.float64)
     q = q / np.linalg.norm(q, axis=1, keepdims=True)
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def similarities(v: pd.Series) -> pd.Series:
         x = np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, q.shape[1]))
         return pd.Series(list(x @ q.T / np.linalg.norm(x, axis=1, keepdims=True)))
@@ -103,7 +104,7 @@ def term_rank(terms_of_text: Column, terms: list[str]) -> Column:
     return total
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def cover_density(words: pd.Series, terms: pd.Series) -> pd.Series:
     """Cover-density rank: each shortest stretch that holds all terms adds weight by how little else it holds.
 
