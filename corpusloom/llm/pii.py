@@ -12,14 +12,14 @@ are fixed in it and cost no search. Weights are learned by the likelihood of who
 
 Defined cases: a null text is empty and has no spans. Positions are code points, ends exclusive.
 Kinds overlap where base patterns do; added spans overlap none. Equal texts have equal spans; long
-texts are searched as a whole, windows are at most MOST_WINDOW characters and start anew after that.
+texts are searched as a whole: windows that touch are one window, of any length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +30,8 @@ from pyspark.sql import types as T
 from .common import blocks, spread, table
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_TOKENS, MOST_WINDOW = 16, 160
+#: Tokens of a segment, and characters of a window on both sides of an anchor.
+MOST_TOKENS, AROUND = 16, 40
 #: An added span must beat leaving its tokens out by so much.
 MARGIN = 1.0
 
@@ -44,6 +45,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SIGN = re.compile(r"@|[(\[\s][aA][tT][)\]\s]")
 DOTTED = re.compile(r"\s?[\w-]+(?:\.|\s?[(\[]?\s?dot\b)", re.I)
 DIGITS = re.compile(r"[0-9](?:[\x20().+/\[\]-]{0,3}[0-9]){5,}")
+#: Four groups of at most three digits, each dot alone or in brackets or spaces, as in 10[.]0[.]0[.]1.
+DEFANGED = re.compile(r"(?<![0-9])[0-9]{1,3}(?:[\x20(\[]{0,2}\.[\x20)\]]{0,2}[0-9]{1,3}){3}(?![0-9])")
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s|.", re.S)
 ANNOUNCES = {
     "email": {"mail", "email", "contact", "correo", "courriel"},
@@ -89,18 +92,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of the text around anchors, each at most MOST_WINDOW characters, apart from each other."""
+    """Stretches of the text around anchors, apart from each other; what touches is one stretch."""
     anchors = [m.span() for m in SIGN.finditer(text) if m[0] == "@" or DOTTED.match(text, m.end())]
     anchors += [m.span() for m in DIGITS.finditer(text)]
+    anchors += [m.span() for m in DEFANGED.finditer(text)]
     start = end = -1
     for left, right in sorted(anchors):
-        a, b = max(left - 40, 0), min(right + 40, len(text), left + MOST_WINDOW - 40)
-        if a < end and b - start <= MOST_WINDOW:
+        a, b = max(left - AROUND, 0), min(right + AROUND, len(text))
+        if a <= end:
             end = max(end, b)
             continue
         if start >= 0:
             yield start, end
-        start, end = max(a, end), max(b, end)
+        start, end = a, b
     if start >= 0:
         yield start, end
 
@@ -148,9 +152,9 @@ def _segment_features(tokens: list[str], i: int, j: int, before: str, after: str
     return f
 
 
-def candidates(tokens: list[str]) -> list[tuple[int, int, np.ndarray]]:
-    """Segments that can be of a kind, each with features for every kind (rows)."""
-    out, n = [], len(tokens)
+def candidates(tokens: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Segments that can be of a kind, by their start, each with features for every kind (rows)."""
+    n = len(tokens)
     for i in range(n):
         before = tokens[i - 1][-1] if i else ""
         near = {w.lower() for w in tokens[max(0, i - 6) : i] if w.isalpha()}
@@ -159,27 +163,34 @@ def candidates(tokens: list[str]) -> list[tuple[int, int, np.ndarray]]:
             if f is not None:
                 rows = np.tile(np.array([f[k] for k in FEATURES]), (len(KINDS), 1))
                 rows[:, FEATURES.index("announced")] = [float(bool(near & ANNOUNCES[k])) for k in KINDS]
-                out.append((i, j, rows))
-    return out
+                yield i, j, rows
 
 
 def segment_scores(weights: np.ndarray, cands: list[tuple[int, int, np.ndarray]]) -> list[np.ndarray]:
     return [(weights * rows).sum(axis=1) for _, _, rows in cands]
 
 
-def decode(n: int, cands: list[tuple[int, int, np.ndarray]], scores: list[np.ndarray], margin: float = 0.0) -> list[tuple[int, int, int]]:
-    """The segmentation of highest score: segments (start, end, kind), a token outside scores 0."""
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
-    ending: dict[int, list[int]] = {}
-    for k, (_, j, _) in enumerate(cands):
-        ending.setdefault(j, []).append(k)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for k in ending.get(j, ()):
-            kind = int(scores[k].argmax())
-            value = best[cands[k][0]] + scores[k][kind] - margin
-            if value > best[j]:
-                best[j], back[j] = value, (cands[k][0], kind)
+def decode(n: int, scored: Iterable[tuple[int, int, np.ndarray]], margin: float = 0.0) -> list[tuple[int, int, int]]:
+    """The segmentation of highest score: segments (start, end, kind), a token outside scores 0.
+
+    Segments come with the scores of their kinds, by their start, and are not kept.
+    """
+    best, back, done = [0.0] + [-np.inf] * n, [None] * (n + 1), 0
+
+    def settle(to: int) -> None:
+        nonlocal done
+        while done < to:
+            done += 1
+            if best[done] <= best[done - 1]:
+                best[done], back[done] = best[done - 1], None
+
+    for i, j, scores in scored:
+        settle(i)
+        kind = int(scores.argmax())
+        value = best[i] + scores[kind] - margin
+        if value > best[j]:
+            best[j], back[j] = value, (i, kind)
+    settle(n)
     out, j = [], n
     while j > 0:
         if back[j] is None:
@@ -266,7 +277,7 @@ def weights(rounds: int = 6, rate: float = 0.3) -> np.ndarray:
     for text, spans in examples():
         tokens = [m for m in TOKEN.finditer(text)]
         starts, ends = {m.start(): k for k, m in enumerate(tokens)}, {m.end(): k + 1 for k, m in enumerate(tokens)}
-        cands = candidates([m[0] for m in tokens])
+        cands = list(candidates([m[0] for m in tokens]))
         truth = {(starts[a], ends[b]): kind for a, b, kind in spans}
         ready.append((len(tokens), cands, truth))
     for r in range(rounds):
@@ -298,8 +309,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]], w: np.ndarray, marg
             tokens = list(TOKEN.finditer(text, lo, hi))
             cands = candidates([m[0] for m in tokens])
             # a stretch may begin or end inside a token of the text
-            cands = [c for c in cands if not (c[0] == 0 and lo and text[lo - 1].isalnum() and text[lo].isalnum() or c[1] == len(tokens) and hi < len(text) and text[hi].isalnum() and text[hi - 1].isalnum())]
-            for i, j, kind in decode(len(tokens), cands, segment_scores(w, cands), margin):
+            cands = (c for c in cands if not (c[0] == 0 and lo and text[lo - 1].isalnum() and text[lo].isalnum() or c[1] == len(tokens) and hi < len(text) and text[hi].isalnum() and text[hi - 1].isalnum()))
+            for i, j, kind in decode(len(tokens), ((i, j, (w * rows).sum(axis=1)) for i, j, rows in cands), margin):
                 out.append((tokens[i].start(), kind, tokens[j - 1].end()))
     return out
 
