@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -41,5 +41,7 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components") -> Da
         if sign == mark or not sign["n"]:
             break
         mark = sign
-        now = written(_stars(_stars(now, True), False), name)
+        then = written(_stars(_stars(now, True), False), name)
+        dropped(now)
+        now = then
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
