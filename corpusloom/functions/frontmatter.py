@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+from typing import NamedTuple
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _BLOCK = re.compile(r"\ufeff?---\r?\n(.*?)\r?\n---[ \t]*\r?\n?", re.S)
-_PAIR = re.compile(r"([^\s:]+):(?:[ \t]+(.*))?")
-_INT = re.compile(r"[-+]?[0-9][0-9_]*")
-_FLOAT = re.compile(r"[-+]?(?:\.[0-9]+|[0-9][0-9_]*\.[0-9_]*)(?:[eE][-+]?[0-9]+)?")
 
 #: The words that YAML 1.1 reads as booleans and as null.
 TRUE_WORDS = ("yes", "Yes", "YES", "true", "True", "TRUE", "on", "On", "ON")
@@ -23,70 +21,117 @@ class Unreadable(ValueError):
     """A line that YAML would refuse, or a key that must not be guessed."""
 
 
+class Value(NamedTuple):
+    """What a line says: its kind (str, bool, int, float, null) and the value."""
+
+    kind: str
+    value: object
+
+    @property
+    def text(self) -> str | None:
+        if self.kind == "null":
+            return None
+        if self.kind == "float" and self.value.is_integer():
+            return str(int(self.value))
+        return str(self.value).lower() if self.kind == "bool" else str(self.value)
+
+
+def _words(words: tuple[str, ...]) -> str:
+    return "|".join(re.escape(w) for w in words)
+
+
+#: Characters up to a comment.
+_PLAIN = r"(?:(?![ \t]+\#).)*?"
+#: The scalars of a line as one alternation: the name of the alternative that takes all of it is its kind.
+_SCALAR = re.compile(
+    r'"(?P<double>.*)"'
+    r"|'(?P<single>.*)'"
+    rf"|(?:(?P<null>{_words(NULL_WORDS)})|(?P<bool>{_words(TRUE_WORDS + FALSE_WORDS)})"
+    r"|(?P<int>[-+]?[0-9][0-9_]*)"
+    r"|(?P<float>[-+]?(?:[0-9][0-9_]*\.[0-9_]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)"
+    rf"|(?P<node>[|>&*!{{\[]{_PLAIN})"
+    rf"|(?P<mapping>{_PLAIN}:(?:[ \t]{_PLAIN})?)"
+    rf"|(?P<str>{_PLAIN}))(?:[ \t]+(?:\#.*)?)?",
+    re.S,
+)
+#: How the text of each alternative becomes a value; block, flow and alias nodes are beyond this grammar and count as null.
+_READ = {
+    "double": lambda t: Value("str", re.sub(r'\\(["\\])', r"\1", t)),
+    "single": lambda t: Value("str", t.replace("''", "'")),
+    "null": lambda t: Value("null", None),
+    "node": lambda t: Value("null", None),
+    "bool": lambda t: Value("bool", t in TRUE_WORDS),
+    "int": lambda t: Value("int", int(t.replace("_", ""))),
+    "float": lambda t: Value("float", float(t.replace("_", ""))),
+    "str": lambda t: Value("str", t),
+}
+#: A line at the left margin: nothing, a comment, or a key with what follows it.
+_LINE = re.compile(r"(?P<skip>\s*(?:\#.*)?|[ \t].*)|(?P<key>[^\s:]+):(?:[ \t]+(?P<rest>.*))?")
+
+
 def split(text: str) -> tuple[str | None, str]:
     """The block and the body; a text without a block is all body."""
     found = _BLOCK.match(text)
     return (found[1], text[found.end() :]) if found else (None, text)
 
 
+def read_value(raw: str) -> Value:
+    """The value of a scalar, with its kind."""
+    found = _SCALAR.fullmatch(raw.strip())
+    kind = found.lastgroup if found else "mapping"
+    if kind == "mapping":
+        raise Unreadable(raw)
+    return _READ[kind](found[kind])
+
+
 def scalar(raw: str):
-    """The value of a scalar: str, bool, int, float or None. What YAML has beyond that is None."""
-    if len(raw) > 1 and raw[0] == raw[-1] == '"':
-        return raw[1:-1].replace('\\"', '"').replace("\\\\", "\\")
-    if len(raw) > 1 and raw[0] == raw[-1] == "'":
-        return raw[1:-1].replace("''", "'")
-    plain = re.sub(r"[ \t]+#.*$", "", raw).strip()
-    if plain in NULL_WORDS or plain[0] in "|>&*!{[":
-        return None
-    if plain in TRUE_WORDS or plain in FALSE_WORDS:
-        return plain in TRUE_WORDS
-    if _INT.fullmatch(plain):
-        return int(plain.replace("_", ""))
-    if _FLOAT.fullmatch(plain):
-        return float(plain.replace("_", ""))
-    if re.search(r":[ \t]", plain) or plain.endswith(":"):
-        raise Unreadable(plain)
-    return plain
+    """The value of a scalar: str, bool, int, float or None."""
+    return read_value(raw).value
+
+
+def values(text: str) -> dict[str, Value]:
+    """Top-level scalars with their kinds; one line that can't be read empties the map."""
+    lines = [_LINE.fullmatch(line) for line in re.split(r"\r?\n", split(text)[0] or "")]
+    try:
+        return {} if None in lines else {m["key"]: read_value(m["rest"] or "") for m in lines if m["key"]}
+    except Unreadable:
+        return {}
 
 
 def meta(text: str) -> dict:
-    """Top-level scalars; one line that can't be read empties the map."""
-    block, _ = split(text)
-    out = {}
-    for line in re.split(r"\r?\n", block or ""):
-        if not line.strip() or line.lstrip().startswith("#") or line[0] in " \t":
-            continue
-        pair = _PAIR.fullmatch(line)
-        try:
-            if pair is None:
-                return {}
-            out[pair[1]] = scalar((pair[2] or "").strip())
-        except Unreadable:
-            return {}
-    return out
+    return {k: v.value for k, v in values(text).items()}
 
 
 def list_values(text: str, key: str) -> list[str] | None:
     """The items of a block list under the key, or None."""
-    block, _ = split(text)
-    found = re.search(rf"^{re.escape(key)}:[ \t]*\r?\n((?:[ \t]*-[ \t]+.*(?:\r?\n|\Z))+)", (block or "") + "\n", re.M)
-    items = [re.sub(r"^[\"']|[\"']$", "", m.strip()).strip() for m in re.findall(r"^[ \t]*-[ \t]+(.*)$", found[1], re.M)] if found else []
+    items, inside = [], False
+    for line in re.split(r"\r?\n", split(text)[0] or ""):
+        item = re.fullmatch(r"[ \t]*-[ \t]+(.*)", line)
+        if inside and item:
+            items.append(item[1].strip().removeprefix('"').removeprefix("'").removesuffix('"').removesuffix("'").strip())
+        elif items:
+            break
+        else:
+            inside = line.rstrip(" \t") == f"{key}:"
     return [i for i in items if i] or None
 
 
 def governance(text: str) -> dict:
     """visibility, doc_status, owner, provenance and superseded_by; a visibility that can't be read raises."""
-    known = meta(text)
+    known = values(text)
 
     def word(key: str) -> str | None:
-        value = known.get(key)
-        return value.strip() or None if isinstance(value, str) else None
+        found = known.get(key)
+        return found.value.strip() or None if found and found.kind == "str" else None
+
+    def listed(key: str) -> list[str] | None:
+        return list_values(text, key)
 
-    written = re.search(r"^visibility:[ \t]*(.*)$", split(text)[0] or "", re.M)
-    if list_values(text, "visibility") is not None or written and word("visibility") is None:
+    named = any(line.startswith("visibility:") for line in (split(text)[0] or "").splitlines())
+    if named and (word("visibility") is None or listed("visibility")):
         raise Unreadable("visibility must be one readable value: an unreadable tier would count as none")
-    provenance = list_values(text, "provenance") or ([word("provenance")] if word("provenance") else None)
-    return {"visibility": word("visibility"), "doc_status": word("status"), "owner": word("owner"), "provenance": provenance, "superseded_by": word("superseded_by")}
+    one = word("provenance")
+    return {"visibility": word("visibility"), "doc_status": word("status"), "owner": word("owner"), "provenance": listed("provenance") or (one and [one]), "superseded_by": word("superseded_by")}
 
 
 def order_number(value) -> float:
@@ -98,14 +143,14 @@ def order_number(value) -> float:
     return number if math.isfinite(number) else math.inf
 
 
-META = T.MapType(T.StringType(), T.StringType())
+META = T.MapType(T.StringType(), T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())]))
 GOVERNANCE = T.StructType([T.StructField(n, T.StringType()) for n in ("visibility", "doc_status", "owner")] + [T.StructField("provenance", T.ArrayType(T.StringType())), T.StructField("superseded_by", T.StringType()), T.StructField("problem", T.StringType())])
 
 
 @F.udf(META, useArrow=True)
 def meta_of(text):
-    """Scalars as text: booleans as true and false, nulls kept as keys without a value."""
-    return None if text is None else {k: None if v is None else str(v).lower() if isinstance(v, bool) else str(v) for k, v in meta(text).items()}
+    """Scalars as (kind, text): booleans as true and false, nulls without a text."""
+    return None if text is None else {k: (v.kind, v.text) for k, v in values(text).items()}
 
 
 @F.udf(GOVERNANCE, useArrow=True)

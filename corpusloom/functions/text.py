@@ -5,8 +5,10 @@ White space here is Unicode's, (?U)\\s, in every function that speaks of it.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import CHARS_PER_TOKEN
 
@@ -41,11 +43,8 @@ def node_slug(name: Column) -> Column:
 def heading_slug(title: Column, cap: int = 60) -> Column:
     """As node_slug, at most cap characters, cut at a dash where there is one; may be empty."""
     full = _dashed(title)
-    cut = F.substring(full, 1, cap)
-    at_dash = F.regexp_replace(cut, "-[^-]*$", "")
-    inside = F.substring(full, cap + 1, 1)
-    shorter = F.when(inside == "-", cut).when(F.contains(cut, F.lit("-")), at_dash).otherwise(cut)
-    return F.regexp_replace(F.when(F.length(full) <= cap, full).otherwise(shorter), "-+$", "")
+    # the last dash within the cap, even where the cap falls on a word's end
+    return F.when(F.length(full) <= cap, full).otherwise(F.regexp_replace(F.substring(full, 1, cap), "-[^-]*$", ""))
 
 
 def heading_path_text(path: Column) -> Column:
@@ -54,8 +53,34 @@ def heading_path_text(path: Column) -> Column:
 
 
 def stable_id(path: Column, declared: Column) -> Column:
-    """The declared id if it isn't blank, else the path without its last suffix."""
-    return F.coalesce(F.nullif(F.trim(declared), F.lit("")), F.regexp_replace(path, r"\.[^./]+$", ""))
+    """The declared id if it is a text and not blank, else the path without its last suffix. declared: (kind, value)."""
+    text = F.when(declared["kind"] == "str", F.nullif(stripped(declared["value"]), F.lit("")))
+    return F.coalesce(text, without_suffix(path))
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def without_suffix(path: Column) -> Column:
+    """The path without the last suffix of its name; a name that begins with its only dot has none."""
+    return F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", "")
+
+
+@F.pandas_udf(T.StringType())
+def _titled(names: pd.Series) -> pd.Series:
+    return names.str.title()
+
+
+def humanized(stem: Column) -> Column:
+    """A name as a title: dashes and underscores as spaces, a capital after everything that is no letter (Rock'N'Roll)."""
+    return _titled(stripped(F.regexp_replace(stem, "[-_]+", " ")))
+
+
+def title_of(declared: Column, stem: Column) -> Column:
+    """The declared title unless it is null, empty, zero or false; else the name as a title. declared: (kind, value)."""
+    none = declared.isNull() | declared["value"].isNull() | (declared["value"] == "") | ((declared["kind"] != "str") & declared["value"].isin("0", "false"))
+    return F.when(none, humanized(stem)).otherwise(declared["value"])
 
 
 def source_id(path: Column) -> Column:
@@ -97,18 +122,49 @@ def est_tokens(chars: Column) -> Column:
 
 
 def without_diagrams(text: Column) -> Column:
-    """Every svg element, closed in itself or by its tag, as [diagram]."""
-    return F.regexp_replace(text, r"(?is)<svg\b[^>]*/>|<svg\b[^>]*>(?:(?!</svg\s*>).)*</svg\s*>", "[diagram]")
+    """Every svg element, closed in itself or by its tag, as [diagram]; a pair never spans another opening or closing tag."""
+    return F.regexp_replace(text, r"(?is)<svg\b[^>]*/>|<svg\b[^>]*>[^<]*+(?:<(?!/?svg\b)[^<]*+)*+</svg>", "[diagram]")
 
 
-#: Openings of phrases that address a reading model rather than a reader.
-DIRECTIVES = ("ignore (?:all |any )?(?:previous|prior|above) instructions", "disregard (?:all |any )?(?:previous|prior|above)", "you are now", "system prompt", "act as (?:a|an) ")
+#: Phrases that tell a reader to do something with the text.
+DIRECTIVES = (
+    r"paste (?:this|the following|it)\b",
+    r"copy (?:this|the following)\b",
+    r"prompt into your\b",
+    r"run (?:this|the following) (?:prompt|command|script)\b",
+    r"type the following\b",
+    r"give your agent (?:this|the following)\b",
+    r"drop (?:this|the following) into\b",
+)
 
 
 def directive_like(text: Column) -> Column:
     return text.rlike("(?i)" + "|".join(DIRECTIVES))
 
 
+def clean_cut(text: Column, limit: int) -> Column:
+    """The text within limit characters, cut at the last blank line of the second half where there is one."""
+    head, half = F.substring(text, 1, limit), limit // 2
+    tail = F.substring(head, half + 1, limit)
+    at = F.length(tail) - F.instr(F.reverse(tail), "\n\n")  # 1-based place of the last pair's first character
+    paragraph = F.substring(head, F.lit(1), F.lit(half) + at - 1)
+    return F.when(F.length(text) <= limit, text).when(F.contains(tail, F.lit("\n\n")), paragraph).otherwise(head)
+
+
+def yaml_scalar(value: Column) -> Column:
+    """A value as a YAML scalar: quoted as JSON where it would be read as something else."""
+    risky = F.contains(value, F.lit(": ")) | value.endswith(":") | F.contains(value, F.lit(" #")) | value.rlike(r"^[-?:,\[\]{}#&*!|>'\"%@`]") | (value != stripped(value))
+    quoted = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    return F.when(risky, quoted).otherwise(value)
+
+
+def resolved_from(path: Column, relative: Column) -> Column:
+    """A relative path seen from the folder of a path, without . and .. in it."""
+    steps = F.concat(F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1), F.split(relative, "/"))
+    walk = F.aggregate(F.filter(steps, lambda p: ~p.isin("", ".")), F.array().cast("array<string>"), lambda at, p: F.when(p == "..", F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0)))).otherwise(F.concat(at, F.array(p))))
+    return F.array_join(walk, "/")
+
+
 def link_targets(body_: Column) -> Column:
     """Destinations of inline and reference links, in that order."""
     inline = F.regexp_extract_all(body_, F.lit(r"\]\(\s*<?([^)\s>]+)>?[^)]*\)"), 1)

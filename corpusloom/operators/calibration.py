@@ -2,26 +2,111 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..durable import durable
+
 PRECISION = 0.95
 
-#: Questions that no corpus of documents here answers.
+#: Everyday questions that no corpus of documents here answers.
 PROBES = (
-    "what is the capital of mongolia",
-    "how do i descale a kettle",
-    "who won the chess olympiad in 1972",
-    "recipe for sourdough starter",
-    "distance from earth to the moon",
+    "What's for dinner tonight?",
+    "How do I file my taxes?",
+    "Who won the football game yesterday?",
+    "What's the weather this weekend?",
+    "How do I unclog a kitchen sink?",
+    "Best pizza place near me?",
+    "How do I renew my passport?",
+    "What time does the mall close?",
+    "Is it going to rain in Lahore tomorrow?",
+    "How do I reset my wifi router?",
+    "What's a good gift for a five year old?",
+    "How long do I boil an egg?",
+    "Which phone should I buy this year?",
+    "How do I get red wine out of a carpet?",
+    "What's the capital of Australia?",
+    "How much water should I drink per day?",
+    "Why is my car making a clicking noise?",
+    "How do I train a puppy not to bite?",
+    "What movies are playing this week?",
+    "How do I write a resignation letter?",
 )
 
 
+def probes(spark: SparkSession) -> DataFrame:
+    """The built-in questions from outside the corpus."""
+    return spark.createDataFrame([(i, q, False) for i, q in enumerate(PROBES)], "qid long, q string, in_corpus boolean")
+
+
+def embedded_count(chunks: DataFrame) -> DataFrame:
+    """Per generation how many chunks can be measured."""
+    return chunks.where("embedding_status = 'embedded'").groupBy("generation").agg(F.count(F.lit(1)).alias("embedded"))
+
+
+def scored(questions: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """questions (qid, q, in_corpus) with score: the similarity of the nearest chunk. A question without one fails."""
+    from .search import search_many
+
+    # embedded once, and searched apart from what follows
+    asked = durable(questions.select("qid", embed(F.col("q")).alias("vector")))
+    best = durable(search_many(chunks.select("chunk_id", "embedding"), asked, 1).select("qid", F.col("sim").alias("score")))
+    score = F.when(F.col("score").isNull(), F.raise_error(F.concat(F.lit("no score for "), F.col("q"))).cast("double")).otherwise(F.col("score"))
+    return questions.join(best, "qid", "left").withColumn("score", score)
+
+
+def weakest(points: DataFrame, n: int = 5) -> DataFrame:
+    """The n in-corpus questions of least score: they set the floor."""
+    return points.where("in_corpus").orderBy("score", "qid").limit(n)
+
+
+def report(points: DataFrame, generation: int | None, model: str, dim: int, door: str, precision: float = PRECISION) -> dict:
+    """What a calibration measured, one row of figures and the weakest questions. points: qid, q, in_corpus, score."""
+    m, f = margin(points).first(), floors(points, precision).first()
+    value, apart = paste_value(m["lowest_in"], m["highest_out"])
+    at = curve(points).where(F.col("floor").isin([x for x in (f["zero_false_abstention"], f["target_floor"]) if x is not None]))
+    counts = points.agg(F.count_if("in_corpus").alias("inside"), F.count_if(~F.col("in_corpus")).alias("outside")).first()
+    return {
+        "generation": generation, "model": model, "dim": dim, "door": door, "aurc": round(aurc(curve(points)).first()[0], 4), "margin": None if m["margin"] is None else round(m["margin"], 4),
+        "inside": counts["inside"], "outside": counts["outside"], "paste": value, "separable": apart, "precision": precision,
+        "floors": {r["floor"]: r.asDict() for r in at.collect()}, "zero": f["zero_false_abstention"], "target": f["target_floor"], "weakest": [(r["score"], r["q"]) for r in weakest(points).collect()],
+    }
+
+
+def rendered(r: dict) -> str:
+    """A report as text; a floor to paste only where the questions are apart."""
+    out = [f"generation {r['generation'] if r['generation'] is not None else 'unknown'}, model {r['model']}/d{r['dim']}, questions: {r['door']}", f"AURC = {r['aurc']} (lower is better)", f"margin = {r['margin']:.3f} over {r['inside']} inside and {r['outside']} outside"]
+    for name, floor in (("no question refused", r["zero"]), (f"precision {r['precision']}", r["target"])):
+        if floor is not None:
+            out.append(f"{name}: floor {floor:.3f}, coverage {r['floors'][floor]['coverage']:.3f}, risk {r['floors'][floor]['risk']:.3f}")
+    out += ["weakest questions:", *(f"  {score:.3f}  {q}" for score, q in r["weakest"])]
+    out.append(f"vector_floor: {r['paste']:.3f}" if r["separable"] else "vector_floor: uncalibrated  # questions inside and outside overlap: no floor tells them apart")
+    return "\n".join(out) + "\n"
+
+
+def calibrated(chunks: DataFrame, inside: DataFrame, embed: Callable[[Column], Column], outside: DataFrame | None = None, model: str = "fake", dim: int = 64, generation: int | None = None, door: str = "queries-file") -> dict:
+    """The whole run: questions inside (q) and outside (the built-in ones by default) scored against the chunks, and the report."""
+    own = inside.select((F.lit(1 << 32) + F.monotonically_increasing_id()).alias("qid"), "q", F.lit(True).alias("in_corpus"))
+    other = probes(inside.sparkSession) if outside is None else outside.select(F.monotonically_increasing_id().alias("qid"), "q", F.lit(False).alias("in_corpus"))
+    points = durable(scored(own.unionByName(other), chunks, embed))
+    return report(points, generation, model, dim, door)
+
+
+def against_baseline(measured: DataFrame, baseline: DataFrame) -> DataFrame:
+    """measured and baseline (metric, value; baseline: higher_is_better): the difference, and whether it got worse."""
+    both = measured.join(baseline.select("metric", F.col("value").alias("before"), "higher_is_better"), "metric")
+    delta = F.col("value") - F.col("before")
+    return both.withColumn("delta", delta).withColumn("worse", F.when(F.col("higher_is_better"), delta < 0).otherwise(delta > 0))
+
+
 def passages(chunks: DataFrame, per_node: int, node: str = "node_id", content: str = "content") -> DataFrame:
-    """The per_node passages of each node that come first by MD5 of their content."""
+    """The per_node passages of each node that come first by MD5 of their content: published prose, as far as the columns say."""
+    for column, value in (("status", "published"), ("source_type", "prose")):
+        chunks = chunks.where(F.col(column) == value) if column in chunks.columns else chunks
     w = Window.partitionBy(node).orderBy(F.md5(content), "chunk_id")
     return chunks.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_node)
 
@@ -58,11 +143,21 @@ def curve(points: DataFrame, buckets: int = 1024) -> DataFrame:
     )
 
 
-def aurc(curve_: DataFrame) -> DataFrame:
-    """Area under risk over coverage, by trapezoids from (0, 0). The curve has a row for each distinct score."""
-    w = Window.orderBy("coverage")  # a calibration set: some hundred questions
-    step = curve_.select("coverage", "risk", F.coalesce(F.lag("coverage").over(w), F.lit(0.0)).alias("c0"), F.coalesce(F.lag("risk").over(w), F.lit(0.0)).alias("r0"))
-    return step.agg(F.sum((F.col("coverage") - F.col("c0")) * (F.col("risk") + F.col("r0")) / 2).alias("aurc"))
+def aurc(curve_: DataFrame, ranges: int = 256) -> DataFrame:
+    """Area under risk over coverage, by trapezoids from (0, 0). The curve has a row for each distinct score.
+
+    Each range of coverage sums its own trapezoids; only the ranges' ends, at most `ranges` rows, meet in one task.
+    """
+    part = F.least(F.floor(F.col("coverage") * ranges), F.lit(ranges - 1)).cast("int")
+    rows = curve_.select("coverage", "risk", part.alias("_r"))
+    w = Window.partitionBy("_r").orderBy("coverage")
+    step = rows.withColumn("_c", F.lag("coverage").over(w)).withColumn("_k", F.lag("risk").over(w))
+    inner = (F.col("coverage") - F.col("_c")) * (F.col("risk") + F.col("_k")) / 2
+    ends = step.groupBy("_r").agg(F.sum(inner).alias("area"), F.min(F.struct("coverage", "risk")).alias("a"), F.max(F.struct("coverage", "risk")).alias("b"))
+    before = F.lag("b").over(Window.orderBy("_r"))  # at most `ranges` rows
+    gap = ends.select(F.coalesce("area", F.lit(0.0)).alias("area"), "a", before.alias("p"))
+    between = (F.col("a.coverage") - F.coalesce("p.coverage", F.lit(0.0))) * (F.col("a.risk") + F.coalesce("p.risk", F.lit(0.0))) / 2
+    return gap.agg(F.sum(F.col("area") + between).alias("aurc"))
 
 
 def floors(points: DataFrame, precision: float = PRECISION) -> DataFrame:

@@ -36,13 +36,13 @@ def ready(pending: Column, embedded: Column, failed: Column) -> Column:
     return (pending == 0) & (embedded > 0) & (failed / F.nullif(embedded + failed, F.lit(0)) <= FAILED_SHARE)
 
 
-def models_consistent(chunks: DataFrame, model: str) -> DataFrame:
+def models_consistent(chunks: DataFrame, model: str, *by: str) -> DataFrame:
     """Whether exactly the declared model made the embedded chunks."""
-    return chunks.where("embedding_status = 'embedded'").agg((F.collect_set("embedding_model") == F.array(F.lit(model))).alias("consistent"))
+    return chunks.where("embedding_status = 'embedded'").groupBy(*by).agg(F.bool_and(F.col("embedding_model").eqNullSafe(F.lit(model))).alias("consistent"))
 
 
 #: What makes two generations the same corpus: content and everything that shapes its chunks and its place.
-FINGERPRINT = ("stable_id", "content_hash", "title", "position", "folder", "chunk_policy", "embedding_model")
+FINGERPRINT = ("stable_id", "content_hash", "title", "position", "slug", "kind", "parent_id", "visibility", "doc_status", "owner", "provenance", "superseded_by", "chunk_policy", "embedding_model")
 
 
 def difference(a: DataFrame, b: DataFrame, columns: tuple[str, ...] = FINGERPRINT) -> DataFrame:
@@ -81,7 +81,9 @@ def collectable(runs: DataFrame, now: Column) -> DataFrame:
 
 
 def centroids(chunks: DataFrame, node: str = "node_id") -> DataFrame:
-    """node, chunk_count and centroid: sums by coordinate, combined in each task before the shuffle."""
+    """node, chunk_count and centroid of embedded prose: sums by coordinate, combined in each task before the shuffle."""
+    for column, value in (("embedding_status", "embedded"), ("source_type", "prose")):
+        chunks = chunks.where(F.col(column) == value) if column in chunks.columns else chunks
     sums = chunks.select(node, F.posexplode("embedding").alias("i", "x")).groupBy(node, "i").agg(F.sum(F.col("x").cast("double")).alias("x"), F.count("x").alias("n"))
     # one row a coordinate, as many as the vector has
     ordered = sums.groupBy(node).agg(F.max("n").alias("chunk_count"), F.array_sort(F.collect_list(F.struct("i", (F.col("x") / F.col("n")).alias("x")))).alias("c"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import durable
+
 
 def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
     """Values that stand more than once, and how often."""
@@ -52,7 +54,8 @@ def supersession_problems(docs: DataFrame, most: int = 50) -> DataFrame:
     for _ in range(most):
         at = at.where("at is not null and not back").select("doc_id", "at", (F.col("at") == F.col("doc_id")).alias("back"))
         found = found.unionByName(at.where("back").select("doc_id"))
-        at = at.where("not back").join(hop, F.col("at") == F.col("_from")).select("doc_id", F.col("_then").alias("at"), F.lit(False).alias("back")).persist()
+        at = at.where("not back").join(hop, F.col("at") == F.col("_from")).select("doc_id", F.col("_then").alias("at"), F.lit(False).alias("back"))
+        at = durable(at)
         if at.where("at is not null").isEmpty():
             break
     return chain.unionByName(hidden).unionByName(found.distinct().select("doc_id", F.lit("cycle").alias("problem")))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..config import MIN_CONTENT_CHARS, POOL_PER_ARM, RRF_K
@@ -22,19 +23,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def cosine_to(vectors: list[list[float]]):
-    """A pandas UDF: similarities of a vector column to each of the given query vectors."""
-    q = np.asarray(vectors, np.float64)
-    q = q / np.linalg.norm(q, axis=1, keepdims=True)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def similarities(v: pd.Series) -> pd.Series:
-        x = np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, q.shape[1]))
-        return pd.Series(list(x @ q.T / np.linalg.norm(x, axis=1, keepdims=True)))
-
-    return similarities
-
-
 def searchable(chunks: DataFrame, content: str = "content") -> DataFrame:
     """Prose with enough in it: what the arms may return."""
     return chunks.where((F.col("source_type") == "prose") & (dense_length(F.col(content)) >= MIN_CONTENT_CHARS))
@@ -46,16 +34,52 @@ def vector_arm(chunks: DataFrame, query: list[float], k: int = POOL_PER_ARM, key
     return top.withColumn("r", F.row_number().over(Window.orderBy(F.col("sim").desc(), key)))
 
 
-def search_many(chunks: DataFrame, queries: DataFrame, vectors: list[tuple[int, list[float]]] | None = None, k: int = POOL_PER_ARM, key: str = "chunk_id") -> DataFrame:
-    """The k nearest chunks of each query (qid, vector): qid, key, sim, r.
+#: Vectors of a block: a matrix product takes two blocks.
+QUERY_BLOCK, CHUNK_BLOCK = 256, 4096
+
+
+def _blocks(rows: DataFrame, key: str, vector: str, size: int, names: tuple[str, str]) -> DataFrame:
+    """Rows in blocks: ids and their normalised vectors, one after the other, as bytes."""
+    ids, data = names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                x = np.stack([np.asarray(v, np.float64) for v in part.column(vector).to_pylist()])
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(key).to_pylist()], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary())], [ids, data])
+
+    return rows.select(F.col(key).cast("long").alias(key), vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"{ids} array<long>, {data} binary")
+
 
-    The queries are a request, at most a few thousand; the chunks are scanned once, each batch is one
-    matrix product, and only k rows a query and partition are shuffled.
+def search_many(chunks: DataFrame, queries: DataFrame, k: int = POOL_PER_ARM, key: str = "chunk_id", leave_out: bool = False) -> DataFrame:
+    """The k nearest chunks of each query (qid, vector): qid, key, sim, r. leave_out: none is its own (qid = key).
+
+    Queries and chunks meet block by block, each pair of blocks a matrix product of which k rows a query
+    are left; nothing comes to the driver, and the queries may be a share of the chunks.
     """
-    wanted = vectors if vectors is not None else [(r["qid"], r["vector"]) for r in queries.select("qid", "vector").collect()]
-    ids = F.array(*[F.lit(i).cast("long") for i, _ in wanted])
-    scored = chunks.select(key, cosine_to([v for _, v in wanted])("embedding").alias("sims"))
-    pairs = scored.select(key, F.explode(F.arrays_zip(ids.alias("qid"), F.col("sims").alias("sim"))).alias("p")).select(key, "p.qid", "p.sim")
+    spread = queries.sparkSession.sparkContext.defaultParallelism
+    asked = _blocks(queries.coalesce(max(1, spread // 4)), "qid", "vector", QUERY_BLOCK, ("qids", "q"))
+    known = _blocks(chunks, key, "embedding", CHUNK_BLOCK, ("ids", "c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                qids, ids = np.array(r["qids"], np.int64), np.array(r["ids"], np.int64)
+                sims = np.frombuffer(r["q"]).reshape(len(qids), -1) @ np.frombuffer(r["c"]).reshape(len(ids), -1).T
+                if leave_out:
+                    sims[qids[:, None] == ids[None, :]] = -np.inf
+                # rounded, so that equal vectors tie whatever their block
+                sims = np.round(sims, 12)
+                best = np.lexsort((np.broadcast_to(ids, sims.shape), -sims))[:, :k]
+                row = np.repeat(np.arange(len(qids)), best.shape[1])
+                best = best.ravel()
+                keep = np.isfinite(sims[row, best])
+                yield pa.RecordBatch.from_arrays([pa.array(qids[row][keep]), pa.array(ids[best][keep]), pa.array(sims[row, best][keep])], ["qid", key, "sim"])
+
+    # a stated set of queries against all chunks, in blocks
+    pairs = known.crossJoin(asked).mapInArrow(run, f"qid long, {key} long, sim double")
     window = Window.partitionBy("qid").orderBy(F.col("sim").desc(), key)
     return pairs.withColumn("r", F.row_number().over(window)).where(F.col("r") <= k)
 
@@ -88,50 +112,66 @@ def parse_websearch(query: str) -> list[list[str]]:
     return [terms for terms in out if terms]
 
 
-def matches(text: Column, query: str) -> Column:
-    words = tokens(text)
+def matches(words: Column, query: str) -> Column:
+    """Whether a text's words meet a websearch query."""
     found = F.lit(False)
     for terms in parse_websearch(query):
         found = found | has_all_terms(words, terms)
     return found
 
 
-def term_rank(terms_of_text: Column, terms: list[str]) -> Column:
-    """Sum of ln(1 + occurrences) over the terms."""
-    total = F.lit(0.0)
-    for t in terms:
-        total = total + F.log1p(F.size(F.filter(terms_of_text, lambda w: w == t)).cast("double"))
-    return total
+def _wanted(terms: list[str]) -> list[str]:
+    """The words that a conjunction asks for, each once; exclusions ask for none."""
+    return list(dict.fromkeys(w for t in terms if not t.startswith("-") for w in t.strip('"').split()))
 
 
-@F.pandas_udf(T.DoubleType())
-def cover_density(words: pd.Series, terms: pd.Series) -> pd.Series:
+def cover_density(words: Column, terms: list[str]) -> Column:
     """Cover-density rank: each shortest stretch that holds all terms adds weight by how little else it holds.
 
-    A cover of the n terms from word p to word q adds 0.1 / (1 + the words in it beyond n), covers don't nest.
+    A cover of the n terms from word p to word q adds 0.1 / (1 + the words in it beyond n); covers don't
+    nest. One fold over the places of the terms.
     """
+    n, listed = len(terms), F.array(*map(F.lit, terms))
+    places = F.filter(F.transform(words, lambda w, i: F.struct(F.array_position(listed, w).alias("term"), i.alias("at"))), lambda h: h["term"] > 0)
+    start = F.struct(F.array_repeat(F.lit(-1), n).alias("last"), F.lit(-1).alias("done"), F.lit(0.0).alias("total"))
+
+    def step(state: Column, hit: Column) -> Column:
+        last = F.transform(state["last"], lambda x, j: F.when(j + 1 == hit["term"], hit["at"]).otherwise(x))
+        first = F.array_min(last)
+        covers = (first >= 0) & (first > state["done"])
+        gain = F.when(covers, 0.1 / (2 + hit["at"] - first - n)).otherwise(0.0)
+        return F.struct(last.alias("last"), F.when(covers, first).otherwise(state["done"]).alias("done"), (state["total"] + gain).alias("total"))
+
+    return F.aggregate(places, start, step)["total"]
 
-    def one(text: list[str], wanted: list[str]) -> float:
-        need, last, total, done = set(wanted), {}, 0.0, -1
-        for i, w in enumerate(text):
-            if w in need:
-                last[w] = i
-                if len(last) == len(need):
-                    p = min(last.values())
-                    if p > done:
-                        total += 0.1 / (1 + (i - p + 1) - len(need))
-                        done = p
-        return total
-
-    return pd.Series([one(list(a), list(b)) if a is not None else 0.0 for a, b in zip(words, terms)])
-
-
-def keyword_arm(chunks: DataFrame, terms: list[str], k: int = POOL_PER_ARM, rank: str = "cover", key: str = "chunk_id", content: str = "content") -> DataFrame:
-    """The k best chunks with all terms: key, rank, r. rank: cover (density) or terms."""
-    words = tokens(F.col(content))
-    hits = chunks.select(key, words.alias("words")).where(has_all_terms(F.col("words"), terms))
-    score = cover_density("words", F.array(*map(F.lit, terms))) if rank == "cover" else term_rank(F.col("words"), terms)
-    top = hits.select(key, score.alias("rank")).orderBy(F.col("rank").desc(), key).limit(k)
+
+def websearch_rank(words: Column, query: str) -> Column:
+    """Cover density of the alternatives that a text meets, added up; to nine digits, so that equal sums tie."""
+    total = F.lit(0.0)
+    for terms in parse_websearch(query):
+        wanted = _wanted(terms)
+        if wanted:
+            total = total + F.when(has_all_terms(words, terms), cover_density(words, wanted)).otherwise(0.0)
+    return F.round(total, 9)
+
+
+def keyword_hits(chunks: DataFrame, query: str, key: str = "chunk_id", content: str = "content") -> DataFrame:
+    """key and rank of all chunks that meet a websearch query."""
+    alternatives = [_wanted(terms) for terms in parse_websearch(query)]
+    # texts without the letters of a word can't have the word: looked for before texts are cut into words
+    likely = F.lit(False)
+    for wanted in alternatives:
+        one = F.lit(True)
+        for w in wanted:
+            one = one & F.contains(F.lower(content), F.lit(w))
+        likely = likely | one
+    hits = chunks.where(likely).select(key, tokens(F.col(content)).alias("words")).where(matches(F.col("words"), query))
+    return hits.select(key, websearch_rank(F.col("words"), query).alias("rank"))
+
+
+def keyword_arm(chunks: DataFrame, query: str, k: int = POOL_PER_ARM, key: str = "chunk_id", content: str = "content") -> DataFrame:
+    """The k best chunks for a websearch query by cover density: key, rank, r."""
+    top = keyword_hits(chunks, query, key, content).orderBy(F.col("rank").desc(), key).limit(k)
     return top.withColumn("r", F.row_number().over(Window.orderBy(F.col("rank").desc(), key)))
 
 
@@ -143,13 +183,15 @@ def fuse(arms: list[DataFrame], key: str = "chunk_id", c: int = RRF_K) -> DataFr
     return rows.groupBy(key).agg(F.sum(1.0 / (c + F.col("r"))).alias("score"))
 
 
-def hybrid(chunks: DataFrame, query: list[float], terms: list[str], k: int, rank: str = "cover", key: str = "chunk_id", content: str = "content") -> DataFrame:
-    """The k best chunks by fused rank, each with the best vector similarity of the whole answer."""
-    vector = vector_arm(chunks, query, key=key)
-    fused = fuse([vector, keyword_arm(chunks, terms, rank=rank, key=key, content=content)], key)
-    top = vector.agg(F.max("sim").alias("top_vec_sim"))
-    best = fused.orderBy(F.col("score").desc(), key).limit(k)
-    return best.crossJoin(F.broadcast(top))  # the other side is one row
+def hybrid(chunks: DataFrame, vector: list[float], query: str, k: int, key: str = "chunk_id", content: str = "content") -> DataFrame:
+    """The k best chunks by fused rank, each with the best vector similarity of the whole answer.
+
+    chunks: what may be served. Each arm reads only its own columns and leaves POOL_PER_ARM rows.
+    """
+    near = vector_arm(chunks.select(key, "embedding"), vector, key=key)
+    fused = fuse([near, keyword_arm(chunks.select(key, content), query, key=key, content=content)], key)
+    top = near.agg(F.max("sim").alias("top_vec_sim"))
+    return fused.orderBy(F.col("score").desc(), key).limit(k).crossJoin(F.broadcast(top))  # the other side is one row
 
 
 def abstains(top: Column, floor: float | str | None) -> Column:

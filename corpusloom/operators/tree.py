@@ -1,37 +1,41 @@
 """The node tree: paths, ancestors, address resolution, outlines, denials.
 
-Levels are joined one after the other until one is empty; a level is kept in memory or on disk while
-the next is made, and a lost part is made again from its parents.
+Levels are joined one after the other until one is empty; each level is a table in the shared folder,
+so plans stay short and a lost executor costs nothing.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..durable import durable
+
 MOST_LEVELS = 100
 
 
-def _levels(first: DataFrame, step) -> DataFrame:
-    """first and all that step makes of it, level by level."""
-    out, level = first, first.persist(StorageLevel.MEMORY_AND_DISK)
-    for _ in range(MOST_LEVELS):
-        level = step(level).persist(StorageLevel.MEMORY_AND_DISK)
+def _levels(first: DataFrame, step, levels: int | None = None) -> DataFrame:
+    """first and what step makes of it, level by level: so many levels, or until one is empty."""
+    level = durable(first)
+    out = level
+    for _ in range(MOST_LEVELS if levels is None else levels - 1):
+        level = durable(step(level))
         if level.isEmpty():
             return out
         out = out.unionByName(level)
+    if levels is not None:
+        return out
     raise ValueError(f"more than {MOST_LEVELS} levels: a cycle?")
 
 
 def order_part(ord_: Column, name: Column) -> Column:
-    """Sorts as (order, name): a padded number and the name."""
-    return F.concat(F.lpad(ord_.cast("string"), 12, "0"), F.lit(" "), name)
+    """Sorts as (order, name), the order as a number and the name by code points."""
+    return F.struct(ord_.cast("double").alias("ord"), name.alias("name"))
 
 
-def walk_down(nodes: DataFrame, only: Column | None = None) -> DataFrame:
-    """Nodes that roots reach through nodes that pass: with path, depth and sort_key (one entry a level)."""
+def walk_down(nodes: DataFrame, only: Column | None = None, levels: int | None = None) -> DataFrame:
+    """Nodes that roots reach through nodes that pass: with path, depth and sort_key (one entry a level); so many levels, or all."""
     rows = nodes if only is None else nodes.where(only)
     part = F.array(order_part(F.col("ord"), F.col("slug")))
     first = rows.where(F.col("parent_id").isNull()).select("*", F.col("slug").alias("path"), F.lit(0).alias("depth"), part.alias("sort_key"))
@@ -41,7 +45,7 @@ def walk_down(nodes: DataFrame, only: Column | None = None) -> DataFrame:
         found = rows.join(up, rows["parent_id"] == F.col("_up"))
         return found.select(*[rows[c] for c in rows.columns], F.concat("_path", F.lit("/"), "slug").alias("path"), (F.col("_depth") + 1).alias("depth"), F.concat("_sort", part).alias("sort_key"))
 
-    return _levels(first, step)
+    return _levels(first, step, levels)
 
 
 def ancestors(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
@@ -57,15 +61,21 @@ def ancestors(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
 
 
 def denied(nodes: DataFrame, denylist: DataFrame) -> DataFrame:
-    """Distinct node_id of listed nodes, and of all below those listed as subtree."""
-    seeds = nodes.select("node_id").join(denylist.select(F.col("stable_id").alias("node_id"), (F.col("scope") == "subtree").alias("cascade")), "node_id")
-    children = nodes.select("node_id", "parent_id")
-
-    def step(level: DataFrame) -> DataFrame:
-        up = level.where("cascade").select(F.col("node_id").alias("_up")).distinct()
-        return children.join(up, children["parent_id"] == F.col("_up")).select("node_id", F.lit(True).alias("cascade"))
+    """Distinct node_id (and stable_id) of listed nodes, and of all below those listed as subtree.
 
-    return _levels(seeds, step).select("node_id").distinct()
+    A node is gone down from once, so a cycle of parents ends. Nodes without a stable_id are listed by node_id.
+    """
+    named = nodes if "stable_id" in nodes.columns else nodes.withColumn("stable_id", F.col("node_id"))
+    named = durable(named.select("node_id", "parent_id", "stable_id"))
+    seeds = named.join(denylist.groupBy("stable_id").agg(F.bool_or(F.col("scope") == "subtree").alias("cascade")), "stable_id")
+    level = durable(seeds.where("cascade").select("node_id"))
+    below = level
+    while not level.isEmpty():
+        up = level.select(F.col("node_id").alias("_up"))
+        level = named.join(up, named["parent_id"] == F.col("_up")).select("node_id").distinct().join(below, "node_id", "left_anti")
+        level = durable(level)
+        below = below.unionByName(level)
+    return named.join(seeds.select("node_id").unionByName(below).distinct(), "node_id", "left_semi").select("node_id", "stable_id")
 
 
 def visible(tiers: list[str] | None, default: str, column: str = "visibility") -> Column:
@@ -78,8 +88,9 @@ def outline(nodes: DataFrame, denied_ids: DataFrame, tiers: list[str], default:
 
     Descends through published nodes whatever their tier, and judges each row on its own.
     """
-    walked = walk_down(nodes, F.col("status") == "published")
-    seen = walked.where(visible(tiers, default)).join(denied_ids, "node_id", "left_anti")
+    # without an anchor one level beyond what is shown is enough: it counts as children
+    walked = walk_down(nodes, F.col("status") == "published", depth + 1 if anchor is None and depth < MOST_LEVELS else None)
+    seen = walked.where(visible(tiers, default)).join(denied_ids.select("node_id"), "node_id", "left_anti")
     counts = seen.groupBy("parent_id").agg(F.count(F.lit(1)).alias("child_count")).withColumnRenamed("parent_id", "_p")
     number = F.row_number().over(Window.partitionBy("parent_id").orderBy("sort_key"))
     rows = seen.withColumn("position", number.cast("long"))
@@ -133,3 +144,19 @@ def shallowest(dirs: DataFrame) -> DataFrame:
     above = d.select("dir", F.explode(F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/")))).alias("up"))
     under = above.join(d.select(F.col("dir").alias("up")), "up", "left_semi").select("dir")
     return d.join(under, "dir", "left_anti")
+
+
+def rebased(rows: DataFrame, prefix: str, base: int) -> DataFrame:
+    """Outline rows seen from an anchor, as seen from the root: paths and depths."""
+    return rows.withColumn("path", F.concat(F.lit(prefix + "/"), "path")).withColumn("depth", F.col("depth") + F.lit(base))
+
+
+def unit_tree(chunks: DataFrame, key: str, path: str = "heading_path_text", ordinal: str = "ordinal") -> DataFrame:
+    """A document's headings by their first place; text before any heading is none."""
+    return chunks.where(F.coalesce(path, F.lit("")) != "").groupBy(key, path).agg(F.min(ordinal).alias("first"))
+
+
+def assembled(chunks: DataFrame, key: str, order: list[str], content: str, between: str = "") -> DataFrame:
+    """key, text and n: the chunks of each document in order as one text. A document is one value, so it meets in one task."""
+    rows = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, content))).alias("_c"))
+    return rows.select(key, F.array_join(F.transform("_c", lambda x: F.coalesce(x[content], F.lit(""))), between).alias("text"), F.size("_c").cast("long").alias("n"))

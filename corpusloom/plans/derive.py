@@ -51,7 +51,7 @@ def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
             slug(F.col(name)).alias("slug"),
             F.col(name).alias("title"),
             F.lit(kind).alias("kind"),
-            k.alias("ord"),
+            F.when(k % 3 == 1, -k / 4.0).otherwise(k.cast("double")).alias("ord"),
             F.when((k % 23 == 5) & F.lit(kind == "document"), "draft").otherwise("published").alias("status"),
             (tier(k) if kind == "document" else F.lit(None).cast("string")).alias("visibility"),
         )
@@ -73,7 +73,7 @@ def _level_sql(mark: str, key: str, parent: str, name: str, kind: str, of: str)
     k = f"{key}::BIGINT"
     status = f"CASE WHEN {k} % 23 = 5 THEN 'draft' ELSE 'published' END" if kind == "document" else "'published'"
     vis = TIER_SQL.format(k) if kind == "document" else "NULL::VARCHAR"
-    return f"SELECT '{mark}:' || {k} AS node_id, {parent} AS parent_id, {_slug_sql(name)} AS slug, {name} AS title, '{kind}' AS kind, {k} AS ord, {status} AS status, {vis} AS visibility FROM {of}"
+    return f"SELECT '{mark}:' || {k} AS node_id, {parent} AS parent_id, {_slug_sql(name)} AS slug, {name} AS title, '{kind}' AS kind, CASE WHEN {k} % 3 = 1 THEN -{k} / 4.0::DOUBLE ELSE {k}::DOUBLE END AS ord, {status} AS status, {vis} AS visibility FROM {of}"
 
 
 NODES_SQL = "nodes AS (" + " UNION ALL ".join([
@@ -109,12 +109,21 @@ def generation(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:
         F.col("source").alias("folder"),
         i.alias("position"),
         F.when(i % 29 == 0, "failed").otherwise("embedded").alias("old_status"),
+        (F.when(i % 23 == 0, "restricted").otherwise(tier(i)) if second else tier(i)).alias("visibility"),
+        F.when(i % 31 == 0, "superseded").alias("doc_status"),
+        (F.when(i % 37 == 0, "records") if second else F.lit(None).cast("string")).alias("owner"),
+        F.when(i % 5 == 0, F.array("lang", "source")).alias("provenance"),
+        F.when(i % 31 == 0, F.lit("doc-1")).alias("superseded_by"),
     )
 
 
 def generation_sql(number: int) -> str:
     text = "CASE WHEN doc_id % 13 = 0 THEN text || ' v2' ELSE text END" if number == 2 else "text"
     title = "'Document ' || doc_id" + (" || CASE WHEN doc_id % 19 = 0 THEN ' revised' ELSE '' END" if number == 2 else "")
+    vis = TIER_SQL.format("doc_id")
+    vis = f"CASE WHEN doc_id % 23 = 0 THEN 'restricted' ELSE {vis} END" if number == 2 else vis
+    owner = "CASE WHEN doc_id % 37 = 0 THEN 'records' END" if number == 2 else "NULL::VARCHAR"
     kept = "doc_id % 17 <> 0" if number == 2 else "doc_id % 10 <> 0"
     return f"""gen{number} AS (SELECT {number}::BIGINT AS generation, 'doc-' || doc_id AS stable_id, {title} AS title, {text} AS content, source AS folder, doc_id AS position,
-  CASE WHEN doc_id % 29 = 0 THEN 'failed' ELSE 'embedded' END AS old_status FROM documents WHERE {kept})"""
+  CASE WHEN doc_id % 29 = 0 THEN 'failed' ELSE 'embedded' END AS old_status, {vis} AS visibility, CASE WHEN doc_id % 31 = 0 THEN 'superseded' END AS doc_status, {owner} AS owner,
+  CASE WHEN doc_id % 5 = 0 THEN [lang, source] END AS provenance, CASE WHEN doc_id % 31 = 0 THEN 'doc-1' END AS superseded_by FROM documents WHERE {kept})"""

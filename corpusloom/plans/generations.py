@@ -14,6 +14,7 @@ from ..operators import search as S
 from .derive import CHUNKS_SQL, NODES_SQL, generation, generation_sql, table, tree_nodes, vector_chunks
 
 MODEL = "fake"
+GOVERNED = ("visibility", "doc_status", "owner", "provenance", "superseded_by")
 
 
 def _chunks(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:
@@ -79,19 +80,32 @@ READY = f"SELECT generation, pending = 0 AND embedded > 0 AND failed / nullif(em
 
 
 def _sources(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    return generation(spark, sf_dir, n).select("stable_id", X.content_hash(F.col("content")).alias("content_hash"), "title", "position", "folder", F.lit(CHUNK_POLICY).alias("chunk_policy"), F.lit(MODEL).alias("embedding_model"))
+    g = generation(spark, sf_dir, n)
+    return g.select("stable_id", X.content_hash(F.col("content")).alias("content_hash"), "title", "position", X.node_slug(F.col("title")).alias("slug"), F.lit("document").alias("kind"), F.col("folder").alias("parent_id"), *GOVERNED, F.lit(CHUNK_POLICY).alias("chunk_policy"), F.lit(MODEL).alias("embedding_model"))
 
 
 def same_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What differs between the two generations."""
+    """What differs between the two generations: contents, places and governance, null-safe."""
     return V.difference(_sources(spark, sf_dir, 2), _sources(spark, sf_dir, 1)).groupBy("side").agg(F.count(F.lit(1)).alias("rows"), F.min("stable_id").alias("first_id"))
 
 
-_SRC = "SELECT stable_id, sha256(content) AS h, title, position, folder FROM gen{}"
+_SRC = "SELECT stable_id, sha256(content) AS h, title, position, folder, visibility, doc_status, owner, array_to_string(provenance, '|') AS provenance, superseded_by FROM gen{}"
 SAME = f"""WITH {generation_sql(1)}, {generation_sql(2)}, d AS (SELECT 'only_new' AS side, * FROM ({_SRC.format(2)} EXCEPT ALL {_SRC.format(1)}) UNION ALL SELECT 'only_old', * FROM ({_SRC.format(1)} EXCEPT ALL {_SRC.format(2)}))
 SELECT side, count(*) AS rows, min(stable_id) AS first_id FROM d GROUP BY side"""
 
 
+def governance_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of documents with the same text, title and place in both generations, those whose governance changed."""
+    same = ("stable_id", "content_hash", "title", "position", "slug", "kind", "parent_id", "chunk_policy", "embedding_model")
+    new, old = _sources(spark, sf_dir, 2), _sources(spark, sf_dir, 1)
+    rows = V.difference(new, old).where("side = 'only_new'").join(old.select(*same), list(same), "left_semi")
+    return rows.select("stable_id", "visibility", "owner")
+
+
+DRIFT = f"""WITH {generation_sql(1)}, {generation_sql(2)} SELECT n.stable_id, n.visibility, n.owner FROM gen2 n JOIN gen1 o ON n.stable_id = o.stable_id AND n.content = o.content AND n.title = o.title AND n.position = o.position AND n.folder = o.folder
+WHERE n.visibility IS DISTINCT FROM o.visibility OR n.doc_status IS DISTINCT FROM o.doc_status OR n.owner IS DISTINCT FROM o.owner OR n.provenance IS DISTINCT FROM o.provenance OR n.superseded_by IS DISTINCT FROM o.superseded_by"""
+
+
 def flip_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.flip_delta(generation(spark, sf_dir, 2), generation(spark, sf_dir, 1))
 
@@ -208,17 +222,17 @@ OVERLAP = f"WITH {POINTS_SQL} SELECT doc_id, score FROM points WHERE NOT in_corp
 
 
 def success_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """20 vectors as questions for their own label, among the 30 nearest of the others."""
+    """Every hundredth vector as a question for its own label, among the 30 nearest of the others."""
     chunks = vector_chunks(spark, sf_dir)
-    asked = chunks.where("chunk_id < 20").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"), F.col("node_id").alias("expected"))
-    near = S.search_many(chunks.where("chunk_id >= 20"), asked)
-    hits = near.join(F.broadcast(asked.select("qid", "expected")), "qid").join(chunks.select("chunk_id", "node_id"), "chunk_id")  # asked: 20 rows
+    asked = chunks.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"), F.col("node_id").alias("expected"))
+    near = S.search_many(chunks, asked, leave_out=True)
+    hits = near.join(asked.select("qid", "expected"), "qid").join(chunks.select("chunk_id", "node_id"), "chunk_id")
     out = E.success_at(hits, "expected")
     return out.select("queries", *[F.round(c, 6).alias(c) for c in out.columns if c != "queries"])
 
 
 _cos = "list_dot_product(c.embedding, q.embedding) / (sqrt(list_dot_product(c.embedding, c.embedding)) * sqrt(list_dot_product(q.embedding, q.embedding)))"
-SUCCESS = f"""WITH {CHUNKS_SQL}, s AS (SELECT q.chunk_id AS qid, q.node_id AS expected, c.node_id, row_number() OVER (PARTITION BY q.chunk_id ORDER BY {_cos} DESC, c.chunk_id) AS r FROM chunks q, chunks c WHERE q.chunk_id < 20 AND c.chunk_id >= 20 QUALIFY r <= 30),
+SUCCESS = f"""WITH {CHUNKS_SQL}, s AS (SELECT q.chunk_id AS qid, q.node_id AS expected, c.node_id, row_number() OVER (PARTITION BY q.chunk_id ORDER BY round({_cos}, 12) DESC, c.chunk_id) AS r FROM chunks q, chunks c WHERE q.chunk_id % 100 = 0 AND c.chunk_id <> q.chunk_id QUALIFY r <= 30),
 d AS (SELECT qid, expected, node_id, min(r) AS r FROM s GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY r) AS place FROM d), b AS (SELECT qid, min(place) FILTER (node_id = expected) AS place FROM p GROUP BY qid)
 SELECT count(*) AS queries, round(count(*) FILTER (place <= 1) / count(*), 6) AS success_at_1, round(count(*) FILTER (place <= 3) / count(*), 6) AS success_at_3, round(count(*) FILTER (place <= 5) / count(*), 6) AS success_at_5 FROM b"""
 
@@ -231,6 +245,49 @@ def dup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 DUPS = "SELECT sha256(text) AS stable_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1"
 
 
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files, some outside the root, some of one name, some without a key."""
+    i = F.col("doc_id")
+    path = F.concat(F.lit("docs/"), F.when(i % 7 == 0, "../x/").when(i % 7 == 1, "a/../b/").otherwise(F.concat("lang", F.lit("/"))), (F.floor(i / 2)).cast("string"), F.when(i % 11 == 0, "/..").otherwise(".md"))
+    path = F.when(i % 13 == 0, F.concat(F.lit("docs-old/"), i.cast("string"))).otherwise(path)
+    front = F.map_from_arrays(F.filter(F.array(F.lit("title"), F.when(i % 2 == 0, "status"), F.when(i % 3 == 0, "order")), lambda k: k.isNotNull()), F.filter(F.array(F.lit("x"), F.when(i % 2 == 0, "x"), F.when(i % 3 == 0, "x")), lambda k: k.isNotNull()))
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), front.alias("meta"))
+
+
+MANIFEST_SQL = """m AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'docs-old/' || doc_id ELSE 'docs/' || CASE doc_id % 7 WHEN 0 THEN '../x/' WHEN 1 THEN 'a/../b/' ELSE lang || '/' END || (doc_id // 2) || CASE WHEN doc_id % 11 = 0 THEN '/..' ELSE '.md' END END AS path FROM documents)"""
+
+
+def dup_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.duplicates(_manifest(spark, sf_dir), "path")
+
+
+DUP_PATHS = f"WITH {MANIFEST_SQL} SELECT path, count(*) AS n FROM m GROUP BY path HAVING count(*) > 1"
+
+
+def path_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _manifest(spark, sf_dir).where(Q.outside(F.col("path"), "docs")).select("doc_id")
+
+
+ESCAPE = "SELECT doc_id FROM documents WHERE doc_id % 13 = 0 OR doc_id % 7 IN (0, 1) OR doc_id % 11 = 0"
+
+
+def missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _manifest(spark, sf_dir).select("doc_id", F.array_join(Q.missing_keys(F.col("meta"), ["title", "status", "order"]), ",").alias("missing"))
+    return rows.where("missing <> ''")
+
+
+MISSING = "SELECT * FROM (SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 2 <> 0 THEN 'status' END, CASE WHEN doc_id % 3 <> 0 THEN 'order' END) AS missing FROM documents) WHERE missing <> ''"
+
+
+def model_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user as a generation whether one model made all embedded chunks."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("generation"), F.when(F.col("event_type") == "error", "failed").otherwise("embedded").alias("embedding_status"), F.when((F.col("event_id") % 97 == 0) | (F.col("event_type") == "error"), "other").otherwise(MODEL).alias("embedding_model"))
+    return V.models_consistent(e, MODEL, "generation")
+
+
+CONSISTENT = "SELECT user_id AS generation, bool_and(event_id % 97 <> 0) AS consistent FROM events WHERE event_type <> 'error' GROUP BY 1"
+
+
 def unknown_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = tree_nodes(spark, sf_dir)
     return Q.unknown(nodes.where("node_id not in ('n:4', 'n:9')"), "parent_id", "node_id").select("node_id", "parent_id")
@@ -277,13 +334,14 @@ def ledger_by_action(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LEDGER_ACTION = "SELECT event_type AS action, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT user_id) AS actors FROM events GROUP BY ALL"
 
-QUERIES = {f.__name__: f for f in (carry_forward, carry_priority, generation_health, ready_gate, same_corpus, flip_delta, shrink_guard, gc_collectable, node_centroids, unsearchable_sources, passage_sample, risk_coverage_curve, aurc, floors, paste_value, overlap, success_at_k, dup_ids, unknown_parent, sibling_collision, dead_links, ledger_recent, ledger_by_action)}
+QUERIES = {f.__name__: f for f in (carry_forward, carry_priority, generation_health, ready_gate, same_corpus, governance_drift, flip_delta, shrink_guard, gc_collectable, node_centroids, unsearchable_sources, passage_sample, risk_coverage_curve, aurc, floors, paste_value, overlap, success_at_k, dup_paths, path_escape, missing_keys, model_consistency, dup_ids, unknown_parent, sibling_collision, dead_links, ledger_recent, ledger_by_action)}
 ORACLE_SQL = {
     "carry_forward": CARRY,
     "carry_priority": CARRY_PRIORITY,
     "generation_health": HEALTH,
     "ready_gate": READY,
     "same_corpus": SAME,
+    "governance_drift": DRIFT,
     "flip_delta": FLIP,
     "shrink_guard": SHRINK,
     "gc_collectable": GC,
@@ -297,6 +355,10 @@ ORACLE_SQL = {
     "overlap": OVERLAP,
     "success_at_k": SUCCESS,
     "dup_ids": DUPS,
+    "dup_paths": DUP_PATHS,
+    "path_escape": ESCAPE,
+    "missing_keys": MISSING,
+    "model_consistency": CONSISTENT,
     "unknown_parent": UNKNOWN,
     "sibling_collision": COLLISION,
     "dead_links": DEAD,

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import search as S
 from .derive import CHUNKS_SQL, table, vector_chunks
 
-QUERY_ID, K, TERMS = 3, 10, ["the", "of"]
+QUERY_ID, K, QUERY, EVERY = 3, 10, "the of", 100
 TOKENS_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+DENSE_SQL = "length(regexp_replace(text, '\\s', '', 'g')) >= 24"
 
 
 def _query_vector(chunks: DataFrame, chunk_id: int = QUERY_ID) -> list[float]:
@@ -46,63 +46,82 @@ GOVERNED = "status = 'published' AND node_id <> 7 AND coalesce(nullif(visibility
 VECTOR_TOPK_GOVERNED = VECTOR_TOPK.replace("FROM chunks, q)", f"FROM chunks, q WHERE {GOVERNED})")
 
 
+def _asked(chunks: DataFrame) -> DataFrame:
+    """Every hundredth chunk as a question."""
+    return chunks.where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"))
+
+
 def vector_top1_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For 20 questions the best similarity to another chunk that may be served."""
+    """For every hundredth chunk as a question the best similarity to another chunk that may be served."""
     chunks = vector_chunks(spark, sf_dir)
-    asked = [(r["chunk_id"], [float(x) for x in r["embedding"]]) for r in chunks.where(F.col("chunk_id") < 20).select("chunk_id", "embedding").collect()]
-    pool = _governed(chunks, ["public", "internal"]).where(F.col("chunk_id") >= 20)
-    return S.search_many(pool, None, asked, 1).select("qid", F.round("sim", 6).alias("top1"))
+    best = S.search_many(_governed(chunks, ["public", "internal"]), _asked(chunks), 1, leave_out=True)
+    return best.select("qid", F.round("sim", 6).alias("top1"))
 
 
-VECTOR_TOP1_BATCH = f"""WITH {CHUNKS_SQL}, q AS (SELECT chunk_id AS qid, embedding AS qv FROM chunks WHERE chunk_id < 20)
-SELECT qid, round(max({_cos("embedding", "qv")}), 6) AS top1 FROM chunks, q WHERE {GOVERNED} AND chunk_id >= 20 GROUP BY qid"""
+VECTOR_TOP1_BATCH = f"""WITH {CHUNKS_SQL}, q AS (SELECT chunk_id AS qid, embedding AS qv FROM chunks WHERE chunk_id % {EVERY} = 0)
+SELECT qid, round(max({_cos("embedding", "qv")}), 6) AS top1 FROM chunks, q WHERE {GOVERNED} AND chunk_id <> qid GROUP BY qid"""
 
 
 def keyword_match_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(S.matches(F.col("text"), "the of")).select("doc_id")
+    return S.keyword_hits(table(spark, sf_dir, "documents"), QUERY, "doc_id", "text").select("doc_id")
 
 
 KEYWORD_MATCH = f"SELECT doc_id FROM documents WHERE list_contains({TOKENS_SQL}, 'the') AND list_contains({TOKENS_SQL}, 'of')"
 
 
+def websearch_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase, an exclusion and an alternative."""
+    return S.keyword_hits(table(spark, sf_dir, "documents"), '"of the" -is or el', "doc_id", "text").select("doc_id")
+
+
+WEBSEARCH_MATCH = f"""SELECT doc_id FROM (SELECT doc_id, {TOKENS_SQL} AS w FROM documents)
+WHERE (contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') AND NOT list_contains(w, 'is')) OR list_contains(w, 'el')"""
+
+
 def keyword_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "chunk_id")
-    top = S.keyword_arm(docs, TERMS, 20, "terms", content="text")
+    """The 20 best documents by cover density."""
+    top = S.keyword_arm(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "chunk_id"), QUERY, 20, content="text")
     return top.select("chunk_id", F.round("rank", 6).alias("rank"), F.col("r").cast("long").alias("r"))
 
 
-_RANK = " + ".join(f"ln(1.0::DOUBLE + len(list_filter(w, lambda x: x = '{t}')))" for t in TERMS)
-_HITS = f"SELECT doc_id AS chunk_id, {_RANK} AS rank FROM (SELECT doc_id, {TOKENS_SQL} AS w FROM documents) WHERE list_contains(w, 'the') AND list_contains(w, 'of')"
-KEYWORD_RANK = f"WITH h AS ({_HITS}) SELECT chunk_id, round(rank, 6) AS rank, row_number() OVER (ORDER BY rank DESC, chunk_id) AS r FROM h ORDER BY rank DESC, chunk_id LIMIT 20"
+def _hits_sql(of: str) -> str:
+    """Covers of two words are their neighbouring uses: places of either, where the one before is the other."""
+    return f"""SELECT chunk_id, round(sum(0.1::DOUBLE / (i - before)), 9) AS rank FROM (
+  SELECT chunk_id, t, i, lag(t) OVER (PARTITION BY chunk_id ORDER BY i) AS other, lag(i) OVER (PARTITION BY chunk_id ORDER BY i) AS before
+  FROM (SELECT chunk_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM (SELECT chunk_id, {TOKENS_SQL} AS w FROM {of})) WHERE t IN ('the', 'of')) WHERE other <> t GROUP BY chunk_id"""
 
 
-def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = vector_chunks(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return chunks.join(docs, "chunk_id")
+KEYWORD_RANK = f"WITH h AS ({_hits_sql('(SELECT doc_id AS chunk_id, text FROM documents)')}) SELECT chunk_id, round(rank, 6) AS rank, row_number() OVER (ORDER BY rank DESC, chunk_id) AS r FROM h ORDER BY rank DESC, chunk_id LIMIT 20"
+
+
+def _servable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the arms may return: published, visible and undenied chunks with enough text."""
+    chunks = _governed(vector_chunks(spark, sf_dir), ["public", "internal"])
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.lit("prose").alias("source_type"))
+    return S.searchable(chunks.join(docs, "chunk_id"))
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _joined(spark, sf_dir)
-    fused = S.fuse([S.vector_arm(rows, _query_vector(vector_chunks(spark, sf_dir))), S.keyword_arm(rows, TERMS, rank="terms")])
+    rows = _servable(spark, sf_dir)
+    fused = S.fuse([S.vector_arm(rows, _query_vector(vector_chunks(spark, sf_dir))), S.keyword_arm(rows, QUERY)])
     return fused.select("chunk_id", F.round("score", 9).alias("score"))
 
 
-_ARMS = f"""{CHUNKS_SQL}, rows_ AS (SELECT c.*, d.text FROM chunks c JOIN documents d ON d.doc_id = c.chunk_id),
+_ARMS = f"""{CHUNKS_SQL}, rows_ AS (SELECT c.*, d.text FROM chunks c JOIN documents d ON d.doc_id = c.chunk_id WHERE {GOVERNED} AND {DENSE_SQL}),
 q AS (SELECT embedding AS qv FROM chunks WHERE chunk_id = {QUERY_ID}),
 vs AS (SELECT chunk_id, {_cos("embedding", "qv")} AS sim FROM rows_, q),
 v AS (SELECT chunk_id, sim, row_number() OVER (ORDER BY sim DESC, chunk_id) AS r FROM vs QUALIFY r <= 30),
-ks AS ({_HITS.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT chunk_id FROM chunks))")}),
+ks AS ({_hits_sql("rows_")}),
 k AS (SELECT chunk_id, row_number() OVER (ORDER BY rank DESC, chunk_id) AS r FROM ks QUALIFY r <= 30),
 f AS (SELECT chunk_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT chunk_id, r FROM v UNION ALL SELECT chunk_id, r FROM k) GROUP BY chunk_id)"""
 RRF = f"WITH {_ARMS} SELECT chunk_id, round(score, 9) AS score FROM f"
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _joined(spark, sf_dir)
-    best = S.hybrid(rows, _query_vector(vector_chunks(spark, sf_dir)), TERMS, K, "terms")
-    names = rows.select("chunk_id", "node_id")
-    return best.join(names, "chunk_id").select("chunk_id", "node_id", F.round("score", 9).alias("score"), F.round("top_vec_sim", 6).alias("top_vec_sim"))
+    """Both arms over what may be served, fused; the ten best with their nodes."""
+    best = S.hybrid(_servable(spark, sf_dir), _query_vector(vector_chunks(spark, sf_dir)), QUERY, K)
+    names = vector_chunks(spark, sf_dir).select("chunk_id", "node_id")
+    return names.join(F.broadcast(best), "chunk_id").select("chunk_id", "node_id", F.round("score", 9).alias("score"), F.round("top_vec_sim", 6).alias("top_vec_sim"))  # best: K rows
 
 
 HYBRID = f"""WITH {_ARMS} SELECT f.chunk_id, c.node_id, round(f.score, 9) AS score, (SELECT round(max(sim), 6) FROM v) AS top_vec_sim
@@ -111,31 +130,35 @@ FROM (SELECT * FROM f ORDER BY score DESC, chunk_id LIMIT {K}) f JOIN chunks c U
 
 def abstention_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = vector_top1_batch(spark, sf_dir)
-    return top.select("qid", "top1", S.abstains(F.col("top1"), 0.5).alias("abstained"), S.abstains(F.col("top1"), None).alias("abstained_without_floor"))
+    return top.select("qid", "top1", S.abstains(F.col("top1"), 0.5).alias("abstained"), S.abstains(F.col("top1"), None).alias("abstained_without_floor"), S.keyword_abstains(F.col("top1"), 0.6).alias("keyword_abstained"))
 
 
-ABSTENTION = f"SELECT qid, top1, (top1 IS NULL OR top1 < 0.5) AS abstained, false AS abstained_without_floor FROM ({VECTOR_TOP1_BATCH})"
+ABSTENTION = f"SELECT qid, top1, (top1 IS NULL OR top1 < 0.5) AS abstained, false AS abstained_without_floor, (top1 IS NULL OR top1 < 0.6) AS keyword_abstained FROM ({VECTOR_TOP1_BATCH})"
 
 
 def budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each language its 25 first documents by id as ranked hits, in 20,000 characters."""
-    d = table(spark, sf_dir, "documents")
-    hits = d.select(F.col("lang").alias("qid"), F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).alias("r"), F.length("text").alias("chars"), "doc_id").where("r <= 25")
-    out = S.packed(hits, 20_000)
-    return out.select("qid", F.col("r").cast("long").alias("r"), F.col("chars").cast("long").alias("chars"), "doc_id")
+    """The 30 hits of each question, in 20,000 characters of their texts."""
+    chunks = vector_chunks(spark, sf_dir)
+    sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.length("text").cast("long").alias("chars"))
+    hits = S.search_many(_governed(chunks, ["public", "internal"]), _asked(chunks), leave_out=True).join(sizes, "chunk_id")
+    out = S.packed(hits.select("qid", "r", "chars", "chunk_id"), 20_000)
+    return out.select("qid", F.col("r").cast("long").alias("r"), "chars", "chunk_id")
 
 
-BUDGET = """WITH RECURSIVE h AS (SELECT lang AS qid, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r, length(text)::BIGINT AS chars, doc_id FROM documents QUALIFY r <= 25),
-p AS (SELECT qid, r, chars, doc_id, chars AS used, true AS ships FROM h WHERE r = 1
-  UNION ALL SELECT h.qid, h.r, h.chars, h.doc_id, p.used + CASE WHEN p.used + h.chars <= 20000 THEN h.chars ELSE 0 END, p.used + h.chars <= 20000 FROM p JOIN h ON h.qid = p.qid AND h.r = p.r + 1)
-SELECT qid, r, chars, doc_id FROM p WHERE ships"""
+BUDGET = f"""WITH RECURSIVE {CHUNKS_SQL}, s AS (SELECT q.chunk_id AS qid, c.chunk_id, row_number() OVER (PARTITION BY q.chunk_id ORDER BY round({_cos("c.embedding", "q.embedding")}, 12) DESC, c.chunk_id) AS r
+  FROM chunks q, (SELECT * FROM chunks WHERE {GOVERNED}) c WHERE q.chunk_id % {EVERY} = 0 AND c.chunk_id <> q.chunk_id QUALIFY r <= 30),
+h AS (SELECT qid, r, chunk_id, length(text)::BIGINT AS chars, row_number() OVER (PARTITION BY qid ORDER BY r) AS n FROM s JOIN documents ON doc_id = chunk_id),
+p AS (SELECT qid, n, r, chars, chunk_id, chars AS used, true AS ships FROM h WHERE n = 1
+  UNION ALL SELECT h.qid, h.n, h.r, h.chars, h.chunk_id, p.used + CASE WHEN p.used + h.chars <= 20000 THEN h.chars ELSE 0 END, p.used + h.chars <= 20000 FROM p JOIN h ON h.qid = p.qid AND h.n = p.n + 1)
+SELECT qid, r, chars, chunk_id FROM p WHERE ships"""
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_governed, vector_top1_batch, keyword_match_all_terms, keyword_rank_topk, rrf_fusion, hybrid_search, abstention_gate, budget_pack)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_governed, vector_top1_batch, keyword_match_all_terms, websearch_match, keyword_rank_topk, rrf_fusion, hybrid_search, abstention_gate, budget_pack)}
 ORACLE_SQL = {
     "vector_topk": VECTOR_TOPK,
     "vector_topk_governed": VECTOR_TOPK_GOVERNED,
     "vector_top1_batch": VECTOR_TOP1_BATCH,
     "keyword_match_all_terms": KEYWORD_MATCH,
+    "websearch_match": WEBSEARCH_MATCH,
     "keyword_rank_topk": KEYWORD_RANK,
     "rrf_fusion": RRF,
     "hybrid_search": HYBRID,

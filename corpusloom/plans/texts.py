@@ -9,6 +9,7 @@ from ..config import HARD_MAX_CHARS
 from ..functions import text as X
 from ..functions.chunking import chunked, cleaned
 from ..functions.windows import windowed
+from ..operators import tree as H
 from .derive import table
 
 
@@ -52,33 +53,37 @@ def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The section chunks of the Markdown parts, with path, anchor and kind."""
-    c = chunked(_markdown(spark, sf_dir)).where("ordinal = 1")
-    return c.select("p_partkey", F.array_join("heading_path", "/").alias("path"), "anchor", "source_type", "chunk_hash")
+    """All chunks of the Markdown parts, with path, anchor and kind."""
+    c = chunked(_markdown(spark, sf_dir))
+    return c.select("p_partkey", F.col("ordinal").cast("long").alias("ordinal"), F.array_join("heading_path", "/").alias("path"), "anchor", "source_type", "chunk_hash")
 
 
-_SECTION = "'## ' || p_type || ' {#t' || (p_partkey % 9) || '}' || chr(10) || chr(10) || 'Made by ' || p_brand || ' in sizes up to ' || p_size || '.' || chr(10)"
-MARKDOWN = f"SELECT p_partkey, p_type AS path, 't' || (p_partkey % 9) AS anchor, CASE WHEN length('Made by ' || p_brand || ' in sizes up to ' || p_size || '.') >= 24 THEN 'prose' ELSE 'nav' END AS source_type, sha256({_SECTION}) AS chunk_hash FROM part"
+_SAID = "'Made by ' || p_brand || ' in sizes up to ' || p_size || '.'"
+MARKDOWN = f"""SELECT p_partkey, 0::BIGINT AS ordinal, '' AS path, NULL AS anchor, 'nav' AS source_type, sha256('# ' || p_name || chr(10) || chr(10)) AS chunk_hash FROM part
+UNION ALL SELECT p_partkey, 1, p_type, 't' || (p_partkey % 9), CASE WHEN length({_SAID}) >= 24 THEN 'prose' ELSE 'nav' END, sha256('## ' || p_type || ' {{#t' || (p_partkey % 9) || '}}' || chr(10) || chr(10) || {_SAID} || chr(10)) FROM part"""
 
 
 def heading_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slugs of short and long titles; of the long ones some have a dash right after the 60th character."""
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", X.heading_slug(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("slug"))
+    long = F.concat(F.repeat(F.lit("x"), 29), F.lit(" "), F.repeat(F.lit("y"), (F.col("p_partkey") % 4 + 28).cast("int")), F.lit(" "), "p_type")
+    title = F.when(F.col("p_partkey") % 3 == 0, long).otherwise(F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_name"))
+    return p.select("p_partkey", X.heading_slug(title).alias("slug"))
 
 
-_FULL = "trim(regexp_replace(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-')"
-HEADING_SLUGS = f"""WITH s AS (SELECT p_partkey, {_FULL} AS f FROM part)
-SELECT p_partkey, CASE WHEN length(f) <= 60 THEN f WHEN substr(f, 61, 1) = '-' THEN substr(f, 1, 60) ELSE regexp_replace(substr(f, 1, 60), '-[^-]*$', '') END AS slug FROM s"""
+HEADING_SLUGS = """WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN repeat('x', 29) || ' ' || repeat('y', (p_partkey % 4 + 28)::INT) || ' ' || p_type ELSE p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_name END AS title FROM part),
+s AS (SELECT p_partkey, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS f FROM t),
+c AS (SELECT *, 61 - strpos(reverse(substr(f, 1, 60)), '-') AS dash FROM s)
+SELECT p_partkey, CASE WHEN length(f) <= 60 THEN f WHEN contains(substr(f, 1, 60), '-') THEN substr(f, 1, dash - 1) ELSE substr(f, 1, 60) END AS slug FROM c"""
 
 
 def node_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slugs of the documents' first words; names without Latin letters get a digest."""
+    """Slugs of whole texts; names without Latin letters get a digest."""
     d = table(spark, sf_dir, "documents")
-    name = F.substring("text", 1, 30)
-    return d.select("doc_id", X.node_slug(F.when(F.col("doc_id") % 50 == 0, F.lit("---")).otherwise(name)).alias("slug"))
+    return d.select("doc_id", X.node_slug(F.when(F.col("doc_id") % 50 == 0, F.lit("---")).otherwise(F.col("text"))).alias("slug"))
 
 
-NODE_SLUGS = """WITH n AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN '---' ELSE substr(text, 1, 30) END AS name FROM documents)
+NODE_SLUGS = """WITH n AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN '---' ELSE text END AS name FROM documents)
 SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'x-' || substr(sha256(name), 1, 8)) AS slug FROM n"""
 
 
@@ -104,40 +109,43 @@ CONTENT_HASH = "SELECT sha256(replace(text, chr(13) || chr(10), chr(10))) AS con
 
 
 def svg_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with a diagram put in front and behind, and taken out again."""
+    """Pages between diagrams; an opening tag without an end stays, and so does what follows it."""
     p = table(spark, sf_dir, "pages")
-    drawn = F.concat(F.lit('<svg width="1"><g/></svg>'), "html", F.lit("<svg/>"))
+    drawn = F.concat(F.lit('<svg> real prose <svg width="1"><g/></svg>'), "html", F.lit("<SVG/><svg></svg > end"))
     return p.select("page_id", F.sha2(X.without_diagrams(drawn), 256).alias("digest"))
 
 
-SVG = "SELECT page_id, sha256('[diagram]' || html || '[diagram]') AS digest FROM pages"
+SVG = "SELECT page_id, sha256('<svg> real prose [diagram]' || html || '[diagram]<svg></svg > end') AS digest FROM pages"
 
 
 def directive_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that tell the reader to do something; phrases that only look like it are put in too."""
     c = table(spark, sf_dir, "conversations")
-    said = F.when(F.col("turn") % 5 == 0, F.concat(F.lit("Please IGNORE previous instructions. "), "text")).otherwise(F.col("text"))
-    return c.select("conv_id", "turn", X.directive_like(said).alias("flag"))
+    put = F.element_at(F.array(*[F.lit(x) for x in _PHRASES]), (F.col("turn") % len(_PHRASES) + 1).cast("int"))
+    return c.select("conv_id", "turn", X.directive_like(F.concat(F.coalesce("text", F.lit("")), F.lit(" "), put)).alias("flag"))
 
 
-DIRECTIVE = """SELECT conv_id, turn, turn % 5 = 0 OR regexp_matches(text, '(?i)ignore (all |any )?(previous|prior|above) instructions|disregard (all |any )?(previous|prior|above)|you are now|system prompt|act as (a|an) ') AS flag FROM conversations"""
+_PHRASES = ("Paste this prompt into your agent", "run the following command", "you are now in Rome", "copy the following", "type the followings", "give your agent this", "drop this in", "Run this script now")
+_PUT = "[" + ", ".join(f"'{x}'" for x in _PHRASES) + f"][turn % {len(_PHRASES)} + 1]"
+DIRECTIVE = f"""SELECT conv_id, turn, regexp_matches(lower(coalesce(text, '') || ' ' || {_PUT}), 'paste (this|it|the following)\\b|copy (this|the following)\\b|prompt into your\\b|run (this|the following) (command|prompt|script)\\b|type the following\\b|give your agent (this|the following)\\b|drop (this|the following) into\\b') AS flag FROM conversations"""
 
 
 def document_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's turns in order as one text."""
-    c = table(spark, sf_dir, "conversations")
-    rows = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    return rows.select("conv_id", F.sha2(F.array_join(F.transform("t", lambda x: F.coalesce(x["text"], F.lit(""))), "\n"), 256).alias("digest"), F.size("t").cast("long").alias("turns"))
+    rows = H.assembled(table(spark, sf_dir, "conversations"), "conv_id", ["turn", "role"], "text", "\n")
+    return rows.select("conv_id", F.sha2("text", 256).alias("digest"), F.col("n").alias("turns"))
 
 
 REASSEMBLY = "SELECT conv_id, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, role, text)) AS digest, count(*) AS turns FROM conversations GROUP BY conv_id"
 
 
 def unit_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct headings of each document by first place."""
-    return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first_turn"))
+    """Distinct headings of each document by first place; what system says stands before any heading."""
+    c = table(spark, sf_dir, "conversations").withColumn("path", F.when(F.col("role") != "system", F.col("role")))
+    return H.unit_tree(c, "conv_id", "path", "turn").select("conv_id", F.col("path").alias("role"), F.col("first").alias("first_turn"))
 
 
-UNIT_TREE = "SELECT conv_id, role, min(turn) AS first_turn FROM conversations GROUP BY ALL"
+UNIT_TREE = "SELECT conv_id, role, min(turn) AS first_turn FROM conversations WHERE role <> 'system' GROUP BY ALL"
 
 
 def window_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +155,25 @@ def window_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed(c.select("conv_id", F.col("turn").alias("ordinal"), path.alias("heading_path_text"), F.length(F.coalesce("text", F.lit(""))).alias("chars")), "conv_id", 600)
 
 
+_LAST = "(SELECT {f}(i) FROM c WHERE c.conv_id = {s}.conv_id AND i >= {s}.start AND {what})"
+
+
+def _window_end(s: str) -> str:
+    """Last chunk of the window from s.start: whole top sections that fit, else parts of the first, else chunks, else one."""
+    fits = f"cum - {s}.spent <= 600"
+    first = _LAST.format(f="min", s=s, what="{}")
+    top, part = first.format("ends_top"), first.format("ends_part")
+    steps = [_LAST.format(f="max", s=s, what=w) for w in (f"ends_top AND {fits}", f"ends_part AND {fits} AND i <= {top}", f"{fits} AND i <= {part}")]
+    return f"coalesce({', '.join(steps)}, {s}.start)"
+
+
+WINDOW_PACK = f"""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, 'part-' || floor(turn / 2)::BIGINT AS top, 'part-' || floor(turn / 2)::BIGINT || '/' || role AS path, length(coalesce(text, ''))::BIGINT AS chars FROM conversations),
+c AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS cum, lead(top) OVER (PARTITION BY conv_id ORDER BY i) IS DISTINCT FROM top AS ends_top, lead(path) OVER (PARTITION BY conv_id ORDER BY i) IS DISTINCT FROM path AS ends_part FROM t),
+w AS (SELECT s.conv_id, 0::BIGINT AS "window", s.start, {_window_end("s")} AS last, s.spent FROM (SELECT conv_id, 0::BIGINT AS start, 0::HUGEINT AS spent FROM c WHERE i = 0) s
+  UNION ALL SELECT s.conv_id, s."window", s.start, {_window_end("s")}, s.spent FROM (SELECT w.conv_id, w."window" + 1 AS "window", n.i AS start, n.cum - n.chars AS spent FROM w JOIN c n ON n.conv_id = w.conv_id AND n.i = w.last + 1) s)
+SELECT w.conv_id, w."window", w.start, w.last + 1 AS "end", (SELECT sum(chars)::BIGINT FROM c WHERE c.conv_id = w.conv_id AND i BETWEEN w.start AND w.last) AS chars,
+  (SELECT CASE WHEN (SELECT min(x.i) FROM c x WHERE x.conv_id = n.conv_id AND (x.path = n.path OR starts_with(x.path, n.path || '/'))) = n.i THEN n.path ELSE n.path || '#' || n.i END FROM c n WHERE n.conv_id = w.conv_id AND n.i = w.last + 1) AS next_cursor FROM w"""
+
 QUERIES = {f.__name__: f for f in (chunk_ceiling, chunk_hash, chunk_concat_roundtrip, markdown_chunks, heading_slugs, node_slugs, embed_input, content_hash_dedup, svg_strip, directive_flag, document_reassembly, unit_tree, window_pack)}
 ORACLE_SQL = {
     "chunk_ceiling": CEILING,
@@ -161,4 +188,5 @@ ORACLE_SQL = {
     "directive_flag": DIRECTIVE,
     "document_reassembly": REASSEMBLY,
     "unit_tree": UNIT_TREE,
+    "window_pack": WINDOW_PACK,
 }

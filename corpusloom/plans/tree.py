@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..config import EngineConfig
 from ..functions.text import order_value, tie_key
+from ..operators import governance as G
 from ..operators import tree as H
 from .derive import DENYLIST_SQL, NODES_SQL, denylist, table, tree_nodes
 
@@ -15,8 +16,8 @@ VISIBLE = "coalesce(nullif(visibility, ''), 'public') IN ('public', 'internal')"
 TIERS = ["public", "internal"]
 
 WALK_SQL = f"""{NODES_SQL}, walk AS (
-  SELECT *, slug AS path, 0 AS depth, [lpad(ord::VARCHAR, 12, '0') || ' ' || slug] AS sort_key FROM nodes WHERE parent_id IS NULL AND status = 'published'
-  UNION ALL SELECT n.*, w.path || '/' || n.slug, w.depth + 1, list_append(w.sort_key, lpad(n.ord::VARCHAR, 12, '0') || ' ' || n.slug) FROM walk w JOIN nodes n ON n.parent_id = w.node_id WHERE n.status = 'published')"""
+  SELECT *, slug AS path, 0 AS depth, [{{'ord': ord, 'name': slug}}] AS sort_key FROM nodes WHERE parent_id IS NULL AND status = 'published'
+  UNION ALL SELECT n.*, w.path || '/' || n.slug, w.depth + 1, list_append(w.sort_key, {{'ord': n.ord, 'name': n.slug}}) FROM walk w JOIN nodes n ON n.parent_id = w.node_id WHERE n.status = 'published')"""
 DENIED_SQL = f"""{DENYLIST_SQL}, deny AS (
   SELECT n.node_id, d.scope = 'subtree' AS cascade FROM nodes n JOIN denylist d ON d.stable_id = n.node_id
   UNION SELECT n.node_id, true FROM deny x JOIN nodes n ON n.parent_id = x.node_id WHERE x.cascade)"""
@@ -127,14 +128,14 @@ SIBLINGS = f"WITH RECURSIVE {_SEEN} SELECT node_id, position FROM rows_"
 
 def denied_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that are denied by themselves."""
-    return H.denied(tree_nodes(spark, sf_dir), denylist(spark).where("scope = 'node'"))
+    return H.denied(tree_nodes(spark, sf_dir), denylist(spark).where("scope = 'node'")).select("node_id")
 
 
 DENIED_NODE = f"WITH {NODES_SQL}, {DENYLIST_SQL} SELECT node_id FROM nodes JOIN denylist ON stable_id = node_id WHERE scope = 'node'"
 
 
 def denied_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.denied(tree_nodes(spark, sf_dir), denylist(spark))
+    return H.denied(tree_nodes(spark, sf_dir), denylist(spark)).select("node_id")
 
 
 DENIED_SUBTREE = f"WITH RECURSIVE {NODES_SQL}, {DENIED_SQL} SELECT DISTINCT node_id FROM deny"
@@ -142,25 +143,14 @@ DENIED_SUBTREE = f"WITH RECURSIVE {NODES_SQL}, {DENIED_SQL} SELECT DISTINCT node
 
 def denied_ids_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Denied nodes and all listed ids, even those that nothing has."""
-    return denied_subtree(spark, sf_dir).select(F.col("node_id").alias("stable_id")).unionByName(denylist(spark).select("stable_id")).distinct()
+    return G.all_denied(H.denied(tree_nodes(spark, sf_dir), denylist(spark)), denylist(spark))
 
 
 DENIED_IDS = f"WITH RECURSIVE {NODES_SQL}, {DENIED_SQL} SELECT node_id AS stable_id FROM deny UNION SELECT stable_id FROM denylist"
 
 
-def denied_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directories of all denied nodes, without those under another of them."""
-    nodes = tree_nodes(spark, sf_dir)
-    paths = H.walk_down(nodes).join(H.denied(nodes, denylist(spark)), "node_id", "left_semi")
-    return H.shallowest(paths.select(F.col("path").alias("dir")))
-
-
-DENIED_DIRS = f"""WITH RECURSIVE {WALK_SQL.replace(" AND status = 'published'", "").replace(" WHERE n.status = 'published'", "")}, {DENIED_SQL}, d AS (SELECT DISTINCT path AS dir FROM walk WHERE node_id IN (SELECT node_id FROM deny))
-SELECT dir FROM d WHERE NOT EXISTS (SELECT 1 FROM d x WHERE starts_with(d.dir, x.dir || '/'))"""
-
-
 def orphaned_denials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return denylist(spark).join(tree_nodes(spark, sf_dir), F.col("stable_id") == F.col("node_id"), "left_anti").select("stable_id")
+    return G.orphaned(denylist(spark), tree_nodes(spark, sf_dir).withColumn("stable_id", F.col("node_id")))
 
 
 ORPHANS = f"WITH {NODES_SQL}, {DENYLIST_SQL} SELECT stable_id FROM denylist WHERE NOT EXISTS (SELECT 1 FROM nodes WHERE node_id = stable_id)"
@@ -185,13 +175,13 @@ def pinned_read_live_governance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     old = generation(spark, sf_dir, 1).select("stable_id", F.col("title").alias("pinned_title"))
     live = generation(spark, sf_dir, 2).select("stable_id", tier(F.col("position")).alias("visibility"))
-    return old.join(live.where(H.visible(TIERS, "public")), "stable_id").select("stable_id", "pinned_title")
+    return G.live_rows(old, live, H.visible(TIERS, "public")).select("stable_id", "pinned_title")
 
 
 def _pinned_sql() -> str:
     from .derive import TIER_SQL, generation_sql
 
-    return f"WITH {generation_sql(1)}, {generation_sql(2)}, live AS (SELECT stable_id, {TIER_SQL.format('position')} AS visibility FROM gen2) SELECT g.stable_id, g.title AS pinned_title FROM gen1 g JOIN live USING (stable_id) WHERE {VISIBLE}"
+    return f"WITH {generation_sql(1)}, {generation_sql(2)}, live AS (SELECT stable_id, {TIER_SQL.format('position')} AS visibility FROM gen2) SELECT g.stable_id, g.title AS pinned_title FROM gen1 g JOIN live USING (stable_id) WHERE {VISIBLE.replace('visibility', 'live.visibility')}"
 
 
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,46 +196,7 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 READING_ORDER = "SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY CASE WHEN s_suppkey % 3 = 0 THEN (s_suppkey % 10)::DOUBLE ELSE 'Infinity'::DOUBLE END, s_name) AS position FROM supplier"
 
 
-def index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each region the index lines of its nations, in order."""
-    nodes = tree_nodes(spark, sf_dir).where("node_id like 'n:%'")
-    line = F.concat(F.lit("- ["), "title", F.lit("](/docs/"), "slug", F.lit("): nation "), F.col("ord").cast("string"))
-    rows = nodes.groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("l"))
-    return rows.select("parent_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
-
-
-INDEX_TEXT = f"WITH {NODES_SQL} SELECT parent_id, string_agg('- [' || title || '](/docs/' || slug || '): nation ' || ord, chr(10) ORDER BY ord) AS text FROM nodes WHERE node_id LIKE 'n:%' GROUP BY parent_id"
-
-
-def supersession_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which documents each document replaces: every seventh is replaced by the next id; itself is left out."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.col("doc_id") + 1).when(F.col("doc_id") % 7 == 3, F.col("doc_id")).alias("superseded_by"))
-    target = d.select(F.col("doc_id").alias("_target"))
-    rows = d.join(target, F.col("superseded_by") == F.col("_target")).where(F.col("doc_id") != F.col("_target"))
-    return rows.groupBy(F.col("_target").alias("doc_id")).agg(F.count(F.lit(1)).alias("predecessors"), F.min(d["doc_id"]).alias("first_predecessor"))
-
-
-SUPERSESSION = """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN doc_id + 1 WHEN doc_id % 7 = 3 THEN doc_id END AS s FROM documents)
-SELECT t.doc_id, count(*) AS predecessors, min(d.doc_id) AS first_predecessor FROM d JOIN d t ON t.doc_id = d.s WHERE d.doc_id <> t.doc_id GROUP BY t.doc_id"""
-
-
-def stage_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that a build for internal readers may ship: visible, and neither denied nor in a denied folder."""
-    from .derive import tier
-
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", tier(F.col("doc_id")).alias("visibility"))
-    folders = spark.createDataFrame([("src3",), ("src11",)], "source string")
-    ids = spark.createDataFrame([(4,), (17,)], "doc_id long")
-    return d.where(H.visible(TIERS, "public")).join(F.broadcast(folders), "source", "left_anti").join(F.broadcast(ids), "doc_id", "left_anti").select("doc_id", "source")
-
-
-def _stage_sql() -> str:
-    from .derive import TIER_SQL
-
-    return f"SELECT doc_id, source FROM (SELECT *, {TIER_SQL.format('doc_id')} AS visibility FROM documents) WHERE {VISIBLE} AND source NOT IN ('src3', 'src11') AND doc_id NOT IN (4, 17)"
-
-
-QUERIES = {f.__name__: f for f in (tree_paths, tree_ancestors, resolve_by_leaf, resolve_ambiguous, alias_flatten, outline_browse, outline_drilldown, outline_page, visible_sibling_rank, denied_node, denied_subtree, denied_ids_export, denied_dirs, orphaned_denials, audience_matrix, pinned_read_live_governance, reading_order, index_text, supersession_reverse, stage_plan)}
+QUERIES = {f.__name__: f for f in (tree_paths, tree_ancestors, resolve_by_leaf, resolve_ambiguous, alias_flatten, outline_browse, outline_drilldown, outline_page, visible_sibling_rank, denied_node, denied_subtree, denied_ids_export, orphaned_denials, audience_matrix, pinned_read_live_governance, reading_order)}
 ORACLE_SQL = {
     "tree_paths": TREE_PATHS,
     "tree_ancestors": TREE_ANCESTORS,
@@ -259,12 +210,8 @@ ORACLE_SQL = {
     "denied_node": DENIED_NODE,
     "denied_subtree": DENIED_SUBTREE,
     "denied_ids_export": DENIED_IDS,
-    "denied_dirs": DENIED_DIRS,
     "orphaned_denials": ORPHANS,
     "audience_matrix": AUDIENCE,
     "pinned_read_live_governance": _pinned_sql(),
     "reading_order": READING_ORDER,
-    "index_text": INDEX_TEXT,
-    "supersession_reverse": SUPERSESSION,
-    "stage_plan": _stage_sql(),
 }

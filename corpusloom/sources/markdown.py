@@ -48,15 +48,14 @@ def documents(files: DataFrame) -> DataFrame:
     stem = X.tie_key(name)
     index = name.isin(*INDEX_NAMES)
     own = F.when(index, F.element_at(F.split(folder, "/"), -1)).otherwise(stem)
-    human = F.initcap(F.regexp_replace(own, "[-_]+", " "))
     return rows.select(
         "path",
         folder.alias("folder"),
         index.alias("is_index"),
         X.node_slug(own).alias("slug"),
         X.stable_id(F.col("path"), F.col("meta")["sor_id"]).alias("stable_id"),
-        F.coalesce(F.nullif(F.col("meta")["title"], F.lit("")), human).alias("title"),
-        X.order_value(F.coalesce(F.col("meta")["order"], F.lit(""))).alias("order"),
+        X.title_of(F.col("meta")["title"], own).alias("title"),
+        X.order_value(F.coalesce(F.when(F.col("meta")["order"]["kind"] != "bool", F.col("meta")["order"]["value"]), F.lit(""))).alias("order"),
         X.tie_key(name).alias("tie"),
         X.body(F.col("text")).alias("body"),
         X.content_hash(X.body(F.col("text"))).alias("content_hash"),
@@ -74,7 +73,7 @@ def nodes(docs: DataFrame) -> DataFrame:
     named = folders.join(index, "f", "left")
     sid = F.coalesce("i.stable_id", F.concat("f", F.lit("#section")))
     last = F.element_at(F.split("f", "/"), -1)
-    sections = named.select("f", sid.alias("stable_id"), F.regexp_replace("f", "/?[^/]+$", "").alias("up"), X.node_slug(last).alias("slug"), F.coalesce("i.title", F.initcap(F.regexp_replace(last, "[-_]+", " "))).alias("title"), F.coalesce("i.order", F.expr("double('Infinity')")).alias("ord"), last.alias("name"))
+    sections = named.select("f", sid.alias("stable_id"), F.regexp_replace("f", "/?[^/]+$", "").alias("up"), X.node_slug(last).alias("slug"), F.coalesce("i.title", X.humanized(last)).alias("title"), F.coalesce("i.order", F.expr("double('Infinity')")).alias("ord"), last.alias("name"))
     parent = sections.select(F.col("f").alias("_f"), F.col("stable_id").alias("parent_id"))
     s = sections.join(parent, F.col("up") == F.col("_f"), "left").select("stable_id", "parent_id", "slug", "title", F.lit("section").alias("kind"), "ord", "name")
     d = docs.where("not is_index").join(parent, F.col("folder") == F.col("_f"), "left").select("stable_id", "parent_id", "slug", "title", F.lit("document").alias("kind"), F.col("order").alias("ord"), F.col("tie").alias("name"))
@@ -110,5 +109,5 @@ def denylist_manifest(denylist: DataFrame, corpus: str) -> DataFrame:
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks by tenant and generation, so that a generation is a folder: written, served and dropped as one."""
-    chunks.write.mode("append").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "generation").parquet(path)
+    """Chunks by tenant and generation, so that a generation is a folder: written, served and dropped as one; written again, replaced."""
+    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "generation").parquet(path)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.config import EngineConfig
+from corpusloom.functions.text import tokens
 from corpusloom.operators import calibration as E
 from corpusloom.operators import generations as V
 from corpusloom.operators import quality as Q
@@ -22,14 +23,14 @@ def test_config():
 
 def test_cover_density(spark):
     df = spark.createDataFrame([(["a", "b"],), (["a", "x", "b", "y", "a"],), (["a"],), ([],)], "w array<string>")
-    got = [r[0] for r in df.select(S.cover_density("w", F.array(F.lit("a"), F.lit("b")))).collect()]
+    got = [r[0] for r in df.select(S.cover_density(F.col("w"), ["a", "b"])).collect()]
     assert got == pytest.approx([0.1, 0.1, 0.0, 0.0])
 
 
 def test_websearch(spark):
     assert S.parse_websearch('big "red dog" -cat or fish') == [["big", '"red dog"', "-cat"], ["fish"]]
     df = spark.createDataFrame([(1, "a big red dog"), (2, "big dog red cat"), (3, "Fish!"), (4, ""), (5, None)], "id int, t string")
-    assert [r[0] for r in df.where(S.matches(F.col("t"), 'big "red dog" -cat or fish')).orderBy("id").collect()] == [1, 3]
+    assert [r[0] for r in df.where(S.matches(tokens(F.col("t")), 'big "red dog" -cat or fish')).orderBy("id").collect()] == [1, 3]
 
 
 def test_two_forms_of_cosine(spark, small):
@@ -38,7 +39,7 @@ def test_two_forms_of_cosine(spark, small):
     chunks = vector_chunks(spark, small)
     q = [float(x) for x in chunks.where("chunk_id = 3").first()["embedding"]]
     a = [(r["chunk_id"], round(r["sim"], 9)) for r in S.vector_arm(chunks, q, 7).orderBy("r").collect()]
-    b = [(r["chunk_id"], round(r["sim"], 9)) for r in S.search_many(chunks, None, [(0, q)], 7).orderBy("r").collect()]
+    b = [(r["chunk_id"], round(r["sim"], 9)) for r in S.search_many(chunks, spark.createDataFrame([(0, q)], "qid long, vector array<double>"), 7).orderBy("r").collect()]
     assert a == b
 
 

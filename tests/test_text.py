@@ -108,3 +108,25 @@ def test_columns(spark):
 @given(st.text(max_size=90))
 def test_heading_slug_is_capped(title):
     assert len(C.heading_slug(title)) <= 60
+
+
+def test_titles_ids_and_cuts(spark):
+    from pyspark.sql import functions as F
+
+    names = spark.createDataFrame([("rock'n'roll_night",), ("x2y-a",), ("  ",), ("ÉCOLE",)], "n string")
+    assert [r[0] for r in names.select(X.humanized(F.col("n"))).collect()] == [n.replace("_", " ").replace("-", " ").strip().title() for n in ("rock'n'roll_night", "x2y-a", "  ", "ÉCOLE")]
+    got = {k: (v.kind, v.text) for k, v in M.values("---\nsor_id: 123\ntitle: 0\na: 2.0\nb: yes\nc: a b # note: x\n---\n").items()}
+    assert got == {"sor_id": ("int", "123"), "title": ("int", "0"), "a": ("float", "2"), "b": ("bool", "true"), "c": ("str", "a b")}
+    one = spark.createDataFrame([("a\n\nb" + "c" * 20,)], "t string")
+    assert one.select(X.clean_cut(F.col("t"), 10)).first()[0] == "a\n\nbcccccc"
+    assert one.select(X.clean_cut(F.col("t"), 4)).first()[0] == "a\n\nb"
+    paths = spark.createDataFrame([("a/b/c.md", "../d.md"), ("c.md", "./x/y.md"), ("a/c.md", "../../z.md")], "p string, r string")
+    assert [r[0] for r in paths.select(X.resolved_from(F.col("p"), F.col("r"))).collect()] == ["a/d.md", "x/y.md", "z.md"]
+    flags = spark.createDataFrame([("paste this prompt into your agent",), ("please run the following command",), ("you are now in Rome",)], "t string")
+    assert [r[0] for r in flags.select(X.directive_like(F.col("t"))).collect()] == [True, True, False]
+    assert C.without_code("a `b` c\n\n```\nx\n```\n    code\ntext\n\n    code\n\n    - item\nlast") == "a   c\n\ntext\n\n    - item\nlast"
+
+
+def test_links_of_a_line():
+    assert C.only_links("- [a](b), <https://x.y> | https://z") and C.only_links("1. [a](b).")
+    assert not C.only_links("see [a](b)") and not C.only_links("[a](b) — and more") and not C.only_links("-")
