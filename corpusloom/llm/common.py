@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once, besides a longer single text.
 BLOCK_BYTES = 1 << 20
+#: Rows of such a block at most.
+BLOCK_ROWS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         current = spark.sparkContext.getCheckpointDir()
+        if current is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if current is None:
             spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='corpusloom-')}")
             current = spark.sparkContext.getCheckpointDir()
@@ -52,6 +57,18 @@ def dropped(*tables: DataFrame) -> None:
                 path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 128) -> Iterator[None]:
+    """Arrow batches of so few rows for what runs within: where a row holds several whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where the input has fewer files than the cluster has cores.
 
@@ -78,13 +95,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about so many bytes of text, one row at least."""
+    """The batch in slices of about so many bytes of text, one row at least and BLOCK_ROWS at most."""
     if not batch.num_rows:
         return
     _, offsets = buffers(batch.column(column))
     at = 0
     while at < batch.num_rows:
         end = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
-        end = min(max(end, at + 1), batch.num_rows)
+        end = min(max(end, at + 1), at + BLOCK_ROWS, batch.num_rows)
         yield batch.slice(at, end - at)
         at = end
