@@ -244,9 +244,11 @@ def payload(head: dict, coefficients: np.ndarray) -> bytes:
 
 
 def thumbnails(df: DataFrame, column: str = "media") -> DataFrame:
-    """df with width, height and thumbnail_hash of its JPEG files; null for what is none."""
+    """df with width, height and thumbnail_hash of its JPEG files; null for what is none. They replace columns of these names."""
     from pyspark.sql import types as T
 
+    df = df.drop("width", "height", "thumbnail_hash")
+
     schema = T.StructType([*df.schema.fields, T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("thumbnail_hash", T.StringType())])
 
     def one(data: bytes | None) -> tuple:

@@ -45,18 +45,17 @@ def document_hash(key: str) -> F.Column:
 def targets(sizes: list[int], weights: list[int], most: int = MOST) -> list[Fraction]:
     """What each source gets of the sum of sizes, by weight, at most so many times its size."""
     got = [Fraction(0)] * len(sizes)
-    free, rest = set(range(len(sizes))), Fraction(sum(sizes))
-    while free and rest:
-        share = rest / sum(weights[i] for i in free)
-        over = {i for i in free if share * weights[i] > most * sizes[i]}
-        if not over:
-            for i in free:
-                got[i] = share * weights[i]
+    rest, weight = Fraction(sum(sizes)), sum(weights)
+    # those that are full at the lowest level come first; from the first that isn't on, none is
+    order = sorted(range(len(sizes)), key=lambda i: Fraction(most * sizes[i], weights[i]))
+    for at, i in enumerate(order):
+        share = rest / weight
+        if share * weights[i] <= most * sizes[i]:
+            for j in order[at:]:
+                got[j] = share * weights[j]
             break
-        for i in over:
-            got[i] = Fraction(most * sizes[i])
-            rest -= got[i]
-        free -= over
+        got[i] = Fraction(most * sizes[i])
+        rest, weight = rest - got[i], weight - weights[i]
     return got
 
 

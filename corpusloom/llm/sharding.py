@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import dropped, table, written
 
 SHARDS = 8
 #: Hash buckets of an old shard for each shuffle partition.
@@ -116,18 +116,26 @@ def reshard(rows: DataFrame, key: str, shards: int = SHARDS, capacities: list[in
     return out.drop("_bucket", "_start", "_old", "_cuts", "_to", "_middle", "_first"), flow
 
 
-def rewrite(docs: DataFrame, assigned: DataFrame, key: str, flow: list[list[int]], old_folder: str, new_folder: str) -> DataFrame:
-    """Writes the affected shards' files anew and returns the manifest: shard, path, rewritten.
+def rewrite(docs: DataFrame, old_folder: str, new_folder: str, key: str = "doc_id", text: str = "text", shards: int = SHARDS, capacities: list[int] | None = None) -> tuple[DataFrame, list[list[int]]]:
+    """Writes the affected shards' files anew; returns the manifest (shard, path, rewritten) and the flow.
 
-    A shard that neither gives nor takes bytes keeps its files. docs: all documents, with old_shard.
+    docs: all documents, with old_shard. Each row is numbered once and keeps its number through the
+    reshard, so null ids and rows that repeat one come out as often as they went in. A shard is written
+    by as many tasks as it fills; the files of one in name order are its slots in order. A shard that
+    neither gives nor takes bytes keeps its files.
     """
-    shards = len(flow[0])
+    value = F.coalesce(text, F.lit(""))
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "sharding-rows")
+    thin = numbered.select("_row", "old_shard", (F.octet_length(value) + F.lit(1)).cast("long").alias("size"), F.xxhash64(key, F.crc32(value)).alias("hash"))
+    assigned, flow = reshard(thin, "_row", shards, capacities)
     moved = {k for i, row in enumerate(flow) for j, n in enumerate(row) if n and i != j for k in (i, j) if k < shards}
-    rows = assigned.where(F.col("shard").isin(sorted(moved))).select(key, "shard", "slot")
-    out = docs.join(rows, key)
-    out.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(new_folder)
+    rows = assigned.where(F.col("shard").isin(sorted(moved))).select("_row", "shard", "slot")
+    out = numbered.join(rows, "_row").drop("_row")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out.repartitionByRange(tasks, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(new_folder)
+    dropped(numbered)
     manifest = [(k, f"{new_folder if k in moved else old_folder}/shard={k}", k in moved) for k in range(shards)]
-    return docs.sparkSession.createDataFrame(manifest, "shard int, path string, rewritten boolean")
+    return docs.sparkSession.createDataFrame(manifest, "shard int, path string, rewritten boolean"), flow
 
 
 def sized(docs: DataFrame) -> DataFrame:

@@ -33,8 +33,6 @@ RULES = [
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that name a way in, not a page.
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid"
-#: Rules that are matched row by row; a longer list belongs in a table of its own.
-MOST_RULES = 1000
 
 
 def host(url: Column) -> Column:
@@ -47,13 +45,31 @@ def path(url: Column) -> Column:
 
 def own_rule(host_: Column, path_: Column, rules: list[tuple[str, str, str]]) -> Column:
     """The longest rule that fits, as a struct (rule, verdict), or null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow", r))
     found = [F.when(((host_ == h) | host_.endswith("." + h)) & path_.startswith(p), F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for v, h, p in ordered]
     return F.coalesce(*found) if found else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def with_rule(rows: DataFrame, rules: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    """rows (host, path) with _own, the rule that decides.
+
+    A few rules are a list and are matched row by row. Any number of them is a table (verdict, host,
+    path): each host and its parent domains are joined to it, and the longest match is an aggregate.
+    """
+    if not isinstance(rules, DataFrame):
+        return rows.withColumn("_own", own_rule(F.col("host"), F.col("path"), rules))
+    parts = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    # pages of one host and path are asked for once
+    asked = rows.where("host <> ''").select("host", "path").distinct().select("host", "path", F.explode(ends).alias("_end"))
+    named = rules.select("verdict", F.col("host").alias("_end"), F.col("path").alias("_begin"))
+    hits = asked.join(named, "_end").where(F.col("path").startswith(F.col("_begin")))
+    # of equal lengths allow comes first, then the first by name
+    rank = F.struct((-F.length(F.concat("_end", "_begin"))).alias("n"), (F.col("verdict") != "allow").alias("b"), F.col("_end").alias("e"), F.col("_begin").alias("p"), F.struct(F.concat("_end", "_begin").alias("rule"), "verdict").alias("own"))
+    best = hits.groupBy("host", "path").agg(F.min(rank).alias("_best"))
+    return rows.join(best, ["host", "path"], "left").withColumn("_own", F.col("_best.own")).drop("_best")
+
+
 def alias_key(url: Column) -> Column:
     """What all spellings of a page's url have in common; null for a null url or one without ://."""
     rest = F.regexp_replace(F.regexp_extract(url, "://[^/?#]*[^?#]*\\??([^#]*)", 1), f"(^|&)(?:{TRACKING})=[^&]*", "")
@@ -80,14 +96,13 @@ def html_links(url: Column, html: Column) -> Column:
     return F.filter(F.array(_resolved(canonical, url), _resolved(refresh, url)), lambda x: x.isNotNull())
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES, redirects: DataFrame | None = None) -> DataFrame:
     """pages (page_id, url, html) with host, path, rule, verdict and decided_by (rule, alias or default); html goes.
 
-    redirects: further edges, source and target urls.
+    rules: a list, or a table of any length. redirects: further edges, source and target urls.
     """
-    rule = own_rule(F.col("host"), F.col("path"), rules)
     rows = pages.select("page_id", "url", html_links(F.col("url"), F.coalesce("html", F.lit(""))).alias("_links"))
-    rows = rows.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), alias_key(F.col("url")).alias("_key"), "_links").withColumn("_own", rule)
+    rows = with_rule(rows.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), alias_key(F.col("url")).alias("_key"), "_links"), rules)
     rows = written(rows, "urls")
     edges = rows.select(F.col("_key").alias("a"), F.explode("_links").alias("url"))
     if redirects is not None:
@@ -95,7 +110,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirect
         ends = redirects.select(F.explode(F.array("source", "target")).alias("url"))
     edges = edges.select("a", "url", alias_key(F.col("url")).alias("b"))
     targets = edges.select("url") if redirects is None else edges.select("url").unionByName(ends)
-    targets = targets.select(alias_key(F.col("url")).alias("_key"), own_rule(host(F.col("url")), path(F.col("url")), rules).alias("_own"))
+    targets = with_rule(targets.select(alias_key(F.col("url")).alias("_key"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path")), rules).select("_key", "_own")
     known = rows.select("_key", "_own").unionByName(targets).where(F.col("_key").isNotNull())
     # what the spellings of one key say, combined before the shuffle
     keys = known.groupBy("_key").agg(F.max((F.col("_own.verdict") == "allow").cast("int")).alias("_allow"), F.max((F.col("_own.verdict") == "block").cast("int")).alias("_block"))
@@ -103,7 +118,9 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirect
     keys = keys.join(linked, keys["_key"] == linked["node"], "left").select("_key", "_allow", "_block", F.coalesce("component", "_key").alias("_root"))
     roots = keys.groupBy("_root").agg(F.max("_allow").alias("_any_allow"), F.max("_block").alias("_any_block")).where("_any_allow = 1 or _any_block = 1")
     said = keys.join(roots, "_root").select("_key", F.when(F.col("_any_allow") == 1, "allow").otherwise("block").alias("_said"))
-    out = rows.join(said, "_key", "left")
+    # rows without a key have no alias: they are not shuffled to one task
+    keyless = rows.where(F.col("_key").isNull()).withColumn("_said", F.lit(None).cast("string"))
+    out = rows.where(F.col("_key").isNotNull()).join(said, "_key", "left").unionByName(keyless)
     verdict = F.coalesce("_own.verdict", "_said", F.lit("allow"))
     by = F.when(F.col("_own").isNotNull(), "rule").when(F.col("_said").isNotNull(), "alias").otherwise("default")
     return out.select("page_id", "url", "host", "path", F.col("_own.rule").alias("rule"), verdict.alias("verdict"), by.alias("decided_by"), F.col("_key").alias("alias_key"))
