@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once, besides a longer single text.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Rows of such a block at most.
 BLOCK_ROWS = 4096
+#: Rows of an Arrow batch at most, where rows hold whole texts.
+TEXT_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,13 @@ def small_batches(spark: SparkSession, rows: int = 128) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches of TEXT_ROWS rows at most from here on, as plans take the setting when they run; smaller ones that the session asks for stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where the input has fewer files than the cluster has cores.
 

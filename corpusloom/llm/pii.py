@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import blocks, spread, table
+from .common import blocks, spread, table, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of a segment, and characters of a window on both sides of an anchor.
@@ -326,6 +326,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 def found(df: DataFrame, text: str = "text", redact: bool = False) -> DataFrame:
     """df with counts and digest of the base spans and all spans; redact: also the text with each span as [KIND]. They replace columns of these names."""
+    text_batches(df.sparkSession)
     names = [f"n_{k}" for k in KINDS]
     df = df.drop(*names, "base_sha256", "spans", "n_added", *(["redacted"] if redact else []))
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in names), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType()), *([T.StructField("redacted", T.StringType())] if redact else [])])
