@@ -37,6 +37,24 @@ def test_viterbi_is_the_best_of_all_segmentations(spark):
     assert {w: pieces._viterbi_word(w, model.by_piece(), 100, 3).tolist() for w in words} == want
 
 
+def test_words_folded_at_once_are_as_one_by_one():
+    """Ties of scores, characters that are no piece, long and empty lists of words; and the given model."""
+    toy = {"a": (-9.0, 0), "b": (-9.0, 1), "c": (-9.0, 2), "ab": (-1.0, 3), "bc": (-1.0, 4), "aa": (-1.0, 5), "abc": (-2.0, 6), "aab": (-3.0, 7), "abab": (-2.0, 8), "x?": (-1.0, 9)}
+    words = ["".join(w) for n in range(1, 7) for w in itertools.product("abc", repeat=n)]
+    words += ["a?b", "x?", "\U0001f600ab", "ab" * 32, "ab" * 33, "abc" * 100]
+    merges = pieces.Merges(toy, 100)
+    got = merges.fold(words)
+    assert got.keys() == set(words)
+    assert all(got[w].tolist() == pieces.fold_word(w, toy, 100).tolist() for w in words)
+    assert merges.fold([]) == {}
+    assert pieces.Merges({"a": (0.0, 0)}, 9).fold(["a", "aa"])["aa"].tolist() == [0, 0]
+    model = pieces.load(pieces.model_path())
+    words = ["▁international", "▁1234.56", "▁▁▁", "\n\n", "▁naïve", "▁日本", "▁" + "z" * 70, "▁don't"]
+    got = pieces.Merges(model.by_piece(), model.byte_base).fold(words)
+    assert all(got[w].tolist() == pieces.fold_word(w, model.by_piece(), model.byte_base).tolist() for w in words)
+
+
+
 def test_decode_is_the_best_of_all_segmentations():
     rng = np.random.default_rng(8)
     for _ in range(200):
