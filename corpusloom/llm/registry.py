@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .fingerprints import op1_fingerprints
-from . import licenses
+from . import audit, licenses
+from .audit import op13_filter_audit
+from .bpe import op11_byte_bpe
 from .licenses import op4_licenses
 from .media import op9_media
 from .mixing import op10_mixing
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_media": op9_media,
     "op10_mixing": op10_mixing,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.ORACLE_SQL, "op13_filter_audit": audit.ORACLE_SQL}
