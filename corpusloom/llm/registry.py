@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import op1_fingerprints
-from . import audit, licenses
+from . import audit, licenses, resampling
 from .audit import op13_filter_audit
 from .bpe import op11_byte_bpe
 from .licenses import op4_licenses
@@ -11,6 +11,7 @@ from .media import op9_media
 from .mixing import op10_mixing
 from .pieces import op7_pieces
 from .pii import op3_pii
+from .resampling import op12_resampling
 from .sharding import op8_sharding
 from .simhash import op6_simhash
 from .toxicity import op2_toxicity
@@ -28,7 +29,8 @@ QUERIES = {
     "op9_media": op9_media,
     "op10_mixing": op10_mixing,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_resampling": op12_resampling,
     "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.ORACLE_SQL, "op13_filter_audit": audit.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.ORACLE_SQL, "op12_resampling": resampling.ORACLE_SQL, "op13_filter_audit": audit.ORACLE_SQL}
