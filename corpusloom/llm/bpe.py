@@ -9,7 +9,7 @@ undone. Tokens t1 ... tn are the encoding of their bytes if and only if each ti
 to itself. (Up to the first merge that crosses a border, what lies between the next borders goes
 through the same merges as alone; so that merge would also cross the border in the pair alone.)
 Both parts and the window are encodings, so the seams of the window are all that needs a look, and
-one look settles them: pairs are remembered as stable or not.
+one look settles them: the encodings of pairs are remembered.
 
 Words share their halves, so the tree of most words is one join of two remembered halves. Spark
 spreads the texts; within a text each match of the pattern has a tree of its own. Decoding is a
@@ -24,6 +24,8 @@ empty result; columns named like a result are replaced.
 from __future__ import annotations
 
 import base64
+import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -65,7 +67,7 @@ class Tree:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks, self.tokens = ranks, {rank: token for token, rank in ranks.items()}
         self.halves: dict[bytes, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[tuple[int, int], tuple[int, ...]] = {}
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a match of the pattern."""
@@ -80,19 +82,16 @@ class Tree:
             else:
                 half = len(piece) >> 1
                 out = self.join(self._halves(piece[:half]), self._halves(piece[half:]))
-            if len(piece) <= MOST_REMEMBERED_BYTES:
-                if len(self.halves) >= REMEMBERED:
-                    self.halves.clear()
-                self.halves[piece] = out
+            self._remember(piece, out)
         return out
 
     def join(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the bytes of a and b, both of them encodings and not empty."""
-        if self.stable(a[-1], b[0]):
+        window = self.pair(a[-1], b[0])
+        if window == (a[-1], b[0]):
             return a + b
         i = j = 1
         while True:
-            window = self.merged(self.decode(a[len(a) - i :]) + self.decode(b[:j]))
             left = i == len(a) or self.stable(a[-i - 1], window[0])
             right = j == len(b) or self.stable(window[-1], b[j])
             if left and right:
@@ -101,16 +100,35 @@ class Tree:
                 i = min(2 * i, len(a))
             if not right:
                 j = min(2 * j, len(b))
+            window = self.window(self.decode(a[len(a) - i :]) + self.decode(b[:j]))
 
     def stable(self, x: int, y: int) -> bool:
         """Whether no merge crosses the border of these two tokens."""
+        return self.pair(x, y) == (x, y)
+
+    def pair(self, x: int, y: int) -> tuple[int, ...]:
+        """The encoding of the bytes of two tokens."""
         found = self.pairs.get((x, y))
         if found is None:
             if len(self.pairs) >= REMEMBERED:
                 self.pairs.clear()
-            found = self.pairs[x, y] = self.merged(self.tokens[x] + self.tokens[y]) == (x, y)
+            found = self.pairs[x, y] = self.merged(self.tokens[x] + self.tokens[y])
         return found
 
+    def window(self, piece: bytes) -> tuple[int, ...]:
+        """The encoding of a window, remembered like that of a half."""
+        found = self.halves.get(piece)
+        if found is None:
+            found = self.merged(piece)
+            self._remember(piece, found)
+        return found
+
+    def _remember(self, piece: bytes, ids: tuple[int, ...]) -> None:
+        if len(piece) <= MOST_REMEMBERED_BYTES:
+            if len(self.halves) >= REMEMBERED:
+                self.halves.clear()
+            self.halves[piece] = ids
+
     def merged(self, piece: bytes) -> tuple[int, ...]:
         """The encoding by its definition: merge by merge, the lowest rank first. For windows."""
         n, ranks = len(piece), self.ranks
@@ -144,7 +162,7 @@ class Matches(dict):
 
     def __missing__(self, match: str) -> bytes:
         raw = match.encode()
-        ids = np.array(self.tree.encode(raw), np.int32).tobytes()
+        ids = array("i", self.tree.encode(raw)).tobytes()
         if len(raw) <= MOST_REMEMBERED_BYTES:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -152,19 +170,32 @@ class Matches(dict):
         return ids
 
 
+_matches: dict[str, Matches] = {}
+
+
+def matches_of(mark: str, ranks: dict[bytes, int]) -> Matches:
+    """What this Python worker remembers of a table, from one task to the next."""
+    if mark not in _matches:
+        _matches.clear()
+        _matches[mark] = Matches(Tree(ranks))
+    return _matches[mark]
+
+
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, cut: str | None = None) -> DataFrame:
     """docs and the ids of each text. path: a file of ranks; cut: the pattern whose matches are encoded separately."""
     text_batches(docs.sparkSession)
     cut = cut or pattern()
     # as large as the file, whatever the corpus
-    shared = docs.sparkSession.sparkContext.broadcast(load(path or ranks_path()))
+    ranks = load(path or ranks_path())
+    mark = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
     rest = [f for f in docs.schema.fields if f.name != ids]
     schema = T.StructType([*rest, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, own = regex.compile(cut).findall, Matches(Tree(shared.value))
+        find, own = regex.compile(cut).findall, matches_of(mark, shared.value)
         for batch in batches:
             for part in blocks(batch, text):
                 data, offsets = buffers(part.column(text))
