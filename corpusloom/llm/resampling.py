@@ -141,10 +141,11 @@ def blocks_of(docs: DataFrame, key: str | None, text: str, n_from: int, n_to: in
 
 
 def tuples_of(blocks: DataFrame, n_to: int) -> DataFrame:
-    """side, block, at, tuple (an array of dictionary ids) and n, of every block's tuples; and, second, the dictionary: word, id."""
+    """side, block, at, tuple (an array of dictionary ids) and n, of every block's tuples; and, second, the dictionary: word, id, and the words' own uses s and t where they are tuples."""
     words = blocks.where("kind = 'word'").select("side", "block", "at", "word", "n")
-    dictionary = written(words.groupBy("word").agg(F.lit(1).alias("one")).select("word", F.monotonically_increasing_id().alias("id")), "dictionary")
-    known = words.join(dictionary, "word")
+    uses = [F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)).alias(name) for side, name in ((0, "s"), (1, "t"))]
+    dictionary = written(words.groupBy("word").agg(*uses).withColumn("id", F.monotonically_increasing_id()), "dictionary")
+    known = words.join(dictionary.select("word", "id"), "word")
     if n_to == 1:  # a tuple of one word has the word's number
         return known.select("side", "block", "at", F.array("id").alias("tuple"), "n"), dictionary
     known = known.select("side", "block", F.col("at").alias("place"), "id")
@@ -155,11 +156,11 @@ def tuples_of(blocks: DataFrame, n_to: int) -> DataFrame:
 
 def hashed(tuples: DataFrame, dictionary: DataFrame, buckets: int, n_to: int) -> DataFrame:
     """tuple, its bucket, s and t: every distinct tuple once, its bytes put together from the dictionary."""
-    uses = tuples.groupBy("tuple").agg(F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("s"), F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("t"))
-    if n_to == 1:
-        spelled = uses.withColumn("id", F.col("tuple")[0]).join(dictionary, "id").withColumnRenamed("word", "bytes")
+    if n_to == 1:  # a tuple of one word is used as often as the word
+        spelled = dictionary.select(F.array("id").alias("tuple"), F.col("word").alias("bytes"), "s", "t")
     else:
-        parts = uses.select("tuple", "s", "t", F.posexplode("tuple").alias("k", "id")).join(dictionary, "id")
+        uses = tuples.groupBy("tuple").agg(*(F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)).alias(name) for side, name in ((0, "s"), (1, "t"))))
+        parts = uses.select("tuple", "s", "t", F.posexplode("tuple").alias("k", "id")).join(dictionary.select("word", "id"), "id")
         spelled = parts.groupBy("tuple", "s", "t").agg(F.array_sort(F.collect_list(F.struct("k", "word"))).alias("p"))
         spelled = spelled.withColumn("bytes", F.aggregate(F.slice("p", 2, n_to), F.col("p")[0]["word"], lambda a, x: F.concat(a, F.lit(b" "), x["word"])))
     return spelled.select("tuple", F.pmod(F.crc32("bytes"), F.lit(buckets)).cast("int").alias("bucket"), "s", "t")
