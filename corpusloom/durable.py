@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,7 +22,64 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/durable-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder, until the session ends."""
+    return Scratch.of(df.sparkSession).keep(df)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Scratch:
+    """Owns durable tables: each goes by drop(), the rest at the end of the with block or by close()."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    _of: dict[str, Scratch] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession) -> Scratch:
+        """The session's own: what functions return as DataFrames stays until the program ends."""
+        name = spark.sparkContext.applicationId
+        if name not in cls._of:
+            own = cls._of[name] = cls(spark)
+
+            def end() -> None:
+                with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
+                    own.close()
+
+            atexit.register(end)
+        return cls._of[name]
+
+    def keep(self, df: DataFrame, **counted: Column) -> DataFrame:
+        """df as a table; what `counted` aggregates while it is written is in the result's `counted`, without another job."""
+        seen = Observation() if counted else None
+        if seen is not None:
+            df = df.observe(seen, *[c.alias(name) for name, c in counted.items()])
+        path = f"{shared_folder(self.spark)}/durable-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch_path = path
+        out.counted = seen.get if seen is not None else {}
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes what keep() returned, once nothing reads it any more."""
+        path = df._scratch_path
+        self.paths.remove(path)
+        removed(self.spark, path)
+
+    def close(self) -> None:
+        while self.paths:
+            removed(self.spark, self.paths.pop())
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()

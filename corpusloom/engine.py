@@ -182,18 +182,17 @@ class Engine:
         if self.aliases is not None:
             one = H.flattened(self.spark.createDataFrame([(want,)], "address string"), self._of(self.aliases, generation).select(F.col("alias_slug").alias("alias"), F.col("canonical_slug").alias("canonical")))
             want = one.first()["canonical_address"]
-        paths = H.walk_down(nodes, F.col("status") == "published").select("node_id", "path")
+        # the last segment picks the candidates, and only they climb
         leaf = want.rsplit("/", 1)[-1]
-        found = allowed.where(F.col("slug") == leaf).join(paths, "node_id").persist()
-        fits = found.where((F.col("path") == want) | F.col("path").endswith("/" + want))
-        rows = fits.limit(MAX_SEARCH_K).collect()
-        if not rows and "/" not in want:
-            rows = found.limit(2).collect()
-            rows = rows if len(rows) == 1 else []
+        named = allowed.where(F.col("slug") == leaf).collect()
+        paths = H.climbed(nodes.where(F.col("status") == "published"), [r["node_id"] for r in named])
+        found = [r for r in named if r["node_id"] in paths]
+        rows = [r for r in found if paths[r["node_id"]] == want or paths[r["node_id"]].endswith("/" + want)]
         if not rows:
             raise Unknown(f"no document {address!r}")
         if len(rows) > 1:
-            names = [r["address"] for r in H.shortest_unique(fits.select("node_id", "path")).orderBy("address").limit(MAX_SEARCH_K).collect()]
+            fits = self.spark.createDataFrame([(r["node_id"], paths[r["node_id"]]) for r in rows], "node_id string, path string")
+            names = [r["address"] for r in H.shortest_unique(fits).orderBy("address").limit(MAX_SEARCH_K).collect()]
             raise Unknown(f"{address!r} may be {', '.join(names)}")
         return rows[0]
 

@@ -134,16 +134,21 @@ def other_models(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 def ordered_parents_first(nodes: DataFrame) -> DataFrame:
     """Nodes with level, parents before children. An unknown parent or a cycle fails: such nodes have no level."""
-    from .tree import walk_down
+    from ..durable import Scratch
+    from .labels import reached
 
-    levels = walk_down(nodes).select("node_id", F.col("depth").alias("level"))
+    levels = reached(nodes, Scratch.of(nodes.sparkSession)).select("node_id", F.col("depth").cast("int").alias("level"))
     unplaced = F.when(F.col("level").isNull(), F.raise_error(F.concat(F.lit("unknown parent or cycle at "), F.col("node_id"))).cast("int")).otherwise(F.col("level"))
     return nodes.join(levels, "node_id", "left").withColumn("level", unplaced)
 
 
 def ordered_leaves_first(nodes: DataFrame) -> DataFrame:
-    """Nodes with turn: what is deleted in one turn has no children left."""
-    from .tree import ancestors
-
-    heights = ancestors(nodes).groupBy(F.col("ancestor_id").alias("node_id")).agg(F.max("climbed").alias("turn"))
-    return nodes.join(heights, "node_id", "left").withColumn("turn", F.coalesce("turn", F.lit(0)))
+    """Nodes with turn: what is deleted in one turn has no children left. A parent that isn't there holds nobody up; a cycle fails."""
+    from ..durable import Scratch
+    from .labels import reached
+
+    here = nodes.select(F.col("node_id").alias("_here"))
+    rooted = nodes.select("node_id", "parent_id").join(here, F.col("parent_id") == F.col("_here"), "left").select("node_id", F.col("_here").alias("parent_id"))
+    heights = reached(rooted, Scratch.of(nodes.sparkSession)).select("node_id", F.col("height").cast("int").alias("turn"))
+    stuck = F.when(F.col("turn").isNull(), F.raise_error(F.concat(F.lit("a cycle at "), F.col("node_id"))).cast("int")).otherwise(F.col("turn"))
+    return nodes.join(heights, "node_id", "left").withColumn("turn", stuck)

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from .tree import ancestors, order_part, visible
+from ..durable import Scratch
+from . import labels
+from .labels import order_part
+from .tree import visible
 
 #: Fixed value: the status that a document has unless it says otherwise.
 ASSUMED_STATUS = "approved"
@@ -94,9 +97,18 @@ def caveats(pages: DataFrame) -> DataFrame:
     return pages.select("url", caveat(F.nullif(X.stripped(F.col("status")), F.lit(""))).alias("status")).where("status is not null")
 
 
+def documents_below(nodes: DataFrame) -> DataFrame:
+    """node_id and the number of documents below it: sums that double their reach, of one row a node."""
+    rows = labels._parents(nodes.select("node_id", "parent_id", (F.col("kind") == "document").cast("long").alias("documents"))).select("node_id", "up", "documents")
+    add = ("documents", lambda step: F.sum("documents"), lambda own, found: own + F.coalesce(found, F.lit(0)))
+    done = labels._rounds(rows, Scratch.of(nodes.sparkSession), lambda columns, step: {"documents": F.col("documents")}, [add])
+    own = nodes.select("node_id", (F.col("kind") == "document").cast("long").alias("_own"))
+    return done.join(own, "node_id").select("node_id", (F.col("documents") - F.col("_own")).alias("documents"))
+
+
 def entries(nodes: DataFrame, parent: str | None = None) -> DataFrame:
     """Children of a node (or the roots) in order, sections with the number of documents below them."""
-    below = ancestors(nodes).join(nodes.where("kind = 'document'").select("node_id"), "node_id", "left_semi").groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count(F.lit(1)).alias("documents"))
+    below = documents_below(nodes)
     of = F.col("parent_id").isNull() if parent is None else F.col("parent_id") == parent
     number = F.row_number().over(Window.partitionBy("parent_id").orderBy(order_part(F.col("ord"), F.col("slug"))))
     rows = nodes.where(of).withColumn("position", number).join(below, "node_id", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import durable
+from ..durable import Scratch
 
 
 def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
@@ -38,24 +38,41 @@ def missing_keys(frontmatter: Column, required: list[str]) -> Column:
     return F.array_except(F.array(*map(F.lit, required)), F.map_keys(frontmatter))
 
 
-def supersession_problems(docs: DataFrame, most: int = 50) -> DataFrame:
+def rings(links: DataFrame, key: str, to: str) -> DataFrame:
+    """key and ring, the least key of its cycle, of rows that following `to` leads back to. A key has one link.
+
+    Pointer jumping: after as many steps as there are links, and those take a logarithm of rounds, every
+    walk is over or in a cycle, and a cycle's members are what such walks arrive at. Then the least key
+    seen doubles its reach in the same way.
+    """
+    scratch = Scratch.of(links.sparkSession)
+    one = links.where(F.col(to).isNotNull()).groupBy(F.col(key).alias("node")).agg(F.min(to).alias("to"))
+    first = now = scratch.keep(one)
+    n, step = first.count(), 1
+    while step < n and not now.isEmpty():
+        now, before = scratch.keep(now.select("node", F.col("to").alias("at")).join(now.select(F.col("node").alias("at"), "to"), "at").select("node", "to")), now
+        if before is not first:
+            scratch.drop(before)
+        step *= 2
+    members = now.select(F.col("to").alias("node")).distinct()
+    ring = scratch.keep(first.join(members, "node").select("node", "to", F.least("node", "to").alias("least")))
+    step = 1
+    while step < ring.count():
+        ahead = ring.select(F.col("node").alias("at"), F.col("to").alias("_to"), F.col("least").alias("_least"))
+        ring, before = scratch.keep(ring.join(ahead, F.col("to") == F.col("at")).select("node", F.col("_to").alias("to"), F.least("least", "_least").alias("least"))), ring
+        scratch.drop(before)
+        step *= 2
+    return ring.select(F.col("node").alias(key), F.col("least").alias("ring"))
+
+
+def supersession_problems(docs: DataFrame) -> DataFrame:
     """doc_id and problem: cycle, chain (the successor is itself replaced) or less_visible (it is for fewer readers).
 
-    docs: doc_id, superseded_by, rank (0: everyone).
+    docs: doc_id, superseded_by, rank (0: everyone). Cycles of any length are found in rounds by the logarithm of the links.
     """
     links = docs.where("superseded_by is not null")
     to = docs.select(F.col("doc_id").alias("_to"), F.col("superseded_by").alias("_next"), F.col("rank").alias("_rank"))
     first = links.join(to, F.col("superseded_by") == F.col("_to"))
     chain = first.where("_next is not null").select("doc_id", F.lit("chain").alias("problem"))
     hidden = first.where("_rank > rank").select("doc_id", F.lit("less_visible").alias("problem"))
-    at = first.select("doc_id", F.col("_next").alias("at"), (F.col("superseded_by") == F.col("doc_id")).alias("back"))
-    found = at.where("back").select("doc_id")
-    hop = docs.select(F.col("doc_id").alias("_from"), F.col("superseded_by").alias("_then"))
-    for _ in range(most):
-        at = at.where("at is not null and not back").select("doc_id", "at", (F.col("at") == F.col("doc_id")).alias("back"))
-        found = found.unionByName(at.where("back").select("doc_id"))
-        at = at.where("not back").join(hop, F.col("at") == F.col("_from")).select("doc_id", F.col("_then").alias("at"), F.lit(False).alias("back"))
-        at = durable(at)
-        if at.where("at is not null").isEmpty():
-            break
-    return chain.unionByName(hidden).unionByName(found.distinct().select("doc_id", F.lit("cycle").alias("problem")))
+    return chain.unionByName(hidden).unionByName(rings(links, "doc_id", "superseded_by").select("doc_id", F.lit("cycle").alias("problem")))

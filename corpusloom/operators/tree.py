@@ -1,7 +1,7 @@
 """The node tree: paths, ancestors, address resolution, outlines, denials.
 
-Levels are joined one after the other until one is empty; each level is a table in the shared folder,
-so plans stay short and a lost executor costs nothing.
+What goes along ancestors doubles its reach every round, so depth costs rounds by its logarithm. Outlines
+and denials are conditions on interval labels, which a build stores with its generation.
 """
 
 from __future__ import annotations
@@ -10,72 +10,83 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..durable import durable
+from ..durable import Scratch
+from . import labels as L
+from .labels import order_part
 
-MOST_LEVELS = 100
+PUBLISHED = "status = 'published'"
+#: Levels of an outline that are joined in one plan; deeper ones double.
+JOINED_LEVELS = 6
 
 
-def _levels(first: DataFrame, step, levels: int | None = None) -> DataFrame:
-    """first and what step makes of it, level by level: so many levels, or until one is empty."""
-    level = durable(first)
-    out = level
-    for _ in range(MOST_LEVELS if levels is None else levels - 1):
-        level = durable(step(level))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    if levels is not None:
-        return out
-    raise ValueError(f"more than {MOST_LEVELS} levels: a cycle?")
-
-
-def order_part(ord_: Column, name: Column) -> Column:
-    """Sorts as (order, name), the order as a number and the name by code points."""
-    return F.struct(ord_.cast("double").alias("ord"), name.alias("name"))
-
-
-def walk_down(nodes: DataFrame, only: Column | None = None, levels: int | None = None) -> DataFrame:
-    """Nodes that roots reach through nodes that pass: with path, depth and sort_key (one entry a level); so many levels, or all."""
+def walk_down(nodes: DataFrame, only: Column | None = None) -> DataFrame:
+    """Nodes that roots reach through nodes that pass: with path, depth and sort_key (one entry a level)."""
+    scratch = Scratch.of(nodes.sparkSession)
     rows = nodes if only is None else nodes.where(only)
     part = F.array(order_part(F.col("ord"), F.col("slug")))
-    first = rows.where(F.col("parent_id").isNull()).select("*", F.col("slug").alias("path"), F.lit(0).alias("depth"), part.alias("sort_key"))
+    first = L._parents(rows.select("node_id", "parent_id", F.col("slug").alias("path"), part.alias("sort_key"))).select("node_id", "up", "whole", "path", "sort_key")
 
-    def step(level: DataFrame) -> DataFrame:
-        up = level.select(F.col("node_id").alias("_up"), F.col("path").alias("_path"), F.col("depth").alias("_depth"), F.col("sort_key").alias("_sort"))
-        found = rows.join(up, rows["parent_id"] == F.col("_up"))
-        return found.select(*[rows[c] for c in rows.columns], F.concat("_path", F.lit("/"), "slug").alias("path"), (F.col("_depth") + 1).alias("depth"), F.concat("_sort", part).alias("sort_key"))
+    def above(columns: list[str], step: int) -> dict[str, Column]:
+        up = F.col("u_node_id").isNotNull()
+        return {
+            "whole": F.when(up, F.col("whole") & F.col("u_whole")).otherwise(F.col("whole")),
+            "path": F.when(up, F.concat("u_path", F.lit("/"), "path")).otherwise(F.col("path")),
+            "sort_key": F.when(up, F.concat("u_sort_key", "sort_key")).otherwise(F.col("sort_key")),
+        }
 
-    return _levels(first, step, levels)
+    done = L._rounds(first, scratch, above).where("up is null and whole")
+    return rows.join(done.select("node_id", "path", (F.size("sort_key") - 1).alias("depth"), "sort_key"), "node_id").select(*rows.columns, "path", "depth", "sort_key")
 
 
 def ancestors(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """node_id, ancestor_id and climbed (steps, 1 for the parent) of the nodes, or of those in `of`."""
-    up = nodes.where(F.col("parent_id").isNotNull()).select(F.col("node_id").alias("_node"), "parent_id")
-    begin = nodes if of is None else nodes.join(of.select("node_id"), "node_id", "left_semi")
-    first = begin.where(F.col("parent_id").isNotNull()).select("node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("climbed"))
-
-    def step(level: DataFrame) -> DataFrame:
-        return level.join(up, level["ancestor_id"] == up["_node"]).select("node_id", F.col("parent_id").alias("ancestor_id"), (F.col("climbed") + 1).alias("climbed"))
+    """node_id, ancestor_id and climbed (steps, 1 for the parent) of the nodes, or of those in `of`. A cycle of parents fails.
 
-    return _levels(first, step)
+    After k rounds every row within 2^k steps is there: those found so far climb 2^k steps at once.
+    """
+    scratch = Scratch.of(nodes.sparkSession)
+    jump = scratch.keep(nodes.where("parent_id is not null").select("node_id", F.col("parent_id").alias("to")).distinct())
+    begin = nodes if of is None else nodes.join(of.select("node_id"), "node_id", "left_semi")
+    found = scratch.keep(begin.where("parent_id is not null").select("node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("climbed")).distinct())
+    most, step, count = jump.count(), 1, F.count(F.lit(1))
+    while True:
+        up = jump.select(F.col("node_id").alias("_node"), F.col("to").alias("_to"))
+        more = found.join(up, F.col("ancestor_id") == F.col("_node")).select("node_id", F.col("_to").alias("ancestor_id"), (F.col("climbed") + step).alias("climbed"))
+        more = scratch.keep(more, n=count)
+        if not more.counted["n"]:
+            scratch.drop(more)
+            return found
+        if step > most:
+            raise ValueError("a node is its own ancestor")
+        joined = scratch.keep(found.unionByName(more))
+        scratch.drop(found)
+        scratch.drop(more)
+        found = joined
+        far, near = jump.select(F.col("to").alias("_at"), "node_id"), jump.select(F.col("node_id").alias("_at"), "to")
+        jump, before = scratch.keep(far.join(near, "_at").select("node_id", "to")), jump
+        scratch.drop(before)
+        step *= 2
 
 
 def denied(nodes: DataFrame, denylist: DataFrame) -> DataFrame:
     """Distinct node_id (and stable_id) of listed nodes, and of all below those listed as subtree.
 
-    A node is gone down from once, so a cycle of parents ends. Nodes without a stable_id are listed by node_id.
+    In a cycle of parents all are below each other. Nodes without a stable_id are listed by node_id.
+    Labelled nodes (pre and last) are asked by range, in one pass.
     """
     named = nodes if "stable_id" in nodes.columns else nodes.withColumn("stable_id", F.col("node_id"))
-    named = durable(named.select("node_id", "parent_id", "stable_id"))
-    seeds = named.join(denylist.groupBy("stable_id").agg(F.bool_or(F.col("scope") == "subtree").alias("cascade")), "stable_id")
-    level = durable(seeds.where("cascade").select("node_id"))
-    below = level
-    while not level.isEmpty():
-        up = level.select(F.col("node_id").alias("_up"))
-        level = named.join(up, named["parent_id"] == F.col("_up")).select("node_id").distinct().join(below, "node_id", "left_anti")
-        level = durable(level)
-        below = below.unionByName(level)
-    return named.join(seeds.select("node_id").unionByName(below).distinct(), "node_id", "left_semi").select("node_id", "stable_id")
+    listed = denylist.groupBy("stable_id").agg(F.bool_or(F.col("scope") == "subtree").alias("cascade"))
+    scratch = Scratch.of(nodes.sparkSession)
+    if "pre" in nodes.columns:
+        seeds = named.join(listed, "stable_id")
+        ranges = seeds.select(F.col("pre").alias("first"), F.when(F.col("cascade"), F.col("last")).otherwise(F.col("pre")).alias("last"))
+        return L.within(named, ranges, scratch).select("node_id", "stable_id")
+    marked = named.select("node_id", "parent_id", "stable_id").join(listed, "stable_id", "left")
+    marked = scratch.keep(marked.select("node_id", "parent_id", "stable_id", F.col("cascade").isNotNull().alias("seed"), F.coalesce("cascade", F.lit(False)).alias("below")))
+    if marked.where("below").isEmpty():
+        return marked.where("seed").select("node_id", "stable_id").distinct()
+    rows = L._parents(marked).select("node_id", "up", "stable_id", "seed", "below")
+    done = L._rounds(rows, scratch, lambda columns, step: {"stable_id": F.col("stable_id"), "seed": F.col("seed"), "below": F.col("below") | F.coalesce("u_below", F.lit(False))})
+    return done.where("seed or below").select("node_id", "stable_id")
 
 
 def visible(tiers: list[str] | None, default: str, column: str = "visibility") -> Column:
@@ -86,23 +97,67 @@ def visible(tiers: list[str] | None, default: str, column: str = "visibility") -
 def outline(nodes: DataFrame, denied_ids: DataFrame, tiers: list[str], default: str = "public", anchor: str | None = None, depth: int = 2, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Rows of the outline in reading order, with position among visible siblings and visible children.
 
-    Descends through published nodes whatever their tier, and judges each row on its own.
+    nodes: labelled ones, published only; others are labelled first. Descends through published nodes
+    whatever their tier, and judges each row on its own. An anchor isn't among its rows; an unknown one has none.
     """
-    # without an anchor one level beyond what is shown is enough: it counts as children
-    walked = walk_down(nodes, F.col("status") == "published", depth + 1 if anchor is None and depth < MOST_LEVELS else None)
-    seen = walked.where(visible(tiers, default)).join(denied_ids.select("node_id"), "node_id", "left_anti")
+    scratch = Scratch.of(nodes.sparkSession)
+    rows = nodes if "pre" in nodes.columns else scratch.keep(L.labelled(nodes, scratch, F.expr(PUBLISHED)))
+    top, prefix = 0, ""
+    if anchor is not None:
+        base = rows.where(F.col("node_id") == anchor).select("pre", "last", "depth").first()
+        if base is None:
+            rows = rows.where(F.lit(False))
+        else:
+            # one row a level
+            above = rows.where((F.col("pre") <= base["pre"]) & (F.col("last") >= base["pre"])).orderBy("pre").select("slug").collect()
+            top, prefix = base["depth"] + 1, "".join(r["slug"] + "/" for r in above)
+            rows = rows.where((F.col("pre") > base["pre"]) & (F.col("pre") <= base["last"]))
+    near = rows.where(F.col("depth") <= top + depth)  # one level beyond what is shown counts as children
+    seen = near.where(visible(tiers, default)).join(denied_ids.select("node_id"), "node_id", "left_anti")
     counts = seen.groupBy("parent_id").agg(F.count(F.lit(1)).alias("child_count")).withColumnRenamed("parent_id", "_p")
-    number = F.row_number().over(Window.partitionBy("parent_id").orderBy("sort_key"))
-    rows = seen.withColumn("position", number.cast("long"))
-    if anchor is None:
-        rows = rows.where(F.col("depth") < depth)
-    else:
-        base = walked.where(F.col("node_id") == anchor).select(F.col("path").alias("_path"), F.col("depth").alias("_base"))
-        rows = rows.join(F.broadcast(base), F.col("path").startswith(F.concat("_path", F.lit("/"))) & (F.col("depth") <= F.col("_base") + depth)).drop("_path", "_base")
-    rows = rows.join(counts, F.col("node_id") == F.col("_p"), "left").withColumn("child_count", F.coalesce("child_count", F.lit(0)).cast("long")).drop("_p")
+    number = F.row_number().over(Window.partitionBy("parent_id").orderBy("pre"))
+    out = seen.withColumn("position", number.cast("long")).where(F.col("depth") < top + depth)
+    out = out.join(counts, F.col("node_id") == F.col("_p"), "left").withColumn("child_count", F.coalesce("child_count", F.lit(0)).cast("long")).drop("_p")
+    out = out.join(_paths_from(near.where(F.col("depth") < top + depth), top, depth, scratch), "node_id").withColumn("path", F.concat(F.lit(prefix), "path")).withColumn("sort_key", F.col("pre"))
     if limit is not None:
-        rows = rows.orderBy("sort_key").offset(offset).limit(limit)
-    return rows
+        out = out.orderBy("sort_key").offset(offset).limit(limit)
+    return out
+
+
+def _paths_from(rows: DataFrame, top: int, levels: int, scratch: Scratch) -> DataFrame:
+    """node_id and path from the level `top` on, of that many levels."""
+    if levels > JOINED_LEVELS:
+        return L.paths(rows, scratch)
+    level = rows.where(F.col("depth") == top).select("node_id", F.col("slug").alias("path"))
+    out = level
+    for i in range(1, levels):
+        up = level.select(F.col("node_id").alias("_up"), F.col("path").alias("_path"))
+        level = rows.where(F.col("depth") == top + i).join(up, F.col("parent_id") == F.col("_up")).select("node_id", F.concat("_path", F.lit("/"), "slug").alias("path"))
+        out = out.unionByName(level)
+    return out
+
+
+def climbed(nodes: DataFrame, ids: list[str]) -> dict[str, str]:
+    """The paths of a few nodes: step by step, each a filter on the ids of the step. Nodes that reach no root have none.
+
+    nodes: those that a path may go through. Reads as many rows as the paths have segments.
+    """
+    paths, at = {}, {i: (i, ()) for i in ids}
+    seen: dict[str, set] = {i: set() for i in ids}
+    while at:
+        rows = {r["node_id"]: r for r in nodes.where(F.col("node_id").isin(sorted({node for node, _ in at.values()}))).select("node_id", "parent_id", "slug").collect()}
+        after = {}
+        for i, (node, below) in at.items():
+            row = rows.get(node)
+            if row is None or node in seen[i]:
+                continue
+            seen[i].add(node)
+            if row["parent_id"] is None:
+                paths[i] = "/".join((row["slug"], *below))
+            else:
+                after[i] = (row["parent_id"], (row["slug"], *below))
+        at = after
+    return paths
 
 
 def resolve(addresses: DataFrame, paths: DataFrame) -> DataFrame:
@@ -146,9 +201,13 @@ def shallowest(dirs: DataFrame) -> DataFrame:
     return d.join(under, "dir", "left_anti")
 
 
-def rebased(rows: DataFrame, prefix: str, base: int) -> DataFrame:
-    """Outline rows seen from an anchor, as seen from the root: paths and depths."""
-    return rows.withColumn("path", F.concat(F.lit(prefix + "/"), "path")).withColumn("depth", F.col("depth") + F.lit(base))
+def rebased(rows: DataFrame, path: str, base: int) -> DataFrame:
+    """Outline rows that begin at an anchor (its own slug, depth 0), as seen from the root; the anchor itself goes.
+
+    path and base: the anchor's own path and depth.
+    """
+    head = path[: path.rfind("/") + 1]
+    return rows.where("depth <> 0").withColumn("path", F.concat(F.lit(head), "path")).withColumn("depth", F.col("depth") + F.lit(base))
 
 
 def unit_tree(chunks: DataFrame, key: str, path: str = "heading_path_text", ordinal: str = "ordinal") -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.text import order_value, tie_key
 from ..operators import governance as G
 from ..operators import tree as H
 from .derive import DENYLIST_SQL, NODES_SQL, denylist, table, tree_nodes
+from .stored import tree_labels
 
 VISIBLE = "coalesce(nullif(visibility, ''), 'public') IN ('public', 'internal')"
 TIERS = ["public", "internal"]
@@ -86,7 +87,7 @@ SELECT address, CASE WHEN canonical IS NULL THEN address ELSE 'docs/' || canonic
 
 
 def _outline(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    nodes = tree_nodes(spark, sf_dir)
+    nodes = tree_labels(spark, sf_dir, True)
     rows = H.outline(nodes, H.denied(nodes, denylist(spark)), TIERS, **kw)
     return rows.select("node_id", "path", "depth", "position", "child_count")
 
@@ -135,7 +136,7 @@ DENIED_NODE = f"WITH {NODES_SQL}, {DENYLIST_SQL} SELECT node_id FROM nodes JOIN
 
 
 def denied_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.denied(tree_nodes(spark, sf_dir), denylist(spark)).select("node_id")
+    return H.denied(tree_labels(spark, sf_dir, False), denylist(spark)).select("node_id")
 
 
 DENIED_SUBTREE = f"WITH RECURSIVE {NODES_SQL}, {DENIED_SQL} SELECT DISTINCT node_id FROM deny"
