@@ -8,7 +8,7 @@ draw without replacement.
 Three levels keep strings out of the large tables:
 
 * Blocks. A task cuts its texts into words and numbers the distinct ones of a block of bounded size.
-  Documents are kept as tuple numbers with counts, tuples as tuples of word numbers.
+  Documents are kept as packed tuple numbers with counts, tuples as tuples of word numbers.
 * The dictionary. Distinct words of all blocks get an id; blocks translate their word numbers into
   ids, so equal n-grams of different blocks are equal tuples of ids.
 * Tuples. Each distinct tuple's bytes are put together from the dictionary and hashed once. Its
@@ -29,6 +29,7 @@ and more belong to words, whatever they encode.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,12 +56,21 @@ BLOCK_SCHEMA = T.StructType(
         T.StructField("words", T.ArrayType(T.IntegerType())),  # of a tuple
         T.StructField("n", T.LongType()),  # uses in the block, of a tuple or of a word that is one; words of the document
         T.StructField("id", T.LongType()),
-        T.StructField("tuples", T.ArrayType(T.IntegerType())),  # of a document, distinct
-        T.StructField("counts", T.ArrayType(T.IntegerType())),
+        T.StructField("features", T.BinaryType()),  # of a document: its distinct tuples and their counts, packed
     ]
 )
 
 
+def packed(found: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending tuple numbers as differences, and their counts, compressed."""
+    return zlib.compress(np.concatenate([np.diff(found, prepend=0), counts]).astype("<i4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(data), "<i4").astype(np.int64)
+    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
+
+
 class Numbers(dict):
     """Numbers things in the order in which they come."""
 
@@ -106,14 +116,12 @@ class Block:
         yield from _rows(block, "word", at=pa.array(np.arange(len(words), dtype=np.int32)), word=words, **uses)
         if not single:
             yield from _rows(block, "tuple", at=pa.array(np.arange(len(totals), dtype=np.int32)), words=pa.array(list(self.tuples), pa.list_(pa.int32())), n=pa.array(totals))
-        ends = np.cumsum([0, *(len(found) for found, _ in self.docs)]).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(ends, np.concatenate([d[k] for d in self.docs])) for k in (0, 1)]
-        yield from _rows(block, "doc", id=pa.array(self.ids, pa.int64()), n=pa.array(self.sizes, pa.int64()), tuples=lists[0], counts=lists[1])
+        yield from _rows(block, "doc", id=pa.array(self.ids, pa.int64()), n=pa.array(self.sizes, pa.int64()), features=pa.array([packed(*d) for d in self.docs], pa.binary()))
 
 
 def _rows(block: int, kind: str, rows: int = 1 << 16, **columns: pa.Array) -> Iterator[pa.RecordBatch]:
     n = len(next(iter(columns.values())))
-    types = {"block": pa.int64(), "kind": pa.string(), "at": pa.int32(), "word": pa.binary(), "words": pa.list_(pa.int32()), "n": pa.int64(), "id": pa.int64(), "tuples": pa.list_(pa.int32()), "counts": pa.list_(pa.int32())}
+    types = {"block": pa.int64(), "kind": pa.string(), "at": pa.int32(), "word": pa.binary(), "words": pa.list_(pa.int32()), "n": pa.int64(), "id": pa.int64(), "features": pa.binary()}
     columns |= {"block": pa.array(np.full(n, block)), "kind": pa.array([kind] * n)}
     whole = pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(n, t)).cast(t) for name, t in types.items()], list(types))
     for at in range(0, n, rows):
@@ -189,15 +197,15 @@ def weights(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str =
     def meet(documents: pa.Table, values: pa.Table) -> pa.Table:
         gain = np.zeros(values.num_rows, np.int64)
         gain[values.column("at").to_numpy()] = values.column("gain").to_numpy()
-        lists, counts = (documents.column(c).combine_chunks() for c in ("tuples", "counts"))
-        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        times = counts.flatten().to_numpy()
-        sums = np.concatenate([[0], np.cumsum(gain[lists.flatten().to_numpy()] * times)])
-        uses = np.concatenate([[0], np.cumsum(times, dtype=np.int64)])
-        columns = [documents.column("id"), pa.array(uses[ends[1:]] - uses[ends[:-1]]), documents.column("n"), pa.array(sums[ends[1:]] - sums[ends[:-1]])]
+        uses, sums = [], []
+        for data in documents.column("features"):
+            found, counts = unpacked(data.as_py())
+            uses.append(counts.sum())
+            sums.append((gain[found] * counts).sum())
+        columns = [documents.column("id"), pa.array(uses, pa.int64()), documents.column("n"), pa.array(sums, pa.int64())]
         return pa.table(columns, names=["id", "n_features", "n_words", "weight"])
 
-    documents = parts[0].where("kind = 'doc'").select("block", "id", "n", "tuples", "counts")
+    documents = parts[0].where("kind = 'doc'").select("block", "id", "n", "features")
     out = documents.groupBy("block").cogroup(of_blocks.groupBy("block")).applyInArrow(meet, "id long, n_features long, n_words long, weight long")
     out = written(out, "weights")
     dropped(*parts, tuples, dictionary, distinct)
