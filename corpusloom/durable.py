@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+from .files import delete
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only on a single machine that names none."""
@@ -26,12 +28,6 @@ def durable(df: DataFrame) -> DataFrame:
     return Scratch.of(df.sparkSession).keep(df)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a folder."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 class Scratch:
     """Owns durable tables: each goes by drop(), the rest at the end of the with block or by close()."""
 
@@ -55,13 +51,17 @@ class Scratch:
             atexit.register(end)
         return cls._of[name]
 
+    def folder(self) -> str:
+        """A new path that goes with the tables."""
+        self.paths.append(f"{shared_folder(self.spark)}/durable-{uuid.uuid4().hex}")
+        return self.paths[-1]
+
     def keep(self, df: DataFrame, **counted: Column) -> DataFrame:
         """df as a table; what `counted` aggregates while it is written is in the result's `counted`, without another job."""
         seen = Observation() if counted else None
         if seen is not None:
             df = df.observe(seen, *[c.alias(name) for name, c in counted.items()])
-        path = f"{shared_folder(self.spark)}/durable-{uuid.uuid4().hex}"
-        self.paths.append(path)
+        path = self.folder()
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
@@ -72,11 +72,11 @@ class Scratch:
         """Deletes what keep() returned, once nothing reads it any more."""
         path = df._scratch_path
         self.paths.remove(path)
-        removed(self.spark, path)
+        delete(self.spark, path)
 
     def close(self) -> None:
         while self.paths:
-            removed(self.spark, self.paths.pop())
+            delete(self.spark, self.paths.pop())
 
     def __enter__(self) -> Scratch:
         return self

@@ -131,8 +131,13 @@ def cover_density(words: Column, terms: list[str]) -> Column:
     A cover of the n terms from word p to word q adds 0.1 / (1 + the words in it beyond n); covers don't
     nest. One fold over the places of the terms.
     """
-    n, listed = len(terms), F.array(*map(F.lit, terms))
+    listed = F.array(*map(F.lit, terms))
     places = F.filter(F.transform(words, lambda w, i: F.struct(F.array_position(listed, w).alias("term"), i.alias("at"))), lambda h: h["term"] > 0)
+    return cover_of(places, len(terms))
+
+
+def cover_of(places: Column, n: int) -> Column:
+    """The cover density of n terms by their places (term from 1, at), in order of at."""
     start = F.struct(F.array_repeat(F.lit(-1), n).alias("last"), F.lit(-1).alias("done"), F.lit(0.0).alias("total"))
 
     def step(state: Column, hit: Column) -> Column:
@@ -183,13 +188,15 @@ def fuse(arms: list[DataFrame], key: str = "chunk_id", c: int = RRF_K) -> DataFr
     return rows.groupBy(key).agg(F.sum(1.0 / (c + F.col("r"))).alias("score"))
 
 
-def hybrid(chunks: DataFrame, vector: list[float], query: str, k: int, key: str = "chunk_id", content: str = "content") -> DataFrame:
+def hybrid(chunks: DataFrame, vector: list[float], query: str, k: int, key: str = "chunk_id", content: str = "content", index=None) -> DataFrame:
     """The k best chunks by fused rank, each with the best vector similarity of the whole answer.
 
     chunks: what may be served. Each arm reads only its own columns and leaves POOL_PER_ARM rows.
+    index: the stored lexemes; without them the texts are cut into words.
     """
     near = vector_arm(chunks.select(key, "embedding"), vector, key=key)
-    fused = fuse([near, keyword_arm(chunks.select(key, content), query, key=key, content=content)], key)
+    words = keyword_arm(chunks.select(key, content), query, key=key, content=content) if index is None else index.arm(query, chunks.select(key))
+    fused = fuse([near, words], key)
     top = near.agg(F.max("sim").alias("top_vec_sim"))
     return fused.orderBy(F.col("score").desc(), key).limit(k).crossJoin(F.broadcast(top))  # the other side is one row
 

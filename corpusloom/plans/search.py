@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import search as S
 from .derive import CHUNKS_SQL, table, vector_chunks
+from .stored import documents_index, saying_enough
 
 QUERY_ID, K, QUERY, EVERY = 3, 10, "the of", 100
 TOKENS_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
@@ -63,7 +64,7 @@ SELECT qid, round(max({_cos("embedding", "qv")}), 6) AS top1 FROM chunks, q WHER
 
 
 def keyword_match_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.keyword_hits(table(spark, sf_dir, "documents"), QUERY, "doc_id", "text").select("doc_id")
+    return documents_index(spark, sf_dir, "simple").hits(QUERY).select(F.col("chunk_id").alias("doc_id"))
 
 
 KEYWORD_MATCH = f"SELECT doc_id FROM documents WHERE list_contains({TOKENS_SQL}, 'the') AND list_contains({TOKENS_SQL}, 'of')"
@@ -71,7 +72,7 @@ KEYWORD_MATCH = f"SELECT doc_id FROM documents WHERE list_contains({TOKENS_SQL},
 
 def websearch_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phrase, an exclusion and an alternative."""
-    return S.keyword_hits(table(spark, sf_dir, "documents"), '"of the" -is or el', "doc_id", "text").select("doc_id")
+    return documents_index(spark, sf_dir, "simple").hits('"of the" -is or el').select(F.col("chunk_id").alias("doc_id"))
 
 
 WEBSEARCH_MATCH = f"""SELECT doc_id FROM (SELECT doc_id, {TOKENS_SQL} AS w FROM documents)
@@ -80,7 +81,7 @@ WHERE (contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') AND NOT list_
 
 def keyword_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents by cover density."""
-    top = S.keyword_arm(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "chunk_id"), QUERY, 20, content="text")
+    top = documents_index(spark, sf_dir, "simple").arm(QUERY, k=20)
     return top.select("chunk_id", F.round("rank", 6).alias("rank"), F.col("r").cast("long").alias("r"))
 
 
@@ -96,14 +97,25 @@ KEYWORD_RANK = f"WITH h AS ({_hits_sql('(SELECT doc_id AS chunk_id, text FROM do
 
 def _servable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the arms may return: published, visible and undenied chunks with enough text."""
-    chunks = _governed(vector_chunks(spark, sf_dir), ["public", "internal"])
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.lit("prose").alias("source_type"))
-    return S.searchable(chunks.join(docs, "chunk_id"))
+    return _governed(saying_enough(spark, sf_dir), ["public", "internal"])
+
+
+def keyword_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems and their uses in all documents, as the English configuration stores them: of plain plurals and participles."""
+    stored_ = documents_index(spark, sf_dir, "english")
+    found = stored_.rows(list(ENGLISH)).groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("places")).alias("uses"))
+    return found.select("term", "documents", "uses")
+
+
+#: Stems and the words of each; the words below are stemmed by hand.
+ENGLISH = {"hous": ("house", "houses", "housed", "housing"), "work": ("work", "works", "worked", "working"), "time": ("time", "times", "timed", "timing"), "water": ("water", "waters", "watered", "watering"), "peopl": ("people", "peoples", "peopled", "peopling")}
+_WORDS = "[" + ", ".join(f"{{'term': '{stem}', 'word': '{w}'}}" for stem, words in ENGLISH.items() for w in words) + "]"
+KEYWORD_ENGLISH = f"""SELECT s.term, count(DISTINCT doc_id) AS documents, count(*) AS uses FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS word FROM documents) JOIN (SELECT unnest({_WORDS}, recursive := true)) s USING (word) GROUP BY s.term"""
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _servable(spark, sf_dir)
-    fused = S.fuse([S.vector_arm(rows, _query_vector(vector_chunks(spark, sf_dir))), S.keyword_arm(rows, QUERY)])
+    fused = S.fuse([S.vector_arm(rows, _query_vector(vector_chunks(spark, sf_dir))), documents_index(spark, sf_dir, "simple").arm(QUERY, rows)])
     return fused.select("chunk_id", F.round("score", 9).alias("score"))
 
 
@@ -119,7 +131,7 @@ RRF = f"WITH {_ARMS} SELECT chunk_id, round(score, 9) AS score FROM f"
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both arms over what may be served, fused; the ten best with their nodes."""
-    best = S.hybrid(_servable(spark, sf_dir), _query_vector(vector_chunks(spark, sf_dir)), QUERY, K)
+    best = S.hybrid(_servable(spark, sf_dir), _query_vector(vector_chunks(spark, sf_dir)), QUERY, K, index=documents_index(spark, sf_dir, "simple"))
     names = vector_chunks(spark, sf_dir).select("chunk_id", "node_id")
     return names.join(F.broadcast(best), "chunk_id").select("chunk_id", "node_id", F.round("score", 9).alias("score"), F.round("top_vec_sim", 6).alias("top_vec_sim"))  # best: K rows
 
@@ -152,7 +164,7 @@ p AS (SELECT qid, n, r, chars, chunk_id, chars AS used, true AS ships FROM h WHE
   UNION ALL SELECT h.qid, h.n, h.r, h.chars, h.chunk_id, p.used + CASE WHEN p.used + h.chars <= 20000 THEN h.chars ELSE 0 END, p.used + h.chars <= 20000 FROM p JOIN h ON h.qid = p.qid AND h.n = p.n + 1)
 SELECT qid, r, chars, chunk_id FROM p WHERE ships"""
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_governed, vector_top1_batch, keyword_match_all_terms, websearch_match, keyword_rank_topk, rrf_fusion, hybrid_search, abstention_gate, budget_pack)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_governed, vector_top1_batch, keyword_match_all_terms, websearch_match, keyword_rank_topk, keyword_english, rrf_fusion, hybrid_search, abstention_gate, budget_pack)}
 ORACLE_SQL = {
     "vector_topk": VECTOR_TOPK,
     "vector_topk_governed": VECTOR_TOPK_GOVERNED,
@@ -160,6 +172,7 @@ ORACLE_SQL = {
     "keyword_match_all_terms": KEYWORD_MATCH,
     "websearch_match": WEBSEARCH_MATCH,
     "keyword_rank_topk": KEYWORD_RANK,
+    "keyword_english": KEYWORD_ENGLISH,
     "rrf_fusion": RRF,
     "hybrid_search": HYBRID,
     "abstention_gate": ABSTENTION,

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..durable import Scratch
-from ..operators import labels
-from .derive import tree_nodes
+from ..operators import index, labels
+from ..operators.search import searchable
+from .derive import table, tree_nodes, vector_chunks
 
 _made: dict[tuple[str, str, str], object] = {}
 
@@ -30,3 +31,26 @@ def tree_labels(spark: SparkSession, sf_dir: str, published: bool) -> DataFrame:
             return Scratch.of(spark).keep(rows.orderBy("pre"))
 
     return stored(spark, sf_dir, f"labels-{published}", build)
+
+
+def documents_index(spark: SparkSession, sf_dir: str, config: str) -> index.Index:
+    """Stored lexemes of all documents."""
+
+    def build() -> index.Index:
+        folder = Scratch.of(spark).folder()
+        rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+        cores = spark.sparkContext.defaultParallelism
+        index.write(index.postings(rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores), config), folder, config)
+        return index.Index(spark, folder, config)
+
+    return stored(spark, sf_dir, f"lexemes-{config}", build)
+
+
+def saying_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with vectors whose texts say enough to be found; the texts themselves stay where they are."""
+
+    def build() -> DataFrame:
+        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.lit("prose").alias("source_type"))
+        return Scratch.of(spark).keep(vector_chunks(spark, sf_dir).join(searchable(docs).select("chunk_id"), "chunk_id", "left_semi"))
+
+    return stored(spark, sf_dir, "saying-enough", build)
