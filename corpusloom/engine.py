@@ -20,6 +20,7 @@ from .operators import governance as G
 from .operators import lifecycle as L
 from .operators import search as S
 from .operators import tree as H
+from .operators.index import Index
 from .sources import ledger
 
 MAX_QUERY_CHARS, VOCABULARY_SHOWN = 2000, 20
@@ -39,6 +40,8 @@ class Tables:
     denylist: DataFrame
     aliases: DataFrame | None = None
     ledger: str | None = None
+    #: Folders of stored lexemes by generation; without them the texts are cut into words.
+    lexemes: dict[int, str] | None = None
 
 
 @dataclass(frozen=True)
@@ -76,7 +79,7 @@ class Engine:
     def __init__(self, spark: SparkSession, tables: Tables, config: EngineConfig, embed: Callable[[str], list[float]] | None = None, corpus: str = "default", viewer: str | None = None, actor: str = "anonymous") -> None:
         self.spark, self.config, self.embed, self.corpus, self.actor, self.viewer = spark, config, embed, corpus, actor, viewer
         self.tiers = config.visible_tiers(viewer)
-        self.ledger = tables.ledger
+        self.ledger, self.lexemes = tables.ledger, tables.lexemes or {}
         wall = lambda df: G.walled(df, config.tenant)
         self.corpora, self.denylist = (wall(df).where(F.col("corpus_id") == corpus) for df in (tables.corpora, tables.denylist))
         self.nodes, self.sources, self.chunks = wall(tables.nodes), wall(tables.sources), wall(tables.chunks)
@@ -131,10 +134,11 @@ class Engine:
         if vector is None and self.config.vector_floor is not None:
             return self._abstained(query, "unavailable", None, None, notes)
         rows = self.servable(generation, kinds)
+        index = Index(self.spark, self.lexemes[generation], self.config.text_search_config) if generation in self.lexemes else None
         if vector is not None:
-            best = S.hybrid(rows, vector, query, most)
+            best = S.hybrid(rows, vector, query, most, index=index)
         else:
-            best = S.keyword_arm(rows, query, most).select("chunk_id", F.col("rank").alias("score"), F.lit(None).cast("double").alias("top_vec_sim"))
+            best = (S.keyword_arm(rows, query, most) if index is None else index.arm(query, rows.select("chunk_id"), most)).select("chunk_id", F.col("rank").alias("score"), F.lit(None).cast("double").alias("top_vec_sim"))
         shown = rows.drop("embedding").join(F.broadcast(best), "chunk_id")  # at most MAX_SEARCH_K rows
         hits = shown.withColumn("content", X.without_diagrams(F.col("content"))).orderBy(F.col("score").desc(), "chunk_id").collect()
         top = hits[0]["top_vec_sim"] if hits else None

@@ -1,8 +1,7 @@
 """The life of a generation: allocated, built, flipped, rolled back, reaped.
 
 Pointers (one row a corpus) and runs (one row a generation) are small tables. Each act takes them and
-returns what they are after it; store() replaces a table as a whole, so that an act that fails leaves
-them as they were.
+returns what they are after it; a catalog's commit makes that the state, or nothing.
 """
 
 from __future__ import annotations
@@ -24,19 +23,6 @@ def _is(tenant: str, corpus: str) -> Column:
     return (F.col("tenant_id") == tenant) & (F.col("corpus_id") == corpus)
 
 
-def store(rows: DataFrame, path: str) -> DataFrame:
-    """A small table, written beside the old one and read back; the newest folder is the table."""
-    spark = rows.sparkSession
-    rows.coalesce(1).withColumn("_written", F.current_timestamp()).write.mode("append").parquet(path)
-    return load(spark, path, rows.schema)
-
-
-def load(spark, path: str, schema) -> DataFrame:
-    rows = spark.read.parquet(path)
-    last = rows.agg(F.max("_written").alias("_last"))
-    return rows.join(F.broadcast(last), F.col("_written") == F.col("_last")).drop("_written", "_last").to(schema)  # one row
-
-
 def allocated(pointers: DataFrame, runs: DataFrame, tenant: str, corpus: str, commit: str | None, now: Column) -> tuple[int, DataFrame, DataFrame]:
     """The next generation's number, and pointers and runs with it in them as building."""
     spark = runs.sparkSession
@@ -111,15 +97,25 @@ def same_commit(runs: DataFrame, tenant: str, generation: int, commit: str | Non
     return row is not None and (row[0] or "") == (commit or "")
 
 
-def carry_sources(chunks: DataFrame, runs: DataFrame, building: int) -> DataFrame:
-    """Generations whose vectors a build may carry, and their priority: complete ones first, then the newest."""
+def carry_sources(chunks: DataFrame, runs: DataFrame, corpus: str, building: int) -> DataFrame:
+    """Generations whose vectors a build of a corpus may carry, and their priority: complete ones first, then the newest.
+
+    Runs that are being built count, abandoned and reaped ones don't, nor those of another corpus.
+    """
     complete = F.when(F.col("state").isin("ready", "active", "retired"), 0).otherwise(1)
-    rows = chunks.where(F.col("embedding").isNotNull() & (F.col("generation") != building)).select("tenant_id", "generation").distinct()
-    ranked = rows.join(runs.where("state <> 'reaped'").select("tenant_id", "generation", complete.alias("rank")), ["tenant_id", "generation"])
+    rows = chunks.where((F.col("embedding_status") == "embedded") & (F.col("generation") != building)).select("tenant_id", "generation").distinct()
+    ranked = rows.join(runs.where((F.col("corpus_id") == corpus) & F.col("state").isin("ready", "active", "retired", "building")).select("tenant_id", "generation", complete.alias("rank")), ["tenant_id", "generation"])
     number = F.row_number().over(Window.partitionBy("tenant_id").orderBy("rank", F.col("generation").desc()))
     return ranked.select("tenant_id", "generation", (number - 1).alias("priority"))
 
 
+def best_carry_source(chunks: DataFrame, runs: DataFrame, corpus: str, building: int) -> DataFrame:
+    """For each tenant the newest complete generation of the corpus with vectors; tenants without one have no row."""
+    rows = chunks.where((F.col("embedding_status") == "embedded") & (F.col("generation") != building)).select("tenant_id", "generation").distinct()
+    complete = runs.where((F.col("corpus_id") == corpus) & F.col("state").isin("ready", "active", "retired")).select("tenant_id", "generation")
+    return rows.join(complete, ["tenant_id", "generation"]).groupBy("tenant_id").agg(F.max("generation").alias("generation"))
+
+
 def space_problems(chunks: DataFrame, model: str, dim: int) -> DataFrame:
     """Stored vectors of another model or length than declared: (embedding_model, dim, chunks). None: the space is one."""
     found = chunks.where("embedding is not null").groupBy("embedding_model", F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("chunks"))

@@ -24,8 +24,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def searchable(chunks: DataFrame, content: str = "content") -> DataFrame:
-    """Prose with enough in it: what the arms may return."""
-    return chunks.where((F.col("source_type") == "prose") & (dense_length(F.col(content)) >= MIN_CONTENT_CHARS))
+    """Prose with enough in it: what the arms may return. Where a build stored dense_length, no text is read."""
+    length = F.col("dense_length") if "dense_length" in chunks.columns else dense_length(F.col(content))
+    return chunks.where((F.col("source_type") == "prose") & (length >= MIN_CONTENT_CHARS))
 
 
 def vector_arm(chunks: DataFrame, query: list[float], k: int = POOL_PER_ARM, key: str = "chunk_id") -> DataFrame:

@@ -105,7 +105,7 @@ GRANTS = "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MAC
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     version = F.when(F.col("event_id") % 5 == 0, F.lit(None)).when(F.col("event_id") % 5 == 1, "2.10").when(F.col("event_id") % 5 == 2, "2.1.9").when(F.col("event_id") % 5 == 3, "2.2").otherwise("1.12")
-    return e.select(F.col("user_id").cast("string").alias("tenant_id"), F.col("event_id").alias("generation"), version.alias("schema_version"), F.when(F.col("event_type") == "click", "ready").when(F.col("event_type") == "error", "reaped").otherwise("abandoned").alias("state"))
+    return e.select(F.col("user_id").cast("string").alias("tenant_id"), F.col("event_id").alias("generation"), version.alias("schema_version"), F.when(F.col("event_type") == "click", "ready").when(F.col("event_type") == "error", "reaped").when(F.col("event_id") % 7 == 0, "abandoned").when(F.col("event_id") % 7 == 1, "retired").otherwise("building").alias("state"), F.when(F.col("event_id") % 4 == 0, "other").otherwise("main").alias("corpus_id"))
 
 
 def ungoverned_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,13 +116,28 @@ UNGOVERNED = "SELECT event_id AS generation FROM events WHERE event_id % 5 IN (0
 
 
 def carry_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs with vectors, complete ones first, then the newest."""
-    chunks = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("tenant_id"), F.col("event_id").alias("generation"), F.when(F.col("event_id") % 3 != 0, F.array(F.lit(1.0))).alias("embedding"))
-    return L.carry_sources(chunks, _runs(spark, sf_dir), 10).select("tenant_id", "generation", F.col("priority").cast("long").alias("priority"))
+    """Runs of a corpus with vectors, complete ones first, then the newest."""
+    return L.carry_sources(_stored_chunks(spark, sf_dir), _runs(spark, sf_dir), "main", 10).select("tenant_id", "generation", F.col("priority").cast("long").alias("priority"))
 
 
-CARRY_SOURCES = """SELECT user_id::VARCHAR AS tenant_id, event_id AS generation, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'click' THEN 0 ELSE 1 END, event_id DESC) - 1 AS priority
-FROM events WHERE event_id % 3 <> 0 AND event_id <> 10 AND event_type <> 'error'"""
+def _stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("event_id") % 3 != 0, "embedded").otherwise("failed")
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("tenant_id"), F.col("event_id").alias("generation"), status.alias("embedding_status"))
+
+
+_RUNS_SQL = """runs AS (SELECT user_id::VARCHAR AS tenant_id, event_id AS generation, CASE WHEN event_type = 'click' THEN 'ready' WHEN event_type = 'error' THEN 'reaped' WHEN event_id % 7 = 0 THEN 'abandoned' WHEN event_id % 7 = 1 THEN 'retired' ELSE 'building' END AS state,
+  CASE WHEN event_id % 4 = 0 THEN 'other' ELSE 'main' END AS corpus_id FROM events), chunks AS (SELECT user_id::VARCHAR AS tenant_id, event_id AS generation, CASE WHEN event_id % 3 <> 0 THEN 'embedded' ELSE 'failed' END AS embedding_status FROM events)"""
+CARRY_SOURCES = f"""WITH {_RUNS_SQL}, found AS (SELECT DISTINCT c.tenant_id, c.generation, CASE WHEN r.state IN ('ready', 'active', 'retired') THEN 0 ELSE 1 END AS rank FROM chunks c JOIN runs r ON r.tenant_id = c.tenant_id AND r.generation = c.generation
+  WHERE r.corpus_id = 'main' AND r.state IN ('ready', 'active', 'retired', 'building') AND c.generation <> 10 AND c.embedding_status = 'embedded')
+SELECT tenant_id, generation, row_number() OVER (PARTITION BY tenant_id ORDER BY rank, generation DESC) - 1 AS priority FROM found"""
+
+
+def best_carry_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.best_carry_source(_stored_chunks(spark, sf_dir), _runs(spark, sf_dir), "main", 10)
+
+
+BEST_CARRY = f"""WITH {_RUNS_SQL} SELECT c.tenant_id, max(c.generation) AS generation FROM chunks c JOIN runs r ON r.tenant_id = c.tenant_id AND r.generation = c.generation
+WHERE r.corpus_id = 'main' AND r.state IN ('ready', 'active', 'retired') AND c.generation <> 10 AND c.embedding_status = 'embedded' GROUP BY c.tenant_id"""
 
 
 def space_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +294,7 @@ c AS (SELECT doc_id, CASE WHEN length(t) <= 300 THEN t WHEN doc_id % 2 = 0 THEN
 
 QUERIES = {
     f.__name__: f
-    for f in (tenant_wall, audience_decisions, denied_dirs, takedown_apply, takedown_revoke, ingest_grants, ungoverned_generations, carry_sources, space_guard, parents_first, leaves_first, entries_under, page_order, index_text, full_texts, caveat_map, supersession_reverse, stage_plan, stable_ids, vector_contract, vector_literals, clean_cuts)
+    for f in (tenant_wall, audience_decisions, denied_dirs, takedown_apply, takedown_revoke, ingest_grants, ungoverned_generations, carry_sources, best_carry_source, space_guard, parents_first, leaves_first, entries_under, page_order, index_text, full_texts, caveat_map, supersession_reverse, stage_plan, stable_ids, vector_contract, vector_literals, clean_cuts)
 }
 ORACLE_SQL = {
     "tenant_wall": WALL,
@@ -290,6 +305,7 @@ ORACLE_SQL = {
     "ingest_grants": GRANTS,
     "ungoverned_generations": UNGOVERNED,
     "carry_sources": CARRY_SOURCES,
+    "best_carry_source": BEST_CARRY,
     "space_guard": SPACE,
     "parents_first": PARENTS_FIRST,
     "leaves_first": LEAVES_FIRST,

@@ -117,8 +117,6 @@ def test_life_of_a_generation(spark, tmp_path):
         L.flipped(pointers, runs, "t", "c", 2, now)
     back, pointers, runs = L.rolled_back(pointers, runs, "t", "c", now)
     assert back == 1 and {r["generation"]: r["state"] for r in runs.collect()} == {1: "active", 2: "retired"}
-    runs = L.store(L.store(runs, str(tmp_path / "runs")), str(tmp_path / "runs"))
-    assert runs.count() == 2
     spark.createDataFrame([("t", 1, 1), ("t", 2, 2)], "tenant_id string, generation long, x int").write.partitionBy("tenant_id", "generation").parquet(str(tmp_path / "chunks"))
     runs = L.reaped(spark, runs, "t", 2, [str(tmp_path / "chunks")])
     assert [r["x"] for r in spark.read.parquet(str(tmp_path / "chunks")).collect()] == [1]
