@@ -165,11 +165,42 @@ def resolved_from(path: Column, relative: Column) -> Column:
     return F.array_join(walk, "/")
 
 
+def stays_inside(path: Column, relative: Column) -> Column:
+    """Whether a relative path, seen from the folder of a path, never climbs above the root."""
+    steps = F.filter(F.split(relative, "/"), lambda p: ~p.isin("", "."))
+    start = F.struct((F.size(F.split(path, "/")) - 1).alias("depth"), F.lit(True).alias("inside"))
+
+    def step(at: Column, part: Column) -> Column:
+        depth = at["depth"] + F.when(part == "..", -1).otherwise(1)
+        return F.struct(depth.alias("depth"), (at["inside"] & (depth >= 0)).alias("inside"))
+
+    return F.aggregate(steps, start, step)["inside"]
+
+
+#: Fixed values, of Markdown's grammar: a destination may stand in angle brackets and then hold spaces; a title may follow it.
+BARE, ANGLED, TITLE = r"[^\s)]+", r"<[^<>\n]*>", r"""(?:"[^"]*"|'[^']*'|\([^)]*\))"""
+
+
 def link_targets(body_: Column) -> Column:
-    """Destinations of inline and reference links, in that order."""
-    inline = F.regexp_extract_all(body_, F.lit(r"\]\(\s*<?([^)\s>]+)>?[^)]*\)"), 1)
-    reference = F.regexp_extract_all(body_, F.lit(r"(?m)^[ ]{0,3}\[[^\]]+\]:\s*<?([^\s>]+)>?"), 1)
-    return F.concat(inline, reference)
+    """Destinations of inline links and images and of reference definitions, in that order, without their brackets."""
+    inline = F.regexp_extract_all(body_, F.lit(rf"\[[^\]]*\]\(\s*({ANGLED}|{BARE})(?:\s+{TITLE})?\s*\)"), 1)
+    reference = F.regexp_extract_all(body_, F.lit(rf"(?m)^[ \t]{{0,3}}\[[^\]]+\]:[ \t]*({ANGLED}|\S+)[ \t]*{TITLE}?[ \t]*$"), 1)
+    return F.transform(F.concat(inline, reference), lambda t: F.when(t.startswith("<") & t.endswith(">"), F.trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t))
+
+
+def code_free(text: Column) -> Column:
+    """Markdown without its code: fenced blocks and indented ones go, a code span becomes a space.
+
+    By CommonMark: a fence is closed by one at least as long of the same mark, or by the end. An indented
+    line is code where a paragraph would begin, unless it begins a list item. A span ends at a run of as
+    many backticks as began it, in its own paragraph.
+    """
+    # both marks at once, as one may stand in a block of the other
+    blocks = [rf"({mark}{{3,}}){info}$(?:\n(?! {{0,3}}\{n}{mark}*[ \t]*$)[^\n]*+)*+(?:\n {{0,3}}\{n}{mark}*[ \t]*$|\z)" for n, mark, info in ((1, "`", r"[^`\n]*"), (2, "~", r"[^\n]*"))]
+    lines = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), rf"(?m)^ {{0,3}}(?:{'|'.join(blocks)})\n?", "")
+    indented = r"^(?:(?: {4}|\t)(?![ \t]*(?:[-*+]|\d+[.)])\s)[^\n]*(?:\n|$))+"
+    span = r"(?s)(?<!`)(`+)(?!`)(?:.*?)(?<!`)\1(?!`)"
+    return F.array_join(F.transform(F.split(lines, r"\n(?:[ \t]*\n)+"), lambda p: F.regexp_replace(F.regexp_replace(p, indented, ""), span, " ")), "\n\n")
 
 
 def is_calendar_date(s: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import groupby
 
 import pandas as pd
@@ -18,19 +19,16 @@ def _under(path: str, heading: str) -> bool:
     return path == heading or path.startswith(heading + "/")
 
 
+_NUMBERED = re.compile(r".*#([0-9]+)", re.DOTALL)
+
+
 def start_of(paths: list[str], cursor: str | None) -> int:
-    """The position that a cursor names: heading#position, or the first chunk under a heading."""
-    if not cursor:
-        return 0
-    head, mark, number = cursor.rpartition("#")
-    if mark and number.isascii() and number.isdigit():
-        if int(number) < len(paths):
-            return int(number)
-        raise ValueError(f"{cursor!r} is outside the document")
-    for i, path in enumerate(paths):
-        if _under(path, cursor):
-            return i
-    raise ValueError(f"{cursor!r} is no section of the document")
+    """The place that a cursor names: the number behind its #, else the first chunk of its section; the beginning without one."""
+    named = _NUMBERED.fullmatch(cursor or "")
+    at = int(named[1]) if named else next((i for i, p in enumerate(paths) if not cursor or _under(p, cursor)), len(paths))
+    if cursor and at >= len(paths):
+        raise ValueError(f"the document has no place {cursor!r}")
+    return at if cursor else 0
 
 
 def _fitting(sizes: list[list[int]], budget: int) -> int:

@@ -129,7 +129,14 @@ def staged(docs: DataFrame, ids: DataFrame, folders: DataFrame, tiers: list[str]
 
 
 def staged_assets(shipped: DataFrame, assets: DataFrame) -> DataFrame:
-    """Assets (path) that shipped documents (path, body) refer to, seen from where they stand. Links out of the tree or to headings are none."""
-    links = shipped.select("path", F.explode(X.link_targets(F.col("body"))).alias("target")).where(~F.col("target").rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|/|#)"))
-    place = X.resolved_from(F.col("path"), F.regexp_replace("target", "[?#].*$", ""))
-    return assets.join(links.select(place.alias("path")).distinct(), "path", "left_semi")
+    """Assets (path) that shipped documents (path, body) refer to, seen from where they stand.
+
+    What stands in code is no link. Links to headings, to the web, out of the tree and to other documents
+    (.md and .mdx, which come by their own tier or not at all) are no assets.
+    """
+    targets = shipped.select("path", F.explode(X.link_targets(X.code_free(F.col("body")))).alias("target"))
+    links = targets.where((F.col("target") != "") & ~F.col("target").rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|/|#)"))
+    links = links.withColumn("target", F.regexp_replace("target", "#.*$", "")).where(X.stays_inside(F.col("path"), F.col("target")))
+    place = X.resolved_from(F.col("path"), F.col("target"))
+    links = links.select(place.alias("path")).where(~F.col("path").rlike(r"(?i)\.mdx?$"))
+    return assets.join(links.distinct(), "path", "left_semi")

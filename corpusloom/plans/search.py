@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import search as S
 from .derive import CHUNKS_SQL, table, vector_chunks
-from .stored import documents_index, saying_enough
+from .stored import documents_index, saying_enough, vector_index
 
 QUERY_ID, K, QUERY, EVERY = 3, 10, "the of", 100
 TOKENS_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
@@ -140,6 +140,19 @@ HYBRID = f"""WITH {_ARMS} SELECT f.chunk_id, c.node_id, round(f.score, 9) AS sco
 FROM (SELECT * FROM f ORDER BY score DESC, chunk_id LIMIT {K}) f JOIN chunks c USING (chunk_id)"""
 
 
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every hundredth chunk as a question the ten nearest others that may be served, by the index: what the scan finds."""
+    chunks = vector_chunks(spark, sf_dir)
+    allowed = _governed(chunks, ["public", "internal"]).select("chunk_id")
+    best, _ = vector_index(spark, sf_dir).search_many(_asked(chunks), K, allowed, leave_out=True)
+    return best.select("qid", "chunk_id", F.round("sim", 6).alias("sim"), F.col("r").cast("long").alias("r"))
+
+
+VECTOR_INDEX = f"""WITH {CHUNKS_SQL}, q AS (SELECT chunk_id AS qid, embedding AS qv FROM chunks WHERE chunk_id % {EVERY} = 0),
+s AS (SELECT qid, chunk_id, round({_cos("embedding", "qv")}, 12) AS sim FROM chunks, q WHERE {GOVERNED} AND chunk_id <> qid)
+SELECT qid, chunk_id, round(sim, 6) AS sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, chunk_id) AS r FROM s QUALIFY r <= {K}"""
+
+
 def abstention_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = vector_top1_batch(spark, sf_dir)
     return top.select("qid", "top1", S.abstains(F.col("top1"), 0.5).alias("abstained"), S.abstains(F.col("top1"), None).alias("abstained_without_floor"), S.keyword_abstains(F.col("top1"), 0.6).alias("keyword_abstained"))
@@ -164,7 +177,7 @@ p AS (SELECT qid, n, r, chars, chunk_id, chars AS used, true AS ships FROM h WHE
   UNION ALL SELECT h.qid, h.n, h.r, h.chars, h.chunk_id, p.used + CASE WHEN p.used + h.chars <= 20000 THEN h.chars ELSE 0 END, p.used + h.chars <= 20000 FROM p JOIN h ON h.qid = p.qid AND h.n = p.n + 1)
 SELECT qid, r, chars, chunk_id FROM p WHERE ships"""
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_governed, vector_top1_batch, keyword_match_all_terms, websearch_match, keyword_rank_topk, keyword_english, rrf_fusion, hybrid_search, abstention_gate, budget_pack)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_governed, vector_top1_batch, keyword_match_all_terms, websearch_match, keyword_rank_topk, keyword_english, rrf_fusion, hybrid_search, vector_index_topk, abstention_gate, budget_pack)}
 ORACLE_SQL = {
     "vector_topk": VECTOR_TOPK,
     "vector_topk_governed": VECTOR_TOPK_GOVERNED,
@@ -175,6 +188,7 @@ ORACLE_SQL = {
     "keyword_english": KEYWORD_ENGLISH,
     "rrf_fusion": RRF,
     "hybrid_search": HYBRID,
+    "vector_index_topk": VECTOR_INDEX,
     "abstention_gate": ABSTENTION,
     "budget_pack": BUDGET,
 }

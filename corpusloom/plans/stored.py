@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..durable import Scratch
-from ..operators import index, labels
+from ..operators import clusters, index, labels
 from ..operators.search import searchable
 from .derive import table, tree_nodes, vector_chunks
 
@@ -46,6 +46,17 @@ def documents_index(spark: SparkSession, sf_dir: str, config: str) -> index.Inde
     return stored(spark, sf_dir, f"lexemes-{config}", build)
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> clusters.Clusters:
+    """The exact vector index of all chunks."""
+
+    def build() -> clusters.Clusters:
+        folder = Scratch.of(spark).folder()
+        clusters.write(vector_chunks(spark, sf_dir), folder)
+        return clusters.Clusters(spark, folder)
+
+    return stored(spark, sf_dir, "clusters", build)
+
+
 def saying_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with vectors whose texts say enough to be found; the texts themselves stay where they are."""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import HARD_MAX_CHARS
 from ..functions import text as X
+from ..operators.projections import staged_assets as staged_assets_of
 from ..functions.chunking import chunked, cleaned
 from ..functions.windows import windowed
 from ..operators import tree as H
@@ -127,7 +128,7 @@ def directive_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PHRASES = ("Paste this prompt into your agent", "run the following command", "you are now in Rome", "copy the following", "type the followings", "give your agent this", "drop this in", "Run this script now")
 _PUT = "[" + ", ".join(f"'{x}'" for x in _PHRASES) + f"][turn % {len(_PHRASES)} + 1]"
-DIRECTIVE = f"""SELECT conv_id, turn, regexp_matches(lower(coalesce(text, '') || ' ' || {_PUT}), 'paste (this|it|the following)\\b|copy (this|the following)\\b|prompt into your\\b|run (this|the following) (command|prompt|script)\\b|type the following\\b|give your agent (this|the following)\\b|drop (this|the following) into\\b') AS flag FROM conversations"""
+DIRECTIVE = f"""SELECT conv_id, turn, regexp_matches(lower(coalesce(text, '') || ' ' || {_PUT}), '{"|".join(X.DIRECTIVES)}') AS flag FROM conversations"""
 
 
 def document_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,12 +175,41 @@ w AS (SELECT s.conv_id, 0::BIGINT AS "window", s.start, {_window_end("s")} AS la
 SELECT w.conv_id, w."window", w.start, w.last + 1 AS "end", (SELECT sum(chars)::BIGINT FROM c WHERE c.conv_id = w.conv_id AND i BETWEEN w.start AND w.last) AS chars,
   (SELECT CASE WHEN (SELECT min(x.i) FROM c x WHERE x.conv_id = n.conv_id AND (x.path = n.path OR starts_with(x.path, n.path || '/'))) = n.i THEN n.path ELSE n.path || '#' || n.i END FROM c n WHERE n.conv_id = w.conv_id AND n.i = w.last + 1) AS next_cursor FROM w"""
 
-QUERIES = {f.__name__: f for f in (chunk_ceiling, chunk_hash, chunk_concat_roundtrip, markdown_chunks, heading_slugs, node_slugs, embed_input, content_hash_dedup, svg_strip, directive_flag, document_reassembly, unit_tree, window_pack)}
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text with links of every shape behind it: what is a link follows from the doc_id alone."""
+    i = F.col("doc_id").cast("string")
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\[\]`~<>]", " ")
+    plain = F.regexp_replace(plain, r"(?m)^[ \t]+", "")
+    links = F.concat(F.lit("\n\n[a](img/"), i, F.lit('.png "t") `[no](no.png)` [b](<two words.png>) [c](../up.png#x)\n\n```\n[no](no.png)\n```\n\n    [no](no.png)\n\n[r]: ref-'), i, F.lit(".png 't'\n[s]: other.MD\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d/"), i, F.lit(".md")).alias("path"), F.concat(plain, links).alias("body"))
+
+
+def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the links of every document lead, code left out."""
+    return _linked(spark, sf_dir).select("doc_id", F.array_join(X.link_targets(X.code_free(F.col("body"))), "|").alias("targets"))
+
+
+LINK_TARGETS = "SELECT doc_id, 'img/' || doc_id || '.png|two words.png|../up.png#x|ref-' || doc_id || '.png|other.MD' AS targets FROM documents"
+
+
+def staged_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files beside the documents that those of even ids refer to."""
+    rows = _linked(spark, sf_dir)
+    beside = F.explode(F.array(F.concat(F.lit("d/img/"), "doc_id", F.lit(".png")), F.concat(F.lit("d/ref-"), "doc_id", F.lit(".png")), F.lit("up.png"), F.lit("d/other.MD"), F.lit("d/no.png"), F.lit("d/two words.png")))
+    assets = rows.select(beside.alias("path")).distinct()
+    return staged_assets_of(rows.where("doc_id % 2 = 0"), assets).select("path")
+
+
+STAGED_ASSETS = "SELECT DISTINCT unnest(['d/img/' || doc_id || '.png', 'd/ref-' || doc_id || '.png', 'up.png', 'd/two words.png']) AS path FROM documents WHERE doc_id % 2 = 0"
+
+QUERIES = {f.__name__: f for f in (link_targets, staged_assets, chunk_ceiling, chunk_hash, chunk_concat_roundtrip, markdown_chunks, heading_slugs, node_slugs, embed_input, content_hash_dedup, svg_strip, directive_flag, document_reassembly, unit_tree, window_pack)}
 ORACLE_SQL = {
     "chunk_ceiling": CEILING,
     "chunk_hash": HASHES,
     "chunk_concat_roundtrip": ROUNDTRIP,
     "markdown_chunks": MARKDOWN,
+    "link_targets": LINK_TARGETS,
+    "staged_assets": STAGED_ASSETS,
     "heading_slugs": HEADING_SLUGS,
     "node_slugs": NODE_SLUGS,
     "embed_input": EMBED_INPUT,

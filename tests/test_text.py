@@ -104,10 +104,13 @@ def test_columns(spark):
     assert (r["h"], r["h2"], r["m"], r["e"]) == ("https://a.b/c", None, "/md/x.md", 2)
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.text(max_size=90))
-def test_heading_slug_is_capped(title):
-    assert len(C.heading_slug(title)) <= 60
+def test_anchors_are_the_columns_slugs(spark):
+    from pyspark.sql import functions as F
+
+    titles = ["", "Été & Co", "a" * 70, "-".join(["word"] * 12), "-".join(["word"] * 13), "x" * 59 + " y", "x" * 60 + " y", "x" * 58 + " y z", "ab " * 40, "--", "a" * 30 + " " + "b" * 29 + " c", "a" * 30 + " " + "b" * 28 + " c"]
+    rows = spark.createDataFrame([(t,) for t in titles], "t string").select("t", X.heading_slug(F.col("t")).alias("s")).collect()
+    assert {r["t"]: C._anchor(r["t"]) for r in rows} == {r["t"]: r["s"] for r in rows}
+    assert max(len(r["s"]) for r in rows) <= 60
 
 
 def test_titles_ids_and_cuts(spark):
@@ -124,7 +127,52 @@ def test_titles_ids_and_cuts(spark):
     assert [r[0] for r in paths.select(X.resolved_from(F.col("p"), F.col("r"))).collect()] == ["a/d.md", "x/y.md", "z.md"]
     flags = spark.createDataFrame([("paste this prompt into your agent",), ("please run the following command",), ("you are now in Rome",)], "t string")
     assert [r[0] for r in flags.select(X.directive_like(F.col("t"))).collect()] == [True, True, False]
-    assert C.without_code("a `b` c\n\n```\nx\n```\n    code\ntext\n\n    code\n\n    - item\nlast") == "a   c\n\ntext\n\n    - item\nlast"
+
+
+def test_code_is_no_text(spark):
+    from pyspark.sql import functions as F
+
+    pairs = {
+        "a `b` c": "a   c",
+        "x\n\n    code\n\ty\nlast\n\n    - item": "x\n\nlast\n\n    - item",
+        "p\n    continued": "p\n    continued",
+        "a\n```\nx [l](y)\n```\nb": "a\nb",
+        "a\n````md\n```\nx\n```\n````\nb": "a\nb",
+        "a\n~~~ `x\ny\n```\n~~~~  \nb": "a\nb",
+        "a\n```\nnever closed\n\nb": "a\n",
+        "``a`b`` `c": "  `c",
+        "one ` two\n\nthree ` four": "one ` two\n\nthree ` four",
+        "a\r\n\r\nb": "a\n\nb",
+        "": "",
+    }
+    rows = spark.createDataFrame([(k,) for k in pairs], "t string").select("t", X.code_free(F.col("t")).alias("c")).collect()
+    assert {r["t"]: r["c"] for r in rows} == pairs
+    long = "```\n" + "line of code\n" * 20_000 + "```\nend"
+    assert spark.createDataFrame([(long,)], "t string").select(X.code_free(F.col("t"))).first()[0] == "end"
+
+
+def test_link_destinations(spark):
+    from pyspark.sql import functions as F
+
+    pairs = {
+        "[a](<b c.md>) ![i](p.png)": ["b c.md", "p.png"],
+        '[a](x.png "a title") [b](y.png \'t\') [c](z.png (t))': ["x.png", "y.png", "z.png"],
+        "[a](x.png no title)": [],
+        '[r]: <a b.png> "t"\n  [s]: c.png\n[t]: d.png and more': ["a b.png", "c.png"],
+        "[r][s] (x.png)": [],
+        "[](e.png)": ["e.png"],
+    }
+    rows = spark.createDataFrame([(k,) for k in pairs], "t string").select("t", X.link_targets(F.col("t")).alias("l")).collect()
+    assert {r["t"]: r["l"] for r in rows} == pairs
+
+
+def test_assets_of_shipped_documents(spark):
+    from corpusloom.operators import projections as P
+
+    body = "[a](img/a.png#x) ![b](<../b c.png>) [c](../../out.png) [d](secret.md) [e](SECRET.MDX) [f](https://x/y.png) [g](//x/z.png) [h](#top) [i](q.png?raw) `[code](code.png)`\n\n```\n[j](code.png)\n```"
+    docs = spark.createDataFrame([("d/page.md", body)], "path string, body string")
+    assets = spark.createDataFrame([(p,) for p in ("d/img/a.png", "b c.png", "out.png", "d/secret.md", "d/SECRET.MDX", "d/code.png", "d/q.png", "d/q.png?raw", "y.png")], "path string")
+    assert {r["path"] for r in P.staged_assets(docs, assets).collect()} == {"d/img/a.png", "b c.png", "d/q.png?raw"}
 
 
 def test_links_of_a_line():
