@@ -13,8 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .config import CHARS_PER_TOKEN, DOCUMENT_BUDGET_CHARS, MAX_OUTLINE_LIMIT, MAX_SEARCH_K, SEARCH_BUDGET_CHARS, EngineConfig
+from .config import CHARS_PER_TOKEN, CHUNK_POLICY, DOCUMENT_BUDGET_CHARS, MAX_OUTLINE_LIMIT, MAX_SEARCH_K, SEARCH_BUDGET_CHARS, EngineConfig
 from .functions import text as X
+from .functions.snapshots import KeyRing, Scope, judged, minted
 from .functions.windows import cursor_at, start_of, window_end
 from .operators import governance as G
 from .operators import lifecycle as L
@@ -76,10 +77,11 @@ class Window:
 class Engine:
     """One viewer's view of one tenant's corpus. A viewer of None reads the first tier only."""
 
-    def __init__(self, spark: SparkSession, tables: Tables, config: EngineConfig, embed: Callable[[str], list[float]] | None = None, corpus: str = "default", viewer: str | None = None, actor: str = "anonymous") -> None:
+    def __init__(self, spark: SparkSession, tables: Tables, config: EngineConfig, embed: Callable[[str], list[float]] | None = None, corpus: str = "default", viewer: str | None = None, actor: str = "anonymous", ring: KeyRing | None = None, instance_digest: str = "") -> None:
         self.spark, self.config, self.embed, self.corpus, self.actor, self.viewer = spark, config, embed, corpus, actor, viewer
         self.tiers = config.visible_tiers(viewer)
-        self.ledger, self.lexemes = tables.ledger, tables.lexemes or {}
+        self.ledger, self.lexemes = None if tables.ledger is None else ledger.Ledger(spark, tables.ledger), tables.lexemes or {}
+        self.ring, self.scope = ring, Scope(config.tenant, corpus, instance_digest)
         wall = lambda df: G.walled(df, config.tenant)
         self.corpora, self.denylist = (wall(df).where(F.col("corpus_id") == corpus) for df in (tables.corpora, tables.denylist))
         self.nodes, self.sources, self.chunks = wall(tables.nodes), wall(tables.sources), wall(tables.chunks)
@@ -96,10 +98,24 @@ class Engine:
     def _denied(self, generation: int) -> DataFrame:
         return H.denied(self._of(self.nodes, generation), self.denylist)
 
-    def _log(self, action: str, detail: str, now: str | None = None) -> None:
+    def _log(self, action: str, detail: str, generation: int | None = None) -> None:
         if self.ledger is not None:
-            row = self.spark.createDataFrame([(self.actor, action, detail)], "actor string, action string, detail string")
-            ledger.append(row.select(F.xxhash64(F.uuid()).alias("id"), F.current_timestamp().alias("created_at"), "actor", "action", "detail"), self.ledger)
+            own = {"tenant_id": self.config.tenant, "corpus_id": self.corpus, "generation": generation, "actor": self.actor, "embedding_model": self.config.embedding_model, "chunk_policy": CHUNK_POLICY, "instance_digest": self.scope.instance_digest}
+            self.ledger.add(action=action, detail=detail, **own)
+
+    def token(self) -> str:
+        """A snapshot token for the generation that is served now."""
+        if self.ring is None:
+            raise ValueError("tokens need a key ring")
+        generation, _ = L.pointer(self.corpora, self.config.tenant, self.corpus)
+        return self.spark.range(1).select(minted(self.ring, self.scope, F.lit(generation), F.current_timestamp())).first()[0]
+
+    def _pinned(self, token: str) -> tuple[int | None, str | None]:
+        """The generation of a token, or why it isn't taken."""
+        if self.ring is None:
+            return None, "invalid"
+        verdict = self.spark.range(1).select(judged(self.ring, self.scope, F.lit(token), F.current_timestamp()).alias("v")).first()["v"]
+        return verdict["generation"], verdict["reason"]
 
     def servable(self, generation: int, kinds: list[str] | None = None) -> DataFrame:
         """Chunks that either arm may return: embedded prose that says enough, of published, visible, undenied nodes."""
@@ -153,11 +169,11 @@ class Engine:
                 spent += len(hit["content"])
         if self.spark.createDataFrame([(h["content"],) for h in kept], "t string").where(X.directive_like(F.col("t"))).count():
             notes = (*notes, ADVISORY)
-        self._log("search", f'{{"k": {most}, "returned": {len(kept)}, "chars": {len(query)}}}')
+        self._log("search", f'{{"k": {most}, "returned": {len(kept)}, "chars": {len(query)}}}', generation)
         return Answer("served", kept, generation, top, len(hits) - len(kept), notes)
 
     def _abstained(self, query: str, reason: str, generation: int | None, top: float | None, notes: tuple[str, ...]) -> Answer:
-        self._log("abstain", f'{{"reason": "{reason}", "chars": {len(query)}}}')
+        self._log("abstain", f'{{"reason": "{reason}", "chars": {len(query)}}}', generation)
         return Answer(reason, [], generation, top, 0, notes)
 
     def outline(self, anchor: str | None = None, depth: int = 2, limit: int = 200, offset: int = 0) -> tuple[DataFrame, int | None]:
@@ -170,7 +186,7 @@ class Engine:
         content = self._of(self.sources, generation).select("node_id", F.lit(True).alias("has_content")).distinct()
         rows = rows.join(content, "node_id", "left").withColumn("has_content", F.coalesce("has_content", F.lit(False))).orderBy("sort_key").persist()
         more = rows.count() > limit
-        self._log("outline", f'{{"depth": {depth}, "limit": {limit}, "offset": {offset}}}')
+        self._log("outline", f'{{"depth": {depth}, "limit": {limit}, "offset": {offset}}}', generation)
         return rows.limit(limit), offset + limit if more else None
 
     def resolve(self, address: str, generation: int | None = None) -> Row:
@@ -206,10 +222,17 @@ class Engine:
         rows = self._of(self.chunks, generation).join(F.broadcast(sources), "source_id")  # one node's sources
         return rows.select("source_id", "ordinal", F.coalesce("heading_path_text", F.lit("")).alias("path"), "content").orderBy("source_id", "ordinal")
 
-    def read(self, address: str, heading: str | None = None, cursor: str | None = None, tokens: int = 70_000, pinned: int | None = None) -> Window:
-        """One window of a document or of a section of it. A pin to a generation that isn't served any more is refreshed."""
+    def read(self, address: str, heading: str | None = None, cursor: str | None = None, tokens: int = 70_000, pinned: int | None = None, token: str | None = None) -> Window:
+        """One window of a document or of a section of it. A pin to a generation that isn't served any more is refreshed.
+
+        token: what a client may pin by; one that isn't taken is refreshed and says why. pinned is for callers that are trusted.
+        The driver holds one row for each chunk of the document.
+        """
         self._serving()
-        pin = "unpinned" if pinned is None else "pinned"
+        why = None
+        if token is not None:
+            pinned, why = self._pinned(token)
+        pin = f"refreshed ({why})" if why else "unpinned" if pinned is None else "pinned"
         if pinned is not None and pinned not in L.servable(self.corpora, self.config.tenant, self.corpus):
             pin, pinned = "refreshed (withdrawn)", None
         budget = min(tokens * CHARS_PER_TOKEN, DOCUMENT_BUDGET_CHARS, self.config.response_characters)
@@ -230,7 +253,7 @@ class Engine:
         shown = chunks.where((at >= ends[0]) & (at <= ends[1])).collect()
         text = "".join(r["content"] for r in shown)
         advisory = self.spark.createDataFrame([(text,)], "t string").where(X.directive_like(F.col("t"))).count()
-        self._log("read", f'{{"chars": {len(text)}, "windowed": {str(len(shown) < len(inside)).lower()}}}')
+        self._log("read", f'{{"chars": {len(text)}, "windowed": {str(len(shown) < len(inside)).lower()}}}', node["generation"])
         tops = lambda rows: list(dict.fromkeys(p.split("/")[0] for p in rows if p))
         return Window(node, text, tops(paths), cursor_at(paths, end), tops(paths[end:]), -(-len(text) // CHARS_PER_TOKEN), -(-sum(sizes) // CHARS_PER_TOKEN), pin, ADVISORY if advisory else None)
 

@@ -1,10 +1,15 @@
 """A provider that fails: bad texts alone, outages as pending, miscounts refused."""
 
+import sys
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from corpusloom.functions import providers as P
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks don't see the tests
+
 
 class Outage(RuntimeError):
     pass

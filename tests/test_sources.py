@@ -52,7 +52,7 @@ def test_chunk_sink(spark, tmp_path):
 
 def test_ledger(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
-    rows = spark.createDataFrame([(1, t, "u", "search", None), (2, t, "u", "read", "{}"), (3, t, "u", "other", None)], L.SCHEMA)
+    rows = spark.createDataFrame([(1, t, "u", "search", None), (2, t, "u", "read", "{}"), (3, t, "u", "other", None)], "id bigint, created_at timestamp, actor string, action string, detail string")
     assert L.append(rows, str(tmp_path / "l")) and L.append(rows, str(tmp_path / "l"))
     assert L.read(spark, str(tmp_path / "l")).count() == 4
     assert [r["id"] for r in L.recent(rows, 2).collect()] == [3, 2]
@@ -62,13 +62,13 @@ def test_ledger(spark, tmp_path):
 
 def test_stream(spark, tmp_path):
     rows = [(i, dt.datetime(2024, 1, 1, i // 4), f"u{i % 2}", "read" if i % 3 else "search", None) for i in range(16)]
-    spark.createDataFrame(rows, L.SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
-    events = stream.stream(spark, str(tmp_path / "in"), L.SCHEMA)
+    spark.createDataFrame(rows, "id bigint, created_at timestamp, actor string, action string, detail string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    events = stream.stream(spark, str(tmp_path / "in"), "id bigint, created_at timestamp, actor string, action string, detail string")
     q = stream.counts(events).writeStream.outputMode("complete").format("memory").queryName("counts_test").start()
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) FROM counts_test").first()[0] == 16
-    q = stream.first_seen(stream.stream(spark, str(tmp_path / "in"), L.SCHEMA)).writeStream.format("memory").queryName("seen_test").start()
+    q = stream.first_seen(stream.stream(spark, str(tmp_path / "in"), "id bigint, created_at timestamp, actor string, action string, detail string")).writeStream.format("memory").queryName("seen_test").start()
     q.processAllAvailable()
     q.stop()
     assert spark.table("seen_test").count() == 16
