@@ -1,5 +1,7 @@
 """Each numbered query on tables with nulls, empty, odd and very long texts, ties, repeats and further columns; and on empty ones."""
 
+import hashlib
+
 import pytest
 
 from corpusloom.llm.registry import QUERIES
@@ -29,6 +31,7 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame([(*r, 0.5, 1, "s", "h") for r in TEXTS], DOCS).coalesce(1).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (2, 1, 1), (2, 1, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1).write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([(1, "the quick brown fox", 0.5), (2, None, 0.5), (3, "", 0.5)], "item_id long, text string, score double").coalesce(1).write.parquet(f"{d}/benchmark.parquet")
     return d
 
 
@@ -38,12 +41,17 @@ def empty(spark, tmp_path_factory):
     spark.createDataFrame([], DOCS).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     return d
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_odd_rows_all_come_out(spark, odd, name):
     rows = QUERIES[name](spark, odd).collect()
+    if name == "op13_filter_audit":  # rows of parts, not of documents
+        assert len(rows) == 600 * len({r[2] for r in TEXTS})
+        assert sum(r["kept"] + r["removed"] for r in rows if r["step"] == 1) == 120 * len(TEXTS)
+        return
     assert len(rows) == (len(PAGES) if name.startswith("op5") else len(TEXTS))
     if name.startswith("op5"):
         return
@@ -51,6 +59,12 @@ def test_odd_rows_all_come_out(spark, odd, name):
     for r in rows:
         by.setdefault(r["doc_id"], []).append(r)
     assert len(by[8]) == 2
+    if name == "op11_byte_bpe":
+        assert by[3][0]["n_tokens"] == by[4][0]["n_tokens"] == 0 and by[6][0]["n_tokens"] > 8000
+        assert by[9][0]["decoded_sha256"] == hashlib.sha256(TEXTS[10][1].encode()).hexdigest()
+    if name == "op12_resampling":
+        assert by[3][0]["weight"] == by[4][0]["weight"] == 0 and by[6][0]["n_features"] == 40_000
+        assert [r["rank"] for r in rows if r["rank"]] == []  # one document has 20 words, and a tenth of that is none
     if name == "op1_fingerprints":
         one, two = by[1][0], by[2][0]
         assert one["fingerprint"] == two["fingerprint"] and one["near_edited"] <= 1
