@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CHUNK_POLICY, HARD_MAX_CHARS, MIN_CONTENT_CHARS
+from ..durable import Scratch
 from ..functions import text as X
 from ..operators import calibration as E
+from ..operators import digests
 from ..operators import generations as V
 from ..operators import quality as Q
 from ..operators import search as S
 from .derive import CHUNKS_SQL, NODES_SQL, generation, generation_sql, table, tree_nodes, vector_chunks
+from .stored import stored
 
 MODEL = "fake"
 GOVERNED = ("visibility", "doc_status", "owner", "provenance", "superseded_by")
@@ -106,6 +109,25 @@ DRIFT = f"""WITH {generation_sql(1)}, {generation_sql(2)} SELECT n.stable_id, n.
 WHERE n.visibility IS DISTINCT FROM o.visibility OR n.doc_status IS DISTINCT FROM o.doc_status OR n.owner IS DISTINCT FROM o.owner OR n.provenance IS DISTINCT FROM o.provenance OR n.superseded_by IS DISTINCT FROM o.superseded_by"""
 
 
+def digest_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between the generations, found by their trees of digests."""
+
+    def tree(number: int) -> digests.Tree:
+        def build() -> digests.Tree:
+            folder = Scratch.of(spark).folder()
+            digests.write(_sources(spark, sf_dir, number), folder, bits=digests.LEVEL_BITS)  # few rows: 16 leaves
+            return digests.Tree(spark, folder)
+
+        return stored(spark, sf_dir, f"digests-{number}", build)
+
+    return digests.compared(tree(2), tree(1))[0].select("stable_id", "side")
+
+
+_COMPARED = "stable_id, title, content, folder, position, visibility, doc_status, owner, provenance, superseded_by"
+DIGEST_DIFFERENCE = f"""WITH {generation_sql(1)}, {generation_sql(2)} SELECT stable_id, 'only_new' AS side FROM (SELECT {_COMPARED} FROM gen2 EXCEPT ALL SELECT {_COMPARED} FROM gen1)
+UNION ALL SELECT stable_id, 'only_old' FROM (SELECT {_COMPARED} FROM gen1 EXCEPT ALL SELECT {_COMPARED} FROM gen2)"""
+
+
 def flip_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.flip_delta(generation(spark, sf_dir, 2), generation(spark, sf_dir, 1))
 
@@ -334,7 +356,7 @@ def ledger_by_action(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LEDGER_ACTION = "SELECT event_type AS action, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT user_id) AS actors FROM events GROUP BY ALL"
 
-QUERIES = {f.__name__: f for f in (carry_forward, carry_priority, generation_health, ready_gate, same_corpus, governance_drift, flip_delta, shrink_guard, gc_collectable, node_centroids, unsearchable_sources, passage_sample, risk_coverage_curve, aurc, floors, paste_value, overlap, success_at_k, dup_paths, path_escape, missing_keys, model_consistency, dup_ids, unknown_parent, sibling_collision, dead_links, ledger_recent, ledger_by_action)}
+QUERIES = {f.__name__: f for f in (carry_forward, carry_priority, generation_health, ready_gate, same_corpus, governance_drift, digest_difference, flip_delta, shrink_guard, gc_collectable, node_centroids, unsearchable_sources, passage_sample, risk_coverage_curve, aurc, floors, paste_value, overlap, success_at_k, dup_paths, path_escape, missing_keys, model_consistency, dup_ids, unknown_parent, sibling_collision, dead_links, ledger_recent, ledger_by_action)}
 ORACLE_SQL = {
     "carry_forward": CARRY,
     "carry_priority": CARRY_PRIORITY,
@@ -342,6 +364,7 @@ ORACLE_SQL = {
     "ready_gate": READY,
     "same_corpus": SAME,
     "governance_drift": DRIFT,
+    "digest_difference": DIGEST_DIFFERENCE,
     "flip_delta": FLIP,
     "shrink_guard": SHRINK,
     "gc_collectable": GC,
