@@ -213,3 +213,26 @@ def test_whole_licence_files_are_named(spark):
     got = {r["doc_id"]: (r["license"], r["license_line"]) for r in licenses.scan(rows).collect()}
     assert got[1][0] == "MIT-text" and got[1][1] == 0 and got[2][0] == "BSD-3-Clause-text"
     assert got[3][0] != "MIT-text"
+
+
+def test_words_are_bounded_before_they_come_to_the_driver(spark, monkeypatch):
+    """Documents in the order of their hashes, each that still fits; the rest's words are never collected."""
+    import zlib
+
+    rows = [(i, "bad word " * (1 + i % 50) if i % 2 else "fine text here " * (1 + i % 40), "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    order = [r["doc_id"] for r in docs.where("crc32(cast(doc_id as string)) % 5 <> 0").selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h", "doc_id").collect()]
+    fits, words = [], 0
+    for i in order:
+        n = len(rows[i][1].split())
+        if words + n <= 3000:
+            words += n
+            fits.append(i)
+    seen = []
+    monkeypatch.setattr(toxicity, "MOST_WORDS", 3000)
+    monkeypatch.setattr(toxicity, "fit", lambda parts, y: seen.append(([len(p) for p in parts], list(y))) or toxicity.Model(np.zeros((1, toxicity.DIM), np.float32), [], np.zeros(0), np.zeros(0), 0.0))
+    monkeypatch.setattr(toxicity.Model, "scores", lambda self, ids, first: np.zeros(len(first) - 1))
+    toxicity.train(docs, labels)
+    learned = [i for i in fits if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert seen == [([len(rows[i][1].split()) for i in learned], [i % 2 for i in learned])] and len(fits) < len(order)
