@@ -181,11 +181,19 @@ def stays_inside(path: Column, relative: Column) -> Column:
 BARE, ANGLED, TITLE = r"[^\s)]+", r"<[^<>\n]*>", r"""(?:"[^"]*"|'[^']*'|\([^)]*\))"""
 
 
+def _bare(targets: Column) -> Column:
+    return F.transform(targets, lambda t: F.when(t.startswith("<") & t.endswith(">"), F.trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t))
+
+
+def inline_links(body_: Column) -> Column:
+    """Destinations of inline links and images, without their brackets."""
+    return _bare(F.regexp_extract_all(body_, F.lit(rf"\[[^\]]*\]\(\s*({ANGLED}|{BARE})(?:\s+{TITLE})?\s*\)"), 1))
+
+
 def link_targets(body_: Column) -> Column:
     """Destinations of inline links and images and of reference definitions, in that order, without their brackets."""
-    inline = F.regexp_extract_all(body_, F.lit(rf"\[[^\]]*\]\(\s*({ANGLED}|{BARE})(?:\s+{TITLE})?\s*\)"), 1)
     reference = F.regexp_extract_all(body_, F.lit(rf"(?m)^[ \t]{{0,3}}\[[^\]]+\]:[ \t]*({ANGLED}|\S+)[ \t]*{TITLE}?[ \t]*$"), 1)
-    return F.transform(F.concat(inline, reference), lambda t: F.when(t.startswith("<") & t.endswith(">"), F.trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t))
+    return F.concat(inline_links(body_), _bare(reference))
 
 
 def code_free(text: Column) -> Column:
@@ -225,3 +233,32 @@ def ceiling_slices(text: Column, size: int) -> Column:
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits: the simple text-search configuration."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
+
+
+@F.pandas_udf(T.StringType())
+def _fixed(x: pd.Series, digits: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(v) else format(v, f".{d}f") for v, d in zip(x, digits)], dtype=object)
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A double with so many decimals, rounded half to even on its exact binary value: 2.675 is 2.67, 0.0625 is 0.062.
+
+    Spark's own formats round the shortest decimal that reads back as the number, which is another rule.
+    """
+    return _fixed(x, F.lit(digits))
+
+
+@F.pandas_udf(T.DoubleType())
+def _rounded(x: pd.Series, digits: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(v) else round(float(v), int(d)) for v, d in zip(x, digits)], dtype="float64")
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded in the same way."""
+    return _rounded(x, F.lit(digits))
+
+
+@F.pandas_udf(T.StringType())
+def shortest(x: pd.Series) -> pd.Series:
+    """The fewest digits that read back as the double, with a point or an exponent: 1.0, 1e-05."""
+    return pd.Series([None if pd.isna(v) else repr(float(v)) for v in x], dtype=object)

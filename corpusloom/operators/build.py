@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import CHUNK_POLICY, EngineConfig
 from ..durable import Scratch
-from ..functions import chunking, embedding
+from ..functions import chunking, embedding, providers
 from ..functions import text as X
 from ..sources import markdown
 from . import generations as V
@@ -22,6 +22,7 @@ from . import governance as G
 from . import index, labels, quality
 from . import lifecycle as L
 from .catalog import WHOLE, Catalog, Change, Snapshot, Written
+from .vectors import VectorStore
 
 DENYLIST = "tenant_id string, corpus_id string, stable_id string, scope string, reason string, created_at timestamp"
 OF_GENERATION = ("nodes", "sources", "chunks", "lexemes")
@@ -63,11 +64,12 @@ def refused(docs: DataFrame, nodes: DataFrame) -> None:
             raise L.Refused(f"{problem}: {', '.join(map(str, some))}")
 
 
-def build(catalog: Catalog, tree: DataFrame, config: EngineConfig, corpus: str, generation: int, embed: Callable[[Column], Column] | None = None) -> Snapshot:
+def build(catalog: Catalog, tree: DataFrame, config: EngineConfig, corpus: str, generation: int, embed: Callable[[Column], Column] | providers.Provider | None = None, store: VectorStore | None = None) -> Snapshot:
     """Writes an allocated generation from files (path, text) and commits its four tables together.
 
-    Vectors are carried from earlier generations of the same corpus; the rest are embedded, or stay
-    pending without an embedder. The run is ready if what failed is little and nothing is pending.
+    Vectors are carried from earlier generations of the same corpus, and looked up in its store by what
+    they are made of, if there is one; the rest are embedded (by a column, or by a provider that may
+    fail), or stay pending without an embedder. The run is ready if what failed is little and nothing is pending.
     """
     spark, tenant = catalog.spark, config.tenant
     begin = catalog.snapshot()
@@ -84,7 +86,7 @@ def build(catalog: Catalog, tree: DataFrame, config: EngineConfig, corpus: str,
             raise L.Refused(f"no way leads from a root to {lost[0]['stable_id']}")
         sources = docs.select(*own, "source_id", F.col("stable_id").alias("node_id"), F.lit("prose").alias("modality"), F.col("path").alias("origin_path"), "content_hash")
         chunks = _chunks(docs, scratch, own)
-        chunks = scratch.keep(_embedded(begin, chunks, config, corpus, generation, embed, scratch))
+        chunks = scratch.keep(_embedded(begin, chunks, config, corpus, generation, embed, scratch, store))
         lexemes = index.postings(chunks.where("source_type = 'prose'").withColumn("content", X.without_diagrams(F.col("content"))), config.text_search_config)
         health = V.health(chunks).first()
         is_ready = health is not None and health["pending"] == 0 and bool(chunks.limit(1).select(V.ready(*(F.lit(health[s]) for s in ("pending", "embedded", "failed")))).first()[0])
@@ -112,8 +114,8 @@ def _chunks(docs: DataFrame, scratch: Scratch, own: tuple[Column, ...]) -> DataF
     return scratch.keep(rows.withColumn("dense_length", X.dense_length(F.col("content")).cast("long")))
 
 
-def _embedded(now: Snapshot, chunks: DataFrame, config: EngineConfig, corpus: str, generation: int, embed, scratch: Scratch) -> DataFrame:
-    """chunks with embedding, embedding_model, embedding_status and embed_error: carried, embedded, failed or pending."""
+def _embedded(now: Snapshot, chunks: DataFrame, config: EngineConfig, corpus: str, generation: int, embed, scratch: Scratch, store: VectorStore | None) -> DataFrame:
+    """chunks with embedding, embedding_model, embedding_status and embed_error: carried, looked up, embedded, failed or pending."""
     vectors = "embedding array<double>, embedding_model string"
     empty = now.catalog.spark.createDataFrame([], f"source_id string, chunk_hash string, heading_path_text string, title string, {vectors}, generation long, priority int")
     carried = empty
@@ -122,14 +124,25 @@ def _embedded(now: Snapshot, chunks: DataFrame, config: EngineConfig, corpus: st
         old = now.table("chunks", *[part(config.tenant, corpus, r["generation"]) for r in sources]).where("embedding_status = 'embedded'")
         order = now.catalog.spark.createDataFrame([(r["generation"], r["priority"]) for r in sources], "generation long, priority int")
         carried = old.join(F.broadcast(order), "generation").select(*empty.columns)
-    rows = V.carried(chunks, carried, config.embedding_model)
-    have = scratch.keep(rows.where("embedding is not null").withColumns({"embedding_model": F.lit(config.embedding_model), "embedding_status": F.lit("embedded"), "embed_error": F.lit(None).cast("string")}))
+    rows = scratch.keep(V.carried(chunks, carried, config.embedding_model))
+    have = rows.where("embedding is not null").withColumns({"embedding_model": F.lit(config.embedding_model), "embedding_status": F.lit("embedded"), "embed_error": F.lit(None).cast("string")})
     lack = rows.where("embedding is null").drop("embedding")
-    if embed is None:
-        lack = lack.select("*", F.lit(None).cast("array<double>").alias("embedding"), F.lit("pending").alias("embedding_status"), F.lit(None).cast("string").alias("embed_error"))
+    lack = lack.withColumn("input", X.embed_input(F.col("title"), F.coalesce("heading_path_text", F.lit("")), F.col("content")))
+
+    def fill(rows: DataFrame) -> DataFrame:
+        if embed is None:
+            return rows.select("*", F.lit(None).cast("array<double>").alias("embedding"), F.lit("pending").alias("embedding_status"), F.lit(None).cast("string").alias("embed_error"))
+        drained = providers.drained if hasattr(embed, "retryable") else embedding.drained
+        return drained(rows, embed, config.embedding_dim)
+
+    if store is None:
+        lack = fill(lack)
     else:
-        lack = lack.withColumn("input", X.embed_input(F.col("title"), F.coalesce("heading_path_text", F.lit("")), F.col("content")))
-        lack = embedding.drained(lack, embed, config.embedding_dim).drop("input")
+        if (store.model, store.dim) != (config.embedding_model, config.embedding_dim):
+            raise L.Refused(f"the store is of {store.model}/d{store.dim}, the corpus declares {config.embedding_model}/d{config.embedding_dim}")
+        runs = now.table("runs", schema=L.RUNS).where(L._is(config.tenant, corpus) & (F.col("state") == "abandoned"))
+        lack = store.embedded(lack, fill, generation, [r["generation"] for r in runs.select("generation").collect()], scratch=scratch)
+    lack = lack.drop("input")
     lack = lack.withColumn("embedding_model", F.lit(config.embedding_model))
     return have.unionByName(lack.select(*have.columns)).withColumn("chunk_policy", F.lit(CHUNK_POLICY))
 

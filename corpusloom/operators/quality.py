@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import Scratch
+from ..functions import text as X
+
+#: The keys that a document of each profile has, the states that it may be in, and keys that would be a second identity.
+PROFILES = {"knowledge": ("title", "status", "owner", "provenance"), "docs": ("title", "status")}
+STATES = ("draft", "review", "approved", "superseded")
+FORBIDDEN = ("id", "name")
 
 
 def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
@@ -38,6 +44,40 @@ def missing_keys(frontmatter: Column, required: list[str]) -> Column:
     return F.array_except(F.array(*map(F.lit, required)), F.map_keys(frontmatter))
 
 
+def profile_problems(docs: DataFrame, profile: str = "knowledge") -> DataFrame:
+    """docs (path, meta: a map of texts, null without front matter) that break their profile: path, problem and what it is about.
+
+    no_frontmatter; missing (a key); forbidden (an authored id or name); no_state (a status without a value); unknown_state.
+    """
+    one = lambda problem, about: F.struct(F.lit(problem).alias("problem"), about.cast("string").alias("about"))
+    meta = F.col("meta")
+    keys, state = F.map_keys(meta), F.coalesce(F.try_element_at(meta, F.lit("status")), F.lit(""))
+    missing = F.transform(missing_keys(meta, list(PROFILES[profile])), lambda k: one("missing", k))
+    forbidden = F.transform(F.array_intersect(F.array(*map(F.lit, FORBIDDEN)), keys), lambda k: one("forbidden", k))
+    wrong = F.when(state == "", F.array(one("no_state", F.lit(None)))).when(~state.isin(*STATES), F.array(one("unknown_state", state))).otherwise(F.array().cast("array<struct<problem:string,about:string>>"))
+    wrong = F.when(F.array_contains(keys, "status"), wrong).otherwise(F.array().cast("array<struct<problem:string,about:string>>"))
+    all_ = F.when(meta.isNull(), F.array(one("no_frontmatter", F.lit(None)))).otherwise(F.concat(missing, forbidden, wrong))
+    return docs.select("path", F.explode(all_).alias("p")).select("path", "p.*")
+
+
+def dead_relative(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """Links in the text of docs (path, body) that lead to no file or folder of the tree: path and target.
+
+    files: path of everything in the tree, whatever its kind. What stands in code is no link; links to the
+    web, to mail and within the page aren't looked for. Nothing is known outside the tree, so a link that
+    climbs out of it, or begins at a root, is dead.
+    """
+    parts = F.split("path", "/")
+    ups = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    there = files.select(F.explode(ups).alias("_at")).distinct()
+    links = docs.select("path", F.explode(X.inline_links(X.code_free(F.coalesce("body", F.lit(""))))).alias("target"))
+    links = links.where((F.col("target") != "") & ~F.col("target").rlike("^(?:https?:|mailto:|#)"))
+    place = F.regexp_replace("target", "#.*$", "")
+    known = ~F.col("target").startswith("/") & X.stays_inside(F.col("path"), place)
+    links = links.withColumn("_at", F.when(known, X.resolved_from(F.col("path"), place)))
+    return links.join(there, "_at", "left_anti").select("path", "target")
+
+
 def rings(links: DataFrame, key: str, to: str) -> DataFrame:
     """key and ring, the least key of its cycle, of rows that following `to` leads back to. A key has one link.
 

@@ -13,6 +13,7 @@ from ..operators import digests
 from ..operators import generations as V
 from ..operators import quality as Q
 from ..operators import search as S
+from ..operators.vectors import VectorStore
 from .derive import CHUNKS_SQL, NODES_SQL, generation, generation_sql, table, tree_nodes, vector_chunks
 from .stored import stored
 
@@ -183,12 +184,39 @@ def unsearchable_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNSEARCHABLE = "SELECT source_id, count(*) AS chunks, count(*) FILTER (n >= 24) AS servable, count(*) FILTER (n >= 24) = 0 AS invisible FROM (SELECT source || '-' || lang AS source_id, length(regexp_replace(text, '[\\s]', '', 'g')) AS n FROM documents) GROUP BY source_id"
 
 
+def vector_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second generation finds in the store that the first one filled, by text and title alone, and what is embedded anew."""
+    key = F.concat("title", F.lit("\n\n"), "chunk_hash").alias("input")
+    store = VectorStore(spark, Scratch.of(spark).folder(), "t", "c", MODEL, 2)
+
+    def embed(rows: DataFrame) -> DataFrame:
+        return rows.select("*", F.array(F.lit(1.0), F.length("input").cast("double")).alias("embedding"), F.lit("embedded").alias("embedding_status"), F.lit(None).cast("string").alias("embed_error"))
+
+    with Scratch(spark) as scratch:
+        first = _chunks(spark, sf_dir, 1).where("old_status = 'embedded'").select(key)
+        store.embedded(first, embed, 1, scratch=scratch)
+    rows = store.embedded(_chunks(spark, sf_dir, 2).select("source_id", F.col("ordinal").cast("long").alias("ordinal"), key), embed, 2)
+    return rows.select("source_id", "ordinal", "carried_from", F.get("embedding", F.lit(1)).cast("long").alias("n"))
+
+
+VECTOR_LOOKUP = f"""WITH {generation_sql(1)}, {generation_sql(2)}, {_chunks_sql(1)}, {_chunks_sql(2)},
+old AS (SELECT DISTINCT coalesce(title || chr(10) || chr(10) || chunk_hash, '') AS input FROM chunks1 WHERE old_status = 'embedded'), new AS (SELECT *, coalesce(title || chr(10) || chr(10) || chunk_hash, '') AS input FROM chunks2)
+SELECT n.source_id, n.ordinal, CASE WHEN o.input IS NOT NULL THEN 1 END::BIGINT AS carried_from, length(n.input) AS n FROM new n LEFT JOIN old o USING (input)"""
+
+
 def passage_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("node_id"), F.col("text").alias("content"))
-    return E.passages(d.where(X.dense_length(F.col("content")) >= 200), 3).select("node_id", "chunk_id", F.col("n").cast("long").alias("n"))
+    """Three passages of each source and language that may be asked about; what is not embedded, drafts, lists of links and denied nodes are left out."""
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select(
+        i.alias("chunk_id"), F.concat("source", F.lit("-"), "lang").alias("node_id"), F.col("text").alias("content"),
+        F.when(i % 7 == 0, "pending").otherwise("embedded").alias("embedding_status"), F.when(i % 5 == 0, "nav").otherwise("prose").alias("source_type"), F.when(i % 11 == 0, "draft").otherwise("published").alias("status"),
+    )
+    denied = d.where(F.col("node_id").endswith("-de")).select("node_id")
+    return E.passages(d, denied, 3).select("node_id", "chunk_id", F.col("n").cast("long").alias("n"))
 
 
-PASSAGES = "SELECT source AS node_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY source ORDER BY md5(text), doc_id) AS n FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) >= 200 QUALIFY n <= 3"
+PASSAGES = """SELECT source || '-' || lang AS node_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY source || '-' || lang ORDER BY md5(text), doc_id) AS n FROM documents
+WHERE length(regexp_replace(text, '\s', '', 'g')) >= 200 AND doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND doc_id % 11 <> 0 AND lang <> 'de' QUALIFY n <= 3"""
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,6 +287,41 @@ d AS (SELECT qid, expected, node_id, min(r) AS r FROM s GROUP BY ALL), p AS (SEL
 SELECT count(*) AS queries, round(count(*) FILTER (place <= 1) / count(*), 6) AS success_at_1, round(count(*) FILTER (place <= 3) / count(*), 6) AS success_at_3, round(count(*) FILTER (place <= 5) / count(*), 6) AS success_at_5 FROM b"""
 
 
+def _questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every hundredth vector as a question, of two kinds, and what is nearest to each."""
+    chunks = vector_chunks(spark, sf_dir)
+    asked = chunks.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"), F.col("node_id").alias("expected"), F.when(F.col("chunk_id") % 200 == 0, "short").otherwise("long").alias("kind"))
+    near = S.search_many(chunks, asked.select("qid", "vector"), leave_out=True)
+    return asked.drop("vector"), near.join(chunks.select("chunk_id", "node_id"), "chunk_id")
+
+
+_QUESTIONS_SQL = f"""{CHUNKS_SQL}, asked AS (SELECT chunk_id AS qid, node_id AS expected, CASE WHEN chunk_id % 200 = 0 THEN 'short' ELSE 'long' END AS kind, embedding FROM chunks WHERE chunk_id % 100 = 0),
+hits AS (SELECT q.qid, c.node_id, c.chunk_id, round({_cos}, 12) AS sim, row_number() OVER (PARTITION BY q.qid ORDER BY round({_cos}, 12) DESC, c.chunk_id) AS r FROM asked q, chunks c WHERE c.chunk_id <> q.qid QUALIFY r <= 30)"""
+
+
+def success_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.success_by_kind(*_questions(spark, sf_dir))
+
+
+SUCCESS_BY_KIND = f"""WITH {_QUESTIONS_SQL}, d AS (SELECT qid, node_id, min(r) AS r FROM hits GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY r) AS place FROM d),
+b AS (SELECT a.qid, a.kind, (SELECT place FROM p WHERE p.qid = a.qid AND p.node_id = a.expected) AS place FROM asked a)
+SELECT kind, count(*) AS queries, count(*) FILTER (place <= 1) AS at_1, count(*) FILTER (place <= 3) AS at_3, count(*) FILTER (place <= 5) AS at_5 FROM b GROUP BY kind"""
+
+
+def retrieval_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many questions got the node of links (label 0), and how many of the long ones, taken as from outside, were answered above the floor."""
+    asked, hits = _questions(spark, sf_dir)
+    leaked = E.leaks(asked, hits.where("r <= 10"), spark.range(1).select(F.lit(0).alias("node_id")))
+    outside = asked.where("kind = 'long'")
+    top = hits.groupBy("qid").agg(F.max("sim").alias("top"))
+    abstained = top.where(S.abstains(F.round("top", 6), 0.4)).select("qid")
+    return leaked.crossJoin(F.broadcast(E.answered_outside(outside, hits, abstained)))  # one row each
+
+
+RETRIEVAL_CONTROLS = f"""WITH {_QUESTIONS_SQL} SELECT (SELECT count(*) FROM asked) AS queries, (SELECT count(DISTINCT qid) FROM hits WHERE r <= 10 AND node_id = 0) AS leaked,
+(SELECT count(*) FROM asked WHERE kind = 'long') AS probes, (SELECT count(*) FROM (SELECT qid, max(sim) AS top FROM hits JOIN asked USING (qid) WHERE kind = 'long' GROUP BY qid) WHERE round(top, 6) >= 0.4) AS answered"""
+
+
 def dup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("stable_id"))
     return Q.duplicates(d, "stable_id")
@@ -301,6 +364,33 @@ def missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 MISSING = "SELECT * FROM (SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 2 <> 0 THEN 'status' END, CASE WHEN doc_id % 3 <> 0 THEN 'order' END) AS missing FROM documents) WHERE missing <> ''"
 
 
+def profile_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose front matter breaks the profile of knowledge: some have none, some no status, some one of their own making."""
+    i = F.col("doc_id")
+    pairs = (("title", F.lit("x"), i % 2 == 0), ("status", F.element_at(F.array(*map(F.lit, ("draft", "approved", "", "done", "superseded"))), (i % 5 + 1).cast("int")), i % 3 != 0), ("owner", F.lit("team"), i % 4 != 0), ("provenance", F.lit("y"), F.lit(True)), ("id", F.lit("z"), i % 7 == 0), ("name", F.lit("z"), i % 6 == 0))
+    meta = F.map_from_entries(F.filter(F.array(*[F.struct(F.when(there, F.lit(k)).alias("k"), v.alias("v")) for k, v, there in pairs]), lambda p: p["k"].isNotNull()))
+    docs = table(spark, sf_dir, "documents").select(i.cast("string").alias("path"), F.when(i % 9 != 0, meta).alias("meta"))
+    return Q.profile_problems(docs).select("path", "problem", "about")
+
+
+PROFILE_PROBLEMS = """WITH d AS (SELECT doc_id, doc_id::VARCHAR AS path, ['draft', 'approved', '', 'done', 'superseded'][doc_id % 5 + 1] AS state FROM documents), f AS (SELECT * FROM d WHERE doc_id % 9 <> 0)
+SELECT path, 'no_frontmatter' AS problem, NULL::VARCHAR AS about FROM d WHERE doc_id % 9 = 0 UNION ALL SELECT path, 'missing', 'title' FROM f WHERE doc_id % 2 <> 0 UNION ALL SELECT path, 'missing', 'status' FROM f WHERE doc_id % 3 = 0
+UNION ALL SELECT path, 'missing', 'owner' FROM f WHERE doc_id % 4 = 0 UNION ALL SELECT path, 'forbidden', 'id' FROM f WHERE doc_id % 7 = 0 UNION ALL SELECT path, 'forbidden', 'name' FROM f WHERE doc_id % 6 = 0
+UNION ALL SELECT path, CASE WHEN state = '' THEN 'no_state' ELSE 'unknown_state' END, nullif(state, '') FROM f WHERE doc_id % 3 <> 0 AND state IN ('', 'done')"""
+
+
+def dead_relative_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of documents, as files in the folder of their language, to the file seven numbers on, to folders, headings, the web, in code and out of the tree."""
+    i = F.col("doc_id")
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n[next](../en/"), (i + 7).cast("string"), F.lit('.md#top "Next") [folder](../fr) [up](../../x.md) [web](https://a.b/c) [here](#top) `[code](gone.md)`\n'))
+    docs = table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("/"), i.cast("string"), F.lit(".md")).alias("path"), body.alias("body"))
+    return Q.dead_relative(docs, docs.select("path"))
+
+
+DEAD_RELATIVE = """WITH d AS (SELECT doc_id, lang || '/' || doc_id || '.md' AS path FROM documents)
+SELECT path, '../en/' || (doc_id + 7) || '.md#top' AS target FROM d WHERE 'en/' || (doc_id + 7) || '.md' NOT IN (SELECT path FROM d) UNION ALL SELECT path, '../../x.md' FROM d"""
+
+
 def model_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user as a generation whether one model made all embedded chunks."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("generation"), F.when(F.col("event_type") == "error", "failed").otherwise("embedded").alias("embedding_status"), F.when((F.col("event_id") % 97 == 0) | (F.col("event_type") == "error"), "other").otherwise(MODEL).alias("embedding_model"))
@@ -356,7 +446,7 @@ def ledger_by_action(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LEDGER_ACTION = "SELECT event_type AS action, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT user_id) AS actors FROM events GROUP BY ALL"
 
-QUERIES = {f.__name__: f for f in (carry_forward, carry_priority, generation_health, ready_gate, same_corpus, governance_drift, digest_difference, flip_delta, shrink_guard, gc_collectable, node_centroids, unsearchable_sources, passage_sample, risk_coverage_curve, aurc, floors, paste_value, overlap, success_at_k, dup_paths, path_escape, missing_keys, model_consistency, dup_ids, unknown_parent, sibling_collision, dead_links, ledger_recent, ledger_by_action)}
+QUERIES = {f.__name__: f for f in (vector_lookup, success_by_kind, retrieval_controls, profile_problems, dead_relative_links, carry_forward, carry_priority, generation_health, ready_gate, same_corpus, governance_drift, digest_difference, flip_delta, shrink_guard, gc_collectable, node_centroids, unsearchable_sources, passage_sample, risk_coverage_curve, aurc, floors, paste_value, overlap, success_at_k, dup_paths, path_escape, missing_keys, model_consistency, dup_ids, unknown_parent, sibling_collision, dead_links, ledger_recent, ledger_by_action)}
 ORACLE_SQL = {
     "carry_forward": CARRY,
     "carry_priority": CARRY_PRIORITY,
@@ -371,6 +461,11 @@ ORACLE_SQL = {
     "node_centroids": CENTROIDS,
     "unsearchable_sources": UNSEARCHABLE,
     "passage_sample": PASSAGES,
+    "vector_lookup": VECTOR_LOOKUP,
+    "success_by_kind": SUCCESS_BY_KIND,
+    "retrieval_controls": RETRIEVAL_CONTROLS,
+    "profile_problems": PROFILE_PROBLEMS,
+    "dead_relative_links": DEAD_RELATIVE,
     "risk_coverage_curve": RISK,
     "aurc": AURC,
     "floors": FLOORS,

@@ -184,6 +184,17 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d/"), i, F.lit(".md")).alias("path"), F.concat(plain, links).alias("body"))
 
 
+def float_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares as they are printed: three decimals by the exact value, ties of binary fractions among them, and the shortest digits."""
+    x = (F.col("l_extendedprice").cast("double") * F.col("l_discount").cast("double") / 7 + F.col("l_linenumber") / 16.0).alias("x")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x, (F.col("l_partkey") / 16.0).alias("tie"))
+    return rows.select("l_orderkey", "l_linenumber", X.fixed(F.col("x"), 3).alias("x3"), X.fixed(F.col("tie"), 3).alias("tie3"), X.rounded(F.col("tie"), 2).alias("tie2"), X.shortest(F.col("tie")).alias("tie_text"))
+
+
+FLOATS = """SELECT l_orderkey, l_linenumber, printf('%.3f', l_extendedprice::DOUBLE * l_discount::DOUBLE / 7 + l_linenumber / 16.0::DOUBLE) AS x3, printf('%.3f', l_partkey / 16.0::DOUBLE) AS tie3,
+printf('%.2f', l_partkey / 16.0::DOUBLE)::DOUBLE AS tie2, (l_partkey / 16.0::DOUBLE)::VARCHAR AS tie_text FROM lineitem"""
+
+
 def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the links of every document lead, code left out."""
     return _linked(spark, sf_dir).select("doc_id", F.array_join(X.link_targets(X.code_free(F.col("body"))), "|").alias("targets"))
@@ -202,12 +213,13 @@ def staged_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STAGED_ASSETS = "SELECT DISTINCT unnest(['d/img/' || doc_id || '.png', 'd/ref-' || doc_id || '.png', 'up.png', 'd/two words.png']) AS path FROM documents WHERE doc_id % 2 = 0"
 
-QUERIES = {f.__name__: f for f in (link_targets, staged_assets, chunk_ceiling, chunk_hash, chunk_concat_roundtrip, markdown_chunks, heading_slugs, node_slugs, embed_input, content_hash_dedup, svg_strip, directive_flag, document_reassembly, unit_tree, window_pack)}
+QUERIES = {f.__name__: f for f in (float_formats, link_targets, staged_assets, chunk_ceiling, chunk_hash, chunk_concat_roundtrip, markdown_chunks, heading_slugs, node_slugs, embed_input, content_hash_dedup, svg_strip, directive_flag, document_reassembly, unit_tree, window_pack)}
 ORACLE_SQL = {
     "chunk_ceiling": CEILING,
     "chunk_hash": HASHES,
     "chunk_concat_roundtrip": ROUNDTRIP,
     "markdown_chunks": MARKDOWN,
+    "float_formats": FLOATS,
     "link_targets": LINK_TARGETS,
     "staged_assets": STAGED_ASSETS,
     "heading_slugs": HEADING_SLUGS,

@@ -1,9 +1,11 @@
 """The commit log and generations built, served and dropped through it."""
 
 import os
+import sys
 import threading
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from corpusloom import files
@@ -14,8 +16,11 @@ from corpusloom.operators import build as B
 from corpusloom.operators import index as I
 from corpusloom.operators import lifecycle as L
 from corpusloom.operators.catalog import Catalog, Change, Conflict
+from corpusloom.operators.vectors import VectorStore
 from corpusloom.sources import markdown
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks don't see the tests
+
 DIM = 16
 CONFIG = EngineConfig(tenant="t", embedding_dim=DIM, text_search_config="english")
 TREE = {
@@ -119,6 +124,44 @@ def test_second_generation_carries_vectors_and_embeds_the_rest(spark, served, tm
     assert B.roll_back(served, "t", "c") == 1
 
 
+class Counted:
+    """Counts the texts that it embeds; one of them can't be."""
+
+    def __init__(self, seen):
+        self.seen = seen
+
+    def embed(self, texts):
+        if any("poison" in t for t in texts):
+            raise ValueError("unreadable")
+        self.seen.add(len(texts))
+        return [[float(len(t))] + [1.0] * (DIM - 1) for t in texts]
+
+    def retryable(self, error):
+        return False
+
+
+def test_a_store_finds_texts_that_moved(spark, tmp_path):
+    catalog, seen = Catalog(spark, str(tmp_path / "catalog")), spark.sparkContext.accumulator(0)
+    store = VectorStore(spark, str(tmp_path / "store"), "t", "c", CONFIG.embedding_model, DIM)
+    pages = TREE | {"bad.md": "a poison that no provider takes, whoever asks for it\n"}
+    make = lambda name, pages, **more: B.build(catalog, tree(spark, str(tmp_path / name), pages), CONFIG, "c", B.allocate(catalog, "t", "c"), Counted(seen), **more)
+    chunks = lambda now, g: now.table("chunks", B.part("t", "c", g))
+    now = make("one", pages, store=store)
+    total = chunks(now, 1).count()
+    assert seen.value == total - 1 and {r["embed_error"] for r in chunks(now, 1).where("embedding_status = 'failed'").collect()} == {"unreadable"}
+    # under another path nothing is carried, as a document's place is part of that key; the store has the texts
+    moved = {k.replace("pay/", "money/"): v for k, v in TREE.items()}
+    now = make("two", moved, store=store)
+    assert seen.value == total - 1 and chunks(now, 2).where("carried_from = 1").count() == chunks(now, 2).count() == total - 1
+    # what only abandoned runs made is embedded again
+    states = now.table("runs").withColumn("state", F.lit("abandoned"))
+    catalog.commit("abandon", lambda now: Change.of(runs=states))
+    now = make("three", TREE, store=store)
+    assert seen.value == 2 * (total - 1) and chunks(now, 3).where("carried_from is not null").count() == 0
+    with pytest.raises(L.Refused, match="declares"):
+        make("four", TREE, store=VectorStore(spark, str(tmp_path / "store"), "t", "c", "other", DIM))
+
+
 def test_what_may_not_be_built(spark, served, tmp_path):
     number = B.allocate(served, "t", "d")
     version = served.latest()
