@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .config import CHARS_PER_TOKEN, CHUNK_POLICY, DOCUMENT_BUDGET_CHARS, MAX_OUTLINE_LIMIT, MAX_SEARCH_K, SEARCH_BUDGET_CHARS, EngineConfig
+from .durable import Scratch
 from .functions import text as X
 from .functions.snapshots import KeyRing, Scope, judged, minted
 from .functions.windows import cursor_at, start_of, window_end
@@ -156,7 +157,7 @@ class Engine:
         else:
             best = (S.keyword_arm(rows, query, most) if index is None else index.arm(query, rows.select("chunk_id"), most)).select("chunk_id", F.col("rank").alias("score"), F.lit(None).cast("double").alias("top_vec_sim"))
         shown = rows.drop("embedding").join(F.broadcast(best), "chunk_id")  # at most MAX_SEARCH_K rows
-        hits = shown.withColumn("content", X.without_diagrams(F.col("content"))).orderBy(F.col("score").desc(), "chunk_id").collect()
+        hits = S.projected(shown).withColumn("content", X.without_diagrams(F.col("content"))).orderBy(F.col("score").desc(), "chunk_id").collect()
         top = hits[0]["top_vec_sim"] if hits else None
         floor = self.config.vector_floor if vector is not None else self.config.keyword_floor
         signal = top if vector is not None else (hits[0]["score"] if hits else None)
@@ -184,7 +185,9 @@ class Engine:
         nodes = self._of(self.nodes, generation)
         rows = H.outline(nodes, self._denied(generation), self.tiers, self.config.default_visibility, anchor, depth, limit + 1, offset)
         content = self._of(self.sources, generation).select("node_id", F.lit(True).alias("has_content")).distinct()
-        rows = rows.join(content, "node_id", "left").withColumn("has_content", F.coalesce("has_content", F.lit(False))).orderBy("sort_key").persist()
+        rows = rows.join(content, "node_id", "left").withColumn("has_content", F.coalesce("has_content", F.lit(False)))
+        # a page and one row more, asked twice
+        rows = Scratch.of(self.spark).keep(rows.coalesce(1)).orderBy("sort_key")
         more = rows.count() > limit
         self._log("outline", f'{{"depth": {depth}, "limit": {limit}, "offset": {offset}}}', generation)
         return rows.limit(limit), offset + limit if more else None

@@ -36,6 +36,61 @@ def in_order(pages: DataFrame, folders: DataFrame) -> DataFrame:
     return rows.join(way, "path", "left").withColumn("sort_key", F.concat(steps, own)).drop("_way", "_index")
 
 
+_PART = "array<struct<ord:double,url:string,folder:string>>"
+
+
+def in_url_order(pages: DataFrame) -> DataFrame:
+    """pages (path, url, order, ...) with sort_key, as the second shell shows them: by declared order and then by url at every level.
+
+    An index.md speaks for its folder, and stands before what is in it; that of the root is a page like
+    others. A folder without one has no order, and stands where the first page in it would stand. So
+    folders are judged from the deepest level up, a round for each level.
+    """
+    index = F.col("path").endswith("/index.md")
+    folder = F.regexp_replace("path", "/?[^/]+$", "")
+    no_order = F.expr("double('Infinity')")
+    rows = pages.withColumn("_index", index).withColumn("_folder", folder)
+    own = F.struct((F.coalesce("order", no_order) + 0.0).alias("ord"), F.col("url").alias("url"), F.lit("").alias("folder"))
+    items = rows.select(F.col("_folder").alias("folder"), "_index", own.alias("item"))
+    spoken = items.where("_index").select("folder", F.col("item").alias("spoken"))
+    files = items.where("not _index").select("folder", "item")
+    parts = F.filter(F.split("folder", "/"), lambda p: p != "")
+    scratch = Scratch.of(pages.sparkSession)
+    folders = scratch.keep(items.select("folder").distinct().withColumn("_parts", parts).select(F.explode(F.transform(F.sequence(F.lit(0), F.size("_parts")), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice("_parts", F.lit(1), k), "/").alias("folder")))).alias("f")).select("f.*").distinct())
+    deepest = folders.agg(F.max("depth")).first()[0] or 0
+    places, below = [], None
+    for depth in range(deepest, 0, -1):
+        inside = files if below is None else files.unionByName(below)
+        first = inside.join(folders.where(F.col("depth") == depth).select("folder"), "folder").groupBy("folder").agg(F.min("item").alias("first"))
+        level = folders.where(F.col("depth") == depth).join(first, "folder", "left").join(spoken, "folder", "left")
+        place = F.struct(F.coalesce("spoken.ord", no_order).alias("ord"), F.coalesce("spoken.url", "first.url").alias("url"), F.element_at(F.split("folder", "/"), -1).alias("folder"))
+        places.append(scratch.keep(level.select("folder", place.alias("place"))))
+        below = places[-1].select(F.regexp_replace("folder", "/?[^/]+$", "").alias("folder"), F.col("place").alias("item"))
+    if not places:
+        return rows.withColumn("sort_key", F.array(own)).drop("_index", "_folder")
+    known = places[0]
+    for more in places[1:]:
+        known = known.unionByName(more)
+    # as many parts as a folder's path has
+    ups = F.transform(F.sequence(F.lit(1), F.size("_parts")), lambda k: F.struct(k.alias("k"), F.array_join(F.slice("_parts", F.lit(1), k), "/").alias("up")))
+    walked = folders.where("depth > 0").select("folder", parts.alias("_parts")).select(F.col("folder").alias("_folder"), F.explode(ups).alias("u")).select("_folder", "u.*")
+    way = walked.join(known.select(F.col("folder").alias("up"), "place"), "up").groupBy("_folder").agg(F.array_sort(F.collect_list(F.struct("k", "place"))).alias("_way"))
+    steps = F.coalesce(F.transform("_way", lambda s: s["place"]), F.array().cast(_PART))
+    tail = F.when(F.col("_index"), F.array().cast(_PART)).otherwise(F.array(own))
+    return rows.join(way, "_folder", "left").withColumn("sort_key", F.concat(steps, tail)).drop("_index", "_folder", "_way")
+
+
+def plain_lines(pages: DataFrame, base: str = "") -> DataFrame:
+    """pages (title, url, description) with line, as the second shell's index has it: a link, and what it says if it says anything."""
+    link = F.concat(F.lit("- ["), "title", F.lit(f"]({base}"), "url", F.lit(")"))
+    return pages.withColumn("line", F.concat(link, F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(": "), "description")).otherwise("")))
+
+
+def plain_full(pages: DataFrame, base: str = "") -> DataFrame:
+    """pages with full, as the second shell has it: title and address, a blank line, the body without white space around it."""
+    return pages.withColumn("full", F.concat(F.lit("# "), "title", F.lit(f" ({base}"), "url", F.lit(")\n\n"), X.stripped(F.coalesce("body", F.lit("")))))
+
+
 def caveat(status: Column) -> Column:
     """The status if it is one to warn of, else null."""
     return F.when(status.isNotNull() & (status != ASSUMED_STATUS), status)

@@ -202,6 +202,20 @@ def hybrid(chunks: DataFrame, vector: list[float], query: str, k: int, key: str
     return fused.orderBy(F.col("score").desc(), key).limit(k).crossJoin(F.broadcast(top))  # the other side is one row
 
 
+#: What a hit of an answer has, in order; the best vector similarity of the answer stands last.
+HIT = ("chunk_id", "source_id", "heading_path_text", "content", "node_id", "stable_id", "slug", "permalink", "score", "top_vec_sim")
+
+
+def projected(hits: DataFrame) -> DataFrame:
+    """hits with the columns of HIT in order. Others, or a similarity of another type than double, are refused: a gate must not read them as no signal."""
+    if sorted(hits.columns) != sorted(HIT):
+        raise TypeError(f"hits have the columns {hits.columns}, an answer has {list(HIT)}")
+    if hits.schema["top_vec_sim"].dataType.simpleString() != "double":
+        raise TypeError(f"top_vec_sim is {hits.schema['top_vec_sim'].dataType.simpleString()}, not double")
+    top = F.when(F.isnan("top_vec_sim"), F.raise_error(F.lit("top_vec_sim is no number")).cast("double")).otherwise(F.col("top_vec_sim"))
+    return hits.withColumn("top_vec_sim", top).select(*HIT)
+
+
 def abstains(top: Column, floor: float | str | None) -> Column:
     """Whether an answer must be withheld: no floor, never; else without a score or under the floor."""
     if floor == "uncalibrated":

@@ -24,7 +24,8 @@ from ..functions import text as X
 
 #: Digests of a lookup that go into the plan as a list; more are joined.
 MOST_LISTED = 500
-BUCKET_DIGITS = 2
+#: Hexadecimal digits of a bucket: sixteen folders, so that an append of few rows writes few files.
+BUCKET_DIGITS = 1
 SCHEMA = "digest string, vector array<double>, generation long"
 INTENTS = ("document", "query")
 

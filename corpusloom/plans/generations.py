@@ -216,7 +216,7 @@ def passage_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PASSAGES = """SELECT source || '-' || lang AS node_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY source || '-' || lang ORDER BY md5(text), doc_id) AS n FROM documents
-WHERE length(regexp_replace(text, '\s', '', 'g')) >= 200 AND doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND doc_id % 11 <> 0 AND lang <> 'de' QUALIFY n <= 3"""
+WHERE length(regexp_replace(text, '\\s', '', 'g')) >= 200 AND doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND doc_id % 11 <> 0 AND lang <> 'de' QUALIFY n <= 3"""
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:

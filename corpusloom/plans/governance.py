@@ -202,6 +202,43 @@ def page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE_ORDER = f"WITH {_PAGES_SQL} SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'fr' THEN -1.5 WHEN 'de' THEN 10.0 ELSE 'Infinity'::DOUBLE END, lang, ord, 'p' || doc_id) AS place FROM pages"
 
 
+def _second_shell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages by their own urls; the first English and the first French page of a source are their folders' index."""
+    pages = _pages(spark, sf_dir)
+    first = pages.where("lang in ('en', 'fr')").groupBy("source", "lang").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("_first"))
+    rows = pages.join(first, "doc_id", "left")
+    folder = F.concat("source", F.lit("/"), "lang")
+    path = F.when(F.col("_first"), F.concat(folder, F.lit("/index.md"))).otherwise(F.col("path"))
+    url = F.when(F.col("_first"), F.concat(F.lit("/docs/"), folder)).otherwise(F.concat(F.lit("/docs/"), F.regexp_replace("path", r"\.md$", "")))
+    return rows.withColumns({"path": path, "url": url}).drop("_first")
+
+
+_SECOND_SQL = f"""{_PAGES_SQL}, s AS (SELECT doc_id, source, lang, title, description, text, ord, lang IN ('en', 'fr') AND doc_id = min(doc_id) OVER (PARTITION BY source, lang) AS first, source || '/' || lang AS folder FROM pages),
+u AS (SELECT *, '/docs/' || folder || CASE WHEN first THEN '' ELSE '/p' || doc_id END AS url FROM s),
+l AS (SELECT source, lang, coalesce(max(ord) FILTER (first), 'Infinity'::DOUBLE) AS lord, coalesce(max(url) FILTER (first), (arg_min(url, (ord, url)) FILTER (NOT first))) AS lurl FROM u GROUP BY ALL)"""
+
+
+def second_shell_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every page of a source, as the second shell orders them."""
+    from pyspark.sql.window import Window
+
+    rows = P.in_url_order(_second_shell(spark, sf_dir))
+    return rows.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("sort_key")).cast("long").alias("place"))
+
+
+SECOND_ORDER = f"WITH {_SECOND_SQL} SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY lord, lurl, lang, NOT first, ord, url) AS place FROM u JOIN l USING (source, lang)"
+
+
+def second_shell_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index line and digest of the full text of every page, as the second shell publishes them."""
+    rows = P.plain_full(P.plain_lines(_second_shell(spark, sf_dir), "https://a.b"), "https://a.b")
+    return rows.select("doc_id", "line", F.sha2("full", 256).alias("digest"))
+
+
+SECOND_TEXTS = f"""WITH {_SECOND_SQL} SELECT doc_id, '- [' || title || '](https://a.b' || url || ')' || coalesce(': ' || description, '') AS line,
+sha256('# ' || title || ' (https://a.b' || url || ')' || chr(10) || chr(10) || regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) AS digest FROM u"""
+
+
 def index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of each source, with what a reader must know of a page's status."""
     lines = P.index_lines(P.with_successor(_pages(spark, sf_dir)))
@@ -294,7 +331,7 @@ c AS (SELECT doc_id, CASE WHEN length(t) <= 300 THEN t WHEN doc_id % 2 = 0 THEN
 
 QUERIES = {
     f.__name__: f
-    for f in (tenant_wall, audience_decisions, denied_dirs, takedown_apply, takedown_revoke, ingest_grants, ungoverned_generations, carry_sources, best_carry_source, space_guard, parents_first, leaves_first, entries_under, page_order, index_text, full_texts, caveat_map, supersession_reverse, stage_plan, stable_ids, vector_contract, vector_literals, clean_cuts)
+    for f in (tenant_wall, audience_decisions, denied_dirs, takedown_apply, takedown_revoke, ingest_grants, ungoverned_generations, carry_sources, best_carry_source, space_guard, parents_first, leaves_first, entries_under, page_order, second_shell_order, second_shell_texts, index_text, full_texts, caveat_map, supersession_reverse, stage_plan, stable_ids, vector_contract, vector_literals, clean_cuts)
 }
 ORACLE_SQL = {
     "tenant_wall": WALL,
@@ -311,6 +348,8 @@ ORACLE_SQL = {
     "leaves_first": LEAVES_FIRST,
     "entries_under": ENTRIES,
     "page_order": PAGE_ORDER,
+    "second_shell_order": SECOND_ORDER,
+    "second_shell_texts": SECOND_TEXTS,
     "index_text": INDEX_TEXT,
     "full_texts": FULL_TEXTS,
     "caveat_map": CAVEATS,

@@ -26,7 +26,7 @@ def test_tree(spark, tmp_path):
 
 
 def test_manifest(spark, tmp_path):
-    good = {"format": 1, "nodes": [{"stable_id": "a", "slug": "a", "title": "A", "kind": "section", "position": 0}], "files": [{"path": "a.md", "node": "a"}]}
+    good = {"format": 1, "corpus_id": "c", "source_commit": "abc", "nodes": [{"stable_id": "a", "slug": "a", "title": "A", "kind": "section", "position": 0}], "files": [{"path": "a.md", "node": "a"}]}
     (tmp_path / "m.json").write_text(json.dumps(good))
     m = M.read_manifest(spark, str(tmp_path / "m.json")).first()
     assert m["nodes"][0]["stable_id"] == "a"
@@ -37,9 +37,50 @@ def test_manifest(spark, tmp_path):
     assert json.loads(M.manifest_json(row).first()["json"]) == {"stable_id": "a", "position": 0}
 
 
+def test_manifests_that_are_refused(spark, tmp_path):
+    node = {"stable_id": "a", "slug": "a", "title": "A", "kind": "section", "position": 0}
+    good = {"format": 1, "corpus_id": "c", "source_commit": "abc", "nodes": [node], "files": [{"path": "a.md", "node": "a"}]}
+    bad = [{"corpus_id": ""}, {"source_commit": None}, {"nodes": [node | {"title": ""}]}, {"nodes": [node | {"governance": {"visibility": ""}}]}, {"nodes": [node | {"governance": ["internal"]}]}, {"nodes": [node | {"position": "first"}]}, {"files": [{"path": "a.md"}]}, {"nodes": {}}]
+    for i, change in enumerate(bad):
+        (tmp_path / f"{i}.json").write_text(json.dumps(good | change))
+        with pytest.raises(Exception):
+            M.read_manifest(spark, str(tmp_path / f"{i}.json")).collect()
+    other = good | {"nodes": [node, node, node | {"stable_id": "b", "parent": "z"}, node | {"stable_id": "c", "governance": {"visibility": "internal"}}], "files": [{"path": "a.md", "node": "y"}, {"path": "a.md", "node": "a"}]}
+    (tmp_path / "m.json").write_text(json.dumps(other))
+    m = M.read_manifest(spark, str(tmp_path / "m.json"))
+    assert m.first()["nodes"][3]["governance"]["visibility"] == "internal"
+    assert {tuple(r) for r in M.manifest_conflicts(m).collect()} == {("duplicate stable_id", "a"), ("unknown parent", "z"), ("unknown node", "y"), ("duplicate path", "a.md"), ("siblings of one slug", "a")}
+
+
+def test_manifest_lines_and_what_is_left_out(spark, tmp_path):
+    pages = {"a/index.md": "---\ntitle: A\nsidebar_position: 1\n---\nx\n", "a/b.md": "---\nvisibility: internal\nprovenance:\n  - p\nweight: 2\norder: 1\n---\nx\n", "c.md": "---\nweight: 3\n---\nx\n", "_h/x.md": "x\n"}
+    for name, text in pages.items():
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_text(text)
+    (tmp_path / "away").mkdir()
+    (tmp_path / "away/secret.md").write_text("secret\n")
+    (tmp_path / "t/linked").symlink_to(tmp_path / "away")
+    (tmp_path / "t/one.md").symlink_to(tmp_path / "away/secret.md")
+    root = str(tmp_path / "t")
+    assert {r["path"] for r in M.links(spark, root).collect()} == {"linked", "one.md"}
+    files = M.read_tree(spark, root)
+    assert {r["path"] for r in files.collect()} == set(pages) - {"_h/x.md"}
+    assert {(r["key"], r["documents"], *r["examples"]) for r in M.foreign_orders(files).collect()} == {("sidebar_position", 1, "a/index.md"), ("weight", 1, "c.md")}
+    docs = M.documents(files)
+    lines = [json.loads(r["json"]) for r in M.manifest_lines(docs, M.nodes(docs)).where("part = 'nodes'").collect()]
+    assert {"stable_id": "a/b", "slug": "b", "title": "B", "kind": "document", "parent": "a/index", "position": 1, "governance": {"visibility": "internal", "provenance": ["p"]}} in lines
+    assert {"stable_id": "c", "slug": "c", "title": "C", "kind": "document", "position": 2} in lines and len(lines) == 3
+    whole = {"format": 1, "corpus_id": "k", "source_commit": "s", "nodes": lines, "files": [json.loads(r["json"]) for r in M.manifest_lines(docs, M.nodes(docs)).where("part = 'files'").collect()]}
+    (tmp_path / "m.json").write_text(json.dumps(whole))
+    assert M.manifest_conflicts(M.read_manifest(spark, str(tmp_path / "m.json"))).isEmpty()
+
+
 def test_questions_and_denylist(spark, tmp_path):
     (tmp_path / "q.txt").write_text("# note\n\n what   is it \nwhat is it\nwhy\n")
     assert sorted(r["q"] for r in M.questions(spark, str(tmp_path / "q.txt")).collect()) == ["what is it", "why"]
+    (tmp_path / "none.txt").write_text("# note\n\n")
+    with pytest.raises(ValueError, match="no question"):
+        M.questions(spark, str(tmp_path / "none.txt"))
     deny = spark.createDataFrame([("b", "node"), ("a", "node"), ("c", "subtree")], "stable_id string, scope string")
     assert json.loads(M.denylist_manifest(deny, "k").first()["json"]) == {"format": 1, "corpus_id": "k", "denied": ["a", "b"], "denied_subtrees": ["c"]}
 
