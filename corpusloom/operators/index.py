@@ -1,6 +1,7 @@
 """Stored lexemes: an inverted index with places, in buckets of terms, written by a build and read by bucket.
 
-A row is a term in a chunk with the term's places there. Rows lie in folders by bucket, a hash of the
+A row is a term in a block of chunks: the chunks that have it, and its places there. A block is what a
+task cuts at once, so a term of many chunks is few rows. Rows lie in folders by bucket, a hash of the
 term, sorted by term in each file, so a query opens the folders of its terms only and skips the
 row groups of other terms. A term that most chunks hold is many rows: they are dealt to as many files
 as they need, whatever their bucket.
@@ -16,7 +17,9 @@ import json
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,28 +31,69 @@ from ..functions.text import tokens
 from .search import cover_of, parse_websearch
 
 BUCKETS = 64
+#: Words that a task works on at once, besides a longer single chunk, and whose lexemes it remembers.
+BLOCK_WORDS, REMEMBERED = 1 << 20, 500_000
 
 
 class Mismatch(ValueError):
     """The stored lexemes are of another configuration than the one declared."""
 
 
+def _runs(lists: pa.Array) -> Iterator[tuple[int, int]]:
+    """Slices (begin, rows) of about BLOCK_WORDS list values, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(lists):
+        end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_WORDS, side="right"))
+        end = max(end, at + 1)
+        yield at, end - at
+        at = end
+
+
 def postings(chunks: DataFrame, config: str, key: str = "chunk_id", content: str = "content") -> DataFrame:
-    """term, key, places (from 0, ascending): one row for each lexeme of each chunk. No shuffle."""
+    """term, key, starts, places: a row for each lexeme of each block of chunks. No shuffle.
+
+    key: the block's chunks that have the lexeme; places: its places in them (from 0, ascending), one chunk
+    after the other; starts: where each chunk's begin.
+    """
     lexeme("", config)  # an unknown configuration fails here
     words = chunks.where(F.col(content).isNotNull()).select(F.col(key).cast("long").alias("key"), tokens(F.col(content)).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str | None] = {}
         for batch in batches:
-            for key_, row in zip(batch.column("key").to_pylist(), batch.column("words")):
-                places: dict[str, list[int]] = {}
-                for place, word in enumerate(row.as_py()):
-                    term = lexeme(word, config)
-                    if term is not None:
-                        places.setdefault(term, []).append(place)
-                yield pa.RecordBatch.from_arrays([pa.array(list(places), pa.string()), pa.array([key_] * len(places), pa.int64()), pa.array(list(places.values()), pa.list_(pa.int32()))], ["term", "key", "places"])
-
-    return words.mapInArrow(run, "term string, key long, places array<int>").withColumnRenamed("key", key)
+            for at, many in _runs(batch.column("words")):
+                part = batch.slice(at, many)
+                words, counts = part.column("words").flatten(), pc.list_value_length(part.column("words")).to_numpy()
+                coded = words.dictionary_encode()
+                # each distinct word of the block is looked up once; words with one lexeme share its number
+                numbers: dict[str, int] = {}
+                if len(known) > REMEMBERED:
+                    known.clear()
+                lexemes = np.empty(len(coded.dictionary), np.int64)
+                for i, word in enumerate(coded.dictionary.to_pylist()):
+                    if word not in known:
+                        known[word] = lexeme(word, config)
+                    term = known[word]
+                    lexemes[i] = -1 if term is None else numbers.setdefault(term, len(numbers))
+                term = lexemes[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+                owner = np.repeat(np.arange(many), counts)
+                place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+                # uses by lexeme and chunk, their places ascending as the sort is stable
+                pair = term * many + owner
+                uses = np.flatnonzero(term >= 0)
+                uses = uses[np.argsort(pair[uses], kind="stable")]
+                first = np.flatnonzero(np.diff(pair[uses], prepend=-1))
+                of = term[uses[first]]
+                head = np.flatnonzero(np.diff(of, prepend=-1))
+                begin = np.append(first[head], len(uses)).astype(np.int32)
+                chunk = np.append(head, len(first)).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(chunk), part.column("key").take(pa.array(owner[uses[first]])))
+                starts = pa.ListArray.from_arrays(pa.array(chunk), pa.array((first - np.repeat(begin[:-1], np.diff(chunk))).astype(np.int32)))
+                places = pa.ListArray.from_arrays(pa.array(begin), pa.array(place[uses].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.string()).take(pa.array(of[head])), keys, starts, places], ["term", "key", "starts", "places"])
+
+    return words.mapInArrow(run, "term string, key array<long>, starts array<int>, places array<int>").withColumnRenamed("key", key)
 
 
 def write(rows: DataFrame, folder: str, config: str, buckets: int = BUCKETS) -> None:
@@ -58,7 +102,7 @@ def write(rows: DataFrame, folder: str, config: str, buckets: int = BUCKETS) ->
     # rebalanced: a bucket that is too large for one task is split
     dealt = rows.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")).hint("rebalance", "bucket")
     dealt.sortWithinPartitions("bucket", "term").write.mode("errorifexists").partitionBy("bucket").parquet(folder)
-    key = next(c for c in rows.columns if c not in ("term", "places"))
+    key = next(c for c in rows.columns if c not in ("term", "starts", "places"))
     files.create(spark, f"{folder}/_index.json", json.dumps({"config": config, "buckets": buckets, "key": key}))
 
 
@@ -72,13 +116,18 @@ class Index:
         self.spark, self.folder, self.config, self.buckets, self.key = spark, folder, about["config"], about["buckets"], about["key"]
 
     def rows(self, terms: list[str]) -> DataFrame:
-        """Postings of these terms; opens their buckets' folders only."""
-        schema = f"term string, {self.key} long, places array<int>"
+        """term, key, places: a row for each of these terms in a chunk; opens their buckets' folders only."""
         folders = [f"{self.folder}/bucket={b}" for b in sorted({zlib.crc32(t.encode()) % self.buckets for t in terms})]
         folders = [f for f in folders if files.exists(self.spark, f)]
         if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*folders).where(F.col("term").isin(terms))
+            return self.spark.createDataFrame([], f"term string, {self.key} long, places array<int>")
+        packed = self.spark.read.schema(f"term string, {self.key} array<long>, starts array<int>, places array<int>").parquet(*folders).where(F.col("term").isin(terms))
+
+        def one(key: Column, i: Column) -> Column:
+            start = F.get("starts", i)
+            return F.struct(key.alias(self.key), F.slice("places", start + 1, F.coalesce(F.get("starts", i + 1), F.size("places")) - start).alias("places"))
+
+        return packed.select("term", F.explode(F.transform(self.key, one)).alias("_use")).select("term", "_use.*")
 
     def asked(self, query: str) -> list[list[tuple[bool, list[tuple[str, int]]]]]:
         """Alternatives of (excluded, lexemes with their offsets) as the configuration has them; terms without a lexeme go."""
