@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import common, mixing, neardup, pieces, pii
+from corpusloom.llm import common, mixing, pieces, pii, simhash
 from corpusloom.llm import toxicity as toxic
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,8 +29,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least doc_id, of each group that is alike by 0.8 or more in five-word shingles."""
-    return neardup.deduplicated(docs.select(*COLUMNS))
+    """One document, the least doc_id, of each component of SimHash fingerprints that differ in 3 bits or fewer."""
+    return simhash.deduplicated(docs.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -253,6 +253,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     first = every.groupBy("digest").agg(F.min(key).alias(key))
     kept = written(first.join(groups.where(F.col("node") != F.col("component")).select(F.col("node").alias(key)), key, "left_anti"), "neardup-kept")
     dropped(groups)
+    return remaining(docs, every, kept, key, text)
+
+
+def remaining(docs: DataFrame, every: DataFrame, kept: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row for each of kept. every, kept: tables of key and digest of the text, of all rows and of those that stay. Few texts are shuffled."""
     # ids of rows that go, or that stand there more than once
     counted = every.groupBy(key, "digest").agg(F.count(F.lit(1)).alias("n"))
     stays = kept.select(F.col(key).alias("_key"), F.col("digest").alias("_kept"))

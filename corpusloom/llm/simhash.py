@@ -14,6 +14,7 @@ its smallest doc_id; null ids don't count unless there are no others. Repeated r
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import blocks, buffers, spread, table, written
 from .components import components
+from .neardup import remaining
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 U64 = np.uint64
@@ -117,6 +119,29 @@ def grouped(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.join(named.join(ids, "root").select("fp", "component_id"), "fp")
 
 
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """docs with one document of each component of linked fingerprints: the least id.
+
+    Of rows that repeat an id and a fingerprint the text of the least digest stays. A component whose ids
+    are all null keeps one row of each text; other null ids go.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, text):
+                data, offsets = buffers(part.column(text))
+                digests = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])]
+                found = simhash(part.column(text), shingle)[:, 0].view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(digests, pa.string()), pa.array(found, pa.int64())], [key, "digest", "fp"])
+
+    every = written(spread(docs).select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, digest string, fp long"), "simhash-every")
+    rows = grouped(every, key)
+    first = rows.where(F.col(key) == F.col("component_id")).groupBy(key, "fp").agg(F.min("digest").alias("digest")).select(key, "digest")
+    alone = rows.where(F.col("component_id").isNull()).select(key, "digest").distinct()
+    kept = written(first.unionByName(alone), "simhash-kept")
+    return remaining(docs, every, kept, key, text)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -58,3 +58,12 @@ def test_stage_on_odd_rows(spark, odd, name, stage):
 @pytest.mark.parametrize("name, stage", P.STAGES)
 def test_stage_on_no_rows(spark, odd, name, stage):
     assert stage(spark, docs(spark, []), odd).collect() == []
+
+
+def test_near_duplicates_are_those_of_the_fingerprints(spark, odd):
+    from corpusloom.llm import simhash
+
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = simhash.grouped(simhash.fingerprints(table.select("doc_id", "text"))).collect()
+    kept = [r["doc_id"] for r in dict(P.STAGES)["simhash_near_dedup"](spark, table, odd).collect()]
+    assert sorted(kept) == sorted({r["component_id"] for r in found}) and len(kept) < len(found)
