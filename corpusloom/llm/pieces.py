@@ -24,6 +24,7 @@ gives back every text that has no U+2581 itself. Bytes that are no UTF-8 decode
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -40,7 +41,8 @@ from .common import blocks, buffers, spread, table, text_batches
 SPACE = "▁"
 #: A word: spaces and what follows them, or line ends. No piece holds a space after another character, or a line end.
 WORD = f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+"
-SAMPLE_DOCUMENTS, DICTIONARY_WORDS = 2000, 12_000
+#: Words of the dictionary, their characters at most, and different words that a task counts before it passes them on.
+DICTIONARY_WORDS, DICTIONARY_CHARS, COUNTED = 12_000, 24, 300_000
 #: Words that a task remembers, the dictionary's among them, and characters of a word worth it.
 REMEMBERED, MOST_REMEMBERED_CHARS = 200_000, 64
 #: Words that are folded at once.
@@ -157,16 +159,35 @@ def encode_by_joins(docs: DataFrame, model: Pieces, key: str = "doc_id") -> Data
     return docs.select(key).join(rows, key, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
 
 
-def dictionary(docs: DataFrame, model: Pieces) -> dict[str, np.ndarray]:
-    """Ids of the commonest words of a sample, at most DICTIONARY_WORDS.
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """word and count: the uses of every word of at most DICTIONARY_CHARS characters in all texts. Tasks add up what they see before the shuffle."""
+    import re
 
-    The sample is by hash, about SAMPLE_DOCUMENTS different texts whatever the corpus, and the same in each run.
-    """
-    share = min(1.0, SAMPLE_DOCUMENTS / max(docs.count(), 1))
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
-    sample = docs.select("text").where(F.col("text").isNotNull() & drawn).distinct()
-    uses = sample.select(F.explode(F.regexp_extract_all(escaped(F.col("text")), F.lit(f"({WORD})"), 1)).alias("word"))
-    common = uses.where(F.length("word") <= 24).groupBy("word").count().orderBy(F.col("count").desc(), "word").limit(DICTIONARY_WORDS).select("word")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, seen = re.compile(WORD), Counter()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "count"])
+
+        for batch in batches:
+            for part in blocks(batch, text):
+                for value in part.column(text).to_pylist():
+                    if value:
+                        seen.update(cut.findall(SPACE + value.replace(" ", SPACE)))
+                for word in [w for w in seen if len(w) > DICTIONARY_CHARS]:
+                    del seen[word]
+                if len(seen) > COUNTED:
+                    yield rows()
+                    seen.clear()
+        if seen:
+            yield rows()
+
+    return docs.select(text).mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
+
+
+def dictionary(docs: DataFrame, model: Pieces) -> dict[str, np.ndarray]:
+    """Ids of the DICTIONARY_WORDS commonest words of all texts."""
+    common = word_counts(spread(docs)).orderBy(F.col("count").desc(), "word").limit(DICTIONARY_WORDS).select("word")
     # the limit leaves one task; folding takes all cores
     common = common.repartition(docs.sparkSession.sparkContext.defaultParallelism, "word")
     return {r["word"]: np.array(r["ids"], np.int32) for r in encode_words(common, model).collect()}
