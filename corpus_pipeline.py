@@ -24,7 +24,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under their language's threshold."""
     docs = docs.select(*COLUMNS)
-    model = toxic.train(docs, common.table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    model = toxic.learned(docs, common.table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxic.scored(common.spread(docs), model).where(~F.col("toxic_flag")).select(*COLUMNS)
 
 
