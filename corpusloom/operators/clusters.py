@@ -129,8 +129,8 @@ class Clusters:
         first = scratch.keep(wide.select("qid", "v", "cluster", F.lit(0.0).alias("from"), F.lit(9.0).alias("to")), pairs=F.count(F.lit(1)))
         found = scratch.keep(self._best(first, k, allowed, leave_out))
         bound = found.where(F.col("r") == k).select("qid", F.sqrt(F.greatest(2 - 2 * F.col("sim"), F.lit(0.0))).alias("b"))
-        rest = self._met(asked.join(bound, "qid", "left").select("qid", "v", F.coalesce("b", F.lit(9.0)).alias("b")), 0, "b")
-        rest = scratch.keep(rest.join(first.select("qid", "cluster"), ["qid", "cluster"], "left_anti").select("qid", "v", "cluster", "from", "to"))
+        rest = self._met(asked.join(bound.hint("merge"), "qid", "left").select("qid", "v", F.coalesce("b", F.lit(9.0)).alias("b")), 0, "b")
+        rest = scratch.keep(rest.join(first.select("qid", "cluster").hint("merge"), ["qid", "cluster"], "left_anti").select("qid", "v", "cluster", "from", "to"))
         both = found.drop("r").unionByName(self._best(rest, k, allowed, leave_out).drop("r"))
         sizes = self.spark.createDataFrame([(int(c), int(n)) for c, n in zip(self.ids, self.n)], "cluster int, n long")
         read = first.select("cluster").unionByName(rest.select("cluster")).join(F.broadcast(sizes), "cluster").agg(F.sum("n")).first()[0] or 0
@@ -164,8 +164,8 @@ class Clusters:
     def _best(self, met: DataFrame, k: int, allowed: DataFrame | None, leave_out: bool) -> DataFrame:
         """The k nearest of each query in the clusters that it meets. Blocks of a cluster's rows meet blocks of its queries."""
         key = self.key
-        rows = self.rows() if allowed is None else self.rows().join(allowed.select(key), key, "left_semi")
-        rows = rows.join(met.select("cluster").distinct(), "cluster", "left_semi")
+        rows = self.rows() if allowed is None else self.rows().join(allowed.select(key).hint("merge"), key, "left_semi")
+        rows = rows.join(F.broadcast(met.select("cluster").distinct()), "cluster", "left_semi")  # MOST_CLUSTERS at most
         # blocks by a hash: about as many rows in each, whatever the cluster's size
         sizes = self.spark.createDataFrame([(int(c), int(-(-n // ROW_BLOCK))) for c, n in zip(self.ids, self.n)], "cluster int, blocks int")
         dealt = rows.join(F.broadcast(sizes), "cluster").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")))
@@ -191,7 +191,8 @@ class Clusters:
                     keep = np.isfinite(sims[row, best])
                     yield pa.RecordBatch.from_arrays([pa.array(qids[row][keep]), pa.array(keys[best][keep]), pa.array(sims[row, best][keep])], ["qid", key, "sim"])
 
-        pairs = known.select("cluster", "rows").join(asked.select("cluster", "queries"), "cluster").select("rows", "queries")
+        # merged: blocks look small while they are packed, and Spark would send all of them through the driver
+        pairs = known.select("cluster", "rows").join(asked.select("cluster", "queries").hint("merge"), "cluster").select("rows", "queries")
         return self._numbered(pairs.mapInArrow(run, T.StructType([T.StructField("qid", T.LongType()), T.StructField(key, T.LongType()), T.StructField("sim", T.DoubleType())])), k)
 
     def _numbered(self, rows: DataFrame, k: int) -> DataFrame:

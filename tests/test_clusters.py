@@ -92,3 +92,17 @@ def test_odd_vectors_and_none(spark, tmp_path):
     none = C.Clusters(spark, str(tmp_path / "none"))
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, vector array<double>")
     assert none.search([1.0, 0.0])[0].count() == 0 and none.search_many(asked, 3)[0].count() == 0
+
+
+def test_what_grows_with_the_rows_is_not_broadcast(spark, index):
+    """Of a search's joins only those on lists of clusters go through the driver."""
+    x, stored = index
+    asked = frame(spark, x).where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"))
+    allowed = frame(spark, x).where("chunk_id % 2 = 1").select("chunk_id")
+    kept = stored._met(C.unit("vector", "qid", asked), 7, None)
+    best = stored._best(kept, 7, allowed, True)
+    best.collect()
+    plan = best._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    built = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert built and all("[cluster#" in line for line in built), built
+    assert plan.count("SortMergeJoin") == 2, plan
