@@ -34,6 +34,16 @@ def order_part(ord_: Column, name: Column) -> Column:
     return F.struct(ord_.cast("double").alias("ord"), name.alias("name"))
 
 
+def looked_up(rows: DataFrame, key: str, other: DataFrame, name: str) -> DataFrame:
+    """rows with the columns of other where rows.key is other.name, or null.
+
+    Merged, as packed columns look small and Spark would send them through the driver; rows without
+    a key stay apart, where they would meet in one task.
+    """
+    found = rows.where(F.col(key).isNotNull()).join(other.hint("merge"), F.col(key) == F.col(name), "left")
+    return found.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def _rounds(rows: DataFrame, scratch: Scratch, above, below: list[tuple[str, object]] = ()) -> DataFrame:
     """Doubles until no node has an ancestor left.
 
@@ -46,12 +56,12 @@ def _rounds(rows: DataFrame, scratch: Scratch, above, below: list[tuple[str, obj
     most, step = max(now.counted["rows"], 1), 1
     while step <= 2 * most and now.counted["climbing"]:
         ancestors = now.select(*[F.col(c).alias(f"u_{c}") for c in now.columns])
-        out = now.join(ancestors, F.col("up") == F.col("u_node_id"), "left")
+        out = looked_up(now, "up", ancestors, "u_node_id")
         columns = above(now.columns, step)
         out = out.select("node_id", F.col("u_up").alias("_up"), *[c.alias(n) for n, c in columns.items()])
         if below:
             sums = now.where("up is not null").groupBy(F.col("up").alias("b_id")).agg(*[f(step).alias(f"b_{name}") for name, f, _ in below])
-            out = out.join(sums, F.col("node_id") == F.col("b_id"), "left")
+            out = out.join(sums.hint("merge"), F.col("node_id") == F.col("b_id"), "left")
             out = out.select("node_id", "_up", *[n for n in columns if n not in {b[0] for b in below}], *[combine(F.col(name), F.col(f"b_{name}")).alias(name) for name, _, combine in below])
         now, before = scratch.keep(out.withColumnRenamed("_up", "up"), climbing=climbing), now
         scratch.drop(before)
@@ -63,7 +73,7 @@ def _parents(rows: DataFrame) -> DataFrame:
     """rows with up: the parent where it is among the rows, and whole: whether the node is a root or may have one."""
     known = rows.groupBy(F.col("node_id").alias("_known")).agg(F.count(F.lit(1)).alias("_n"))
     known = known.select("_known", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("node_id stands more than once: "), F.col("_known").cast("string"))).cast("boolean")).otherwise(True).alias("_once"))
-    out = rows.join(known, F.col("parent_id") == F.col("_known"), "left")
+    out = looked_up(rows, "parent_id", known, "_known")
     return out.withColumn("up", F.when(F.col("_once"), F.col("_known"))).withColumn("whole", F.col("parent_id").isNull() | F.col("_known").isNotNull()).drop("_known", "_once")
 
 
@@ -91,12 +101,12 @@ def labelled(nodes: DataFrame, scratch: Scratch, only: Column | None = None) ->
     """
     rows = nodes if only is None else nodes.where(only)
     rows = scratch.keep(rows)
-    sized = scratch.keep(rows.join(reached(rows, scratch), "node_id"))
+    sized = scratch.keep(rows.join(reached(rows, scratch).hint("merge"), "node_id"))
     siblings = Window.partitionBy("parent_id").orderBy(order_part(F.col("ord"), F.col("slug")), "node_id").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sized.select("node_id", "parent_id", (1 + F.coalesce(F.sum("size").over(siblings), F.lit(0))).alias("pre"))
     rows = _parents(offsets).select("node_id", "up", "pre")
     numbers = _rounds(rows, scratch, lambda columns, step: {"pre": F.col("pre") + F.coalesce("u_pre", F.lit(0))})
-    out = sized.join(numbers.select("node_id", "pre"), "node_id")
+    out = sized.join(numbers.select("node_id", "pre").hint("merge"), "node_id")
     return out.withColumn("last", F.col("pre") + F.col("size") - 1)
 
 
@@ -131,5 +141,5 @@ def within(labels: DataFrame, ranges: DataFrame, scratch: Scratch) -> DataFrame:
     blocks = scratch.keep(ranges.select(F.explode(F.array_compact(F.array(*cut))).alias("b")).select("b.*").distinct())
     used = [r["power"] for r in blocks.select("power").distinct().collect()]  # PLACE_BITS at most
     keys = F.array(*[F.struct(F.lit(p).alias("power"), F.shiftright("pre", p).alias("at")) for p in used])
-    hit = labels.select("pre", F.explode(keys).alias("b")).select("pre", "b.*").join(blocks, ["power", "at"], "left_semi").select("pre").distinct()
-    return labels.join(hit, "pre", "left_semi")
+    hit = labels.select("pre", F.explode(keys).alias("b")).select("pre", "b.*").join(blocks.hint("merge"), ["power", "at"], "left_semi").select("pre").distinct()
+    return labels.join(hit.hint("merge"), "pre", "left_semi")

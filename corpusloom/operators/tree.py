@@ -35,7 +35,7 @@ def walk_down(nodes: DataFrame, only: Column | None = None) -> DataFrame:
         }
 
     done = L._rounds(first, scratch, above).where("up is null and whole")
-    return rows.join(done.select("node_id", "path", (F.size("sort_key") - 1).alias("depth"), "sort_key"), "node_id").select(*rows.columns, "path", "depth", "sort_key")
+    return rows.join(done.select("node_id", "path", (F.size("sort_key") - 1).alias("depth"), "sort_key").hint("merge"), "node_id").select(*rows.columns, "path", "depth", "sort_key")
 
 
 def ancestors(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
@@ -77,10 +77,10 @@ def denied(nodes: DataFrame, denylist: DataFrame) -> DataFrame:
     listed = denylist.groupBy("stable_id").agg(F.bool_or(F.col("scope") == "subtree").alias("cascade"))
     scratch = Scratch.of(nodes.sparkSession)
     if "pre" in nodes.columns:
-        seeds = named.join(listed, "stable_id")
+        seeds = named.join(listed.hint("merge"), "stable_id")
         ranges = seeds.select(F.col("pre").alias("first"), F.when(F.col("cascade"), F.col("last")).otherwise(F.col("pre")).alias("last"))
         return L.within(named, ranges, scratch).select("node_id", "stable_id")
-    marked = named.select("node_id", "parent_id", "stable_id").join(listed, "stable_id", "left")
+    marked = named.select("node_id", "parent_id", "stable_id").join(listed.hint("merge"), "stable_id", "left")
     marked = scratch.keep(marked.select("node_id", "parent_id", "stable_id", F.col("cascade").isNotNull().alias("seed"), F.coalesce("cascade", F.lit(False)).alias("below")))
     if marked.where("below").isEmpty():
         return marked.where("seed").select("node_id", "stable_id").distinct()
@@ -113,12 +113,12 @@ def outline(nodes: DataFrame, denied_ids: DataFrame, tiers: list[str], default:
             top, prefix = base["depth"] + 1, "".join(r["slug"] + "/" for r in above)
             rows = rows.where((F.col("pre") > base["pre"]) & (F.col("pre") <= base["last"]))
     near = rows.where(F.col("depth") <= top + depth)  # one level beyond what is shown counts as children
-    seen = near.where(visible(tiers, default)).join(denied_ids.select("node_id"), "node_id", "left_anti")
+    seen = near.where(visible(tiers, default)).join(denied_ids.select("node_id").hint("merge"), "node_id", "left_anti")
     counts = seen.groupBy("parent_id").agg(F.count(F.lit(1)).alias("child_count")).withColumnRenamed("parent_id", "_p")
     number = F.row_number().over(Window.partitionBy("parent_id").orderBy("pre"))
     out = seen.withColumn("position", number.cast("long")).where(F.col("depth") < top + depth)
-    out = out.join(counts, F.col("node_id") == F.col("_p"), "left").withColumn("child_count", F.coalesce("child_count", F.lit(0)).cast("long")).drop("_p")
-    out = out.join(_paths_from(near.where(F.col("depth") < top + depth), top, depth, scratch), "node_id").withColumn("path", F.concat(F.lit(prefix), "path")).withColumn("sort_key", F.col("pre"))
+    out = out.join(counts.hint("merge"), F.col("node_id") == F.col("_p"), "left").withColumn("child_count", F.coalesce("child_count", F.lit(0)).cast("long")).drop("_p")
+    out = out.join(_paths_from(near.where(F.col("depth") < top + depth), top, depth, scratch).hint("merge"), "node_id").withColumn("path", F.concat(F.lit(prefix), "path")).withColumn("sort_key", F.col("pre"))
     if limit is not None:
         out = out.orderBy("sort_key").offset(offset).limit(limit)
     return out
@@ -132,7 +132,7 @@ def _paths_from(rows: DataFrame, top: int, levels: int, scratch: Scratch) -> Dat
     out = level
     for i in range(1, levels):
         up = level.select(F.col("node_id").alias("_up"), F.col("path").alias("_path"))
-        level = rows.where(F.col("depth") == top + i).join(up, F.col("parent_id") == F.col("_up")).select("node_id", F.concat("_path", F.lit("/"), "slug").alias("path"))
+        level = rows.where(F.col("depth") == top + i).join(up.hint("merge"), F.col("parent_id") == F.col("_up")).select("node_id", F.concat("_path", F.lit("/"), "slug").alias("path"))
         out = out.unionByName(level)
     return out
 

@@ -141,3 +141,22 @@ def test_two_rings_and_none(spark):
 def test_rebased_rows_are_children_seen_from_the_root(spark):
     rows = spark.createDataFrame([("b", 0), ("b/x", 1), ("b/x/y", 2)], "path string, depth int")
     assert [tuple(r) for r in H.rebased(rows, "a/b", 1).collect()] == [("a/b/x", 2), ("a/b/x/y", 3)]
+
+
+def test_nodes_are_not_sent_through_the_driver(spark, monkeypatch):
+    """No join of labels, denials or outlines is a broadcast, which grows with the nodes and takes them along the driver."""
+    plans, keep = [], Scratch.keep
+
+    def noted(self, df, **counted):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df, **counted)
+
+    monkeypatch.setattr(Scratch, "keep", noted)
+    nodes = spark.createDataFrame(forest(200, 4), SCHEMA)
+    deny = spark.createDataFrame([("n9", "subtree"), ("n11", "node")], "stable_id string, scope string")
+    with Scratch(spark) as scratch:
+        labelled = scratch.keep(L.labelled(nodes, scratch, F.col("status") == "published"))
+        for shown in (H.outline(labelled, H.denied(labelled, deny), ["public"], anchor="n1", depth=2), H.outline(labelled, H.denied(nodes, deny), ["public"], depth=9)):
+            plans.append(shown._jdf.queryExecution().executedPlan().toString())
+            assert shown.count()
+    assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
