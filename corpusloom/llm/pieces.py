@@ -13,8 +13,12 @@ grouped by word, and Spark's higher-order aggregate folds them into a segmentati
 
 The corpus has far too many words, and far too many uses of them, for a join of every use: see the
 README's figures for encode_by_joins(). So encode() lets Spark fold the DICTIONARY_WORDS commonest
-words of a bounded sample into a dictionary, at most that large whatever the corpus; tasks read it
-and fold words it lacks by the same rule. Which words it holds changes the speed, never an id.
+words of all texts into a dictionary, at most that large whatever the corpus; tasks read it and fold
+words it lacks by the same rule. Which words it holds changes the speed, never an id. Tasks work on
+Arrow buffers: they cut texts into words by their bytes, number a block's different words, and cut
+those that the dictionary lacks into parts wherever no piece of the model holds the two bytes that
+meet. No merge crosses such a place, so a word's ids are its parts', one after another, and each part
+is folded once.
 
 Defined cases: a null text has null ids, an empty one none. Characters without a piece become the
 byte pieces of their UTF-8. Decoding drops one leading space and turns U+2581 into spaces, so it
@@ -24,14 +28,13 @@ gives back every text that has no U+2581 itself. Bytes that are no UTF-8 decode
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,12 +44,17 @@ from .common import blocks, buffers, spread, table, text_batches
 SPACE = "▁"
 #: A word: spaces and what follows them, or line ends. No piece holds a space after another character, or a line end.
 WORD = f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+"
-#: Words of the dictionary, their characters at most, and different words that a task counts before it passes them on.
-DICTIONARY_WORDS, DICTIONARY_CHARS, COUNTED = 12_000, 24, 300_000
-#: Words that a task remembers, the dictionary's among them, and characters of a word worth it.
-REMEMBERED, MOST_REMEMBERED_CHARS = 200_000, 64
+#: Words of the dictionary, their characters at most, and rows of counts that a task holds before it adds them up and passes them on.
+DICTIONARY_WORDS, DICTIONARY_CHARS, COUNTED = 12_000, 24, 500_000
+#: Parts of words that a task remembers, and characters of a part worth it.
+REMEMBERED, MOST_REMEMBERED_CHARS = 300_000, 64
 #: Words that are folded at once.
-MATRIX_WORDS = 1024
+MATRIX_WORDS = 4096
+#: Bytes of text that are cut and numbered at once, besides a longer single text.
+CUT_BYTES = 1 << 20
+#: Behind every rank: two symbols that make no piece.
+NO_RANK = np.iinfo(np.int32).max
+
 
 
 def model_path() -> str:
@@ -159,28 +167,79 @@ def encode_by_joins(docs: DataFrame, model: Pieces, key: str = "doc_id") -> Data
     return docs.select(key).join(rows, key, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
 
 
+def cut_words(column: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
+    """The words (WORD) of all texts, one after another, with spaces for U+2581, and the number of words of each text. A null text has none."""
+    data, offsets = buffers(column)
+    texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+    try:
+        for text in texts:
+            text.decode()
+    except UnicodeDecodeError:
+        texts = [text.decode("utf-8", "replace").encode() for text in texts]
+    mark = SPACE.encode()
+    texts = [b" " + text.replace(mark, b" ") if text else b"" for text in texts]
+    ends = np.cumsum([len(text) for text in texts], dtype=np.int64)
+    joined = b"".join(texts)
+    code = np.frombuffer(joined, np.uint8)
+    space, line = code == 32, code == 10
+    # a word starts with its text, at both ends of line ends, and at a space after something else
+    start = np.ones(len(code) + 1, bool)
+    start[1:-1] = (line[1:] != line[:-1]) | (space[1:] & ~space[:-1])
+    start[ends] = True
+    at = np.flatnonzero(start)
+    return _cut(joined, at), np.diff(np.searchsorted(at, ends), prepend=0)
+
+
+def _cut(data: bytes | np.ndarray, offsets: np.ndarray) -> pa.StringArray:
+    """UTF-8 data as strings between the offsets."""
+    if offsets[-1] > np.iinfo(np.int32).max:
+        return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+
+
+def joins(model: Pieces) -> np.ndarray:
+    """Whether two bytes can meet within a symbol, by 256 * first + second: within some piece, spaces for U+2581, or within a character."""
+    out = np.zeros((256, 256), bool)
+    out[:, 0x80:0xC0] = True
+    for piece, _, _ in model.pieces:
+        code = np.frombuffer(piece.replace(SPACE, " ").encode(), np.uint8)
+        out[code[:-1], code[1:]] = True
+    return out.ravel()
+
+
+def cut_parts(words: pa.StringArray, meets: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+    """The parts of all words, one after another, and the number of parts of each word. meets: as joins() gives it."""
+    if not len(words):
+        return words, np.zeros(0, np.int64)
+    data, offsets = buffers(words)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    start = np.ones(len(data) + 1, bool)
+    start[1:-1] = ~meets[data[:-1].astype(np.uint16) << 8 | data[1:]]
+    start[offsets] = True
+    at = np.flatnonzero(start)
+    return _cut(data, at), np.diff(np.searchsorted(at, offsets))
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """word and count: the uses of every word of at most DICTIONARY_CHARS characters in all texts. Tasks add up what they see before the shuffle."""
-    import re
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, seen = re.compile(WORD), Counter()
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "count"])
+    def added(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("count", "sum")])
+        return pa.RecordBatch.from_arrays([rows["word"].combine_chunks(), rows["count_sum"].combine_chunks()], ["word", "count"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for part in blocks(batch, text):
-                for value in part.column(text).to_pylist():
-                    if value:
-                        seen.update(cut.findall(SPACE + value.replace(" ", SPACE)))
-                for word in [w for w in seen if len(w) > DICTIONARY_CHARS]:
-                    del seen[word]
-                if len(seen) > COUNTED:
-                    yield rows()
-                    seen.clear()
-        if seen:
-            yield rows()
+            for part in blocks(batch, text, CUT_BYTES):
+                words, counts = cut_words(part.column(text))[0].value_counts().flatten()
+                few = pc.less_equal(pc.utf8_length(words), DICTIONARY_CHARS)
+                words = pc.replace_substring(words.filter(few), " ", SPACE).cast(pa.string())
+                held.append(pa.RecordBatch.from_arrays([words, counts.filter(few)], ["word", "count"]))
+                if sum(b.num_rows for b in held) > COUNTED:
+                    yield added(held)
+                    held = []
+        if held:
+            yield added(held)
 
     return docs.select(text).mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
@@ -249,69 +308,119 @@ def _fold_long(parts: list[str], pieces: dict[str, tuple[float, int]]) -> list[s
     return [p for p in parts if p]
 
 
+def gathered(ids: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the entries `at`, one after another, and how many each has. ids: those of all entries, counts of each."""
+    n = counts[at]
+    ends = np.cumsum(n)
+    first = (np.cumsum(counts) - counts)[at]
+    return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + n, n)], n
+
+
+def flat(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, one after another, and how many each has."""
+    return np.concatenate([np.zeros(0, np.int32), *words]), np.array([len(w) for w in words], np.int64)
+
+
 class Merges:
     """The merges fold for many words at once: matrices of symbols, one merge of each word a step.
 
-    Two symbols make a piece if they are its halves; keys of all such pairs are sorted.
+    Two symbols make a piece if they are its halves. All such pairs lie in one table: that of left and
+    right at base[left] + right, if the owner of that place is left. Ranks count scores from the highest.
     """
 
     def __init__(self, pieces: dict[str, tuple[float, int]], byte_base: int) -> None:
         self.pieces, self.byte_base = pieces, byte_base
-        halves = sorted((pieces[p[:k]][1] << 32 | pieces[p[k:]][1], score, i) for p, (score, i) in pieces.items() for k in range(1, len(p)) if p[:k] in pieces and p[k:] in pieces)
-        self.keys, self.into = np.array([h[0] for h in halves] or [-1], np.int64), np.array([h[2] for h in halves] or [-1], np.int32)
-        self.scores = np.array([h[1] for h in halves] or [-np.inf])
+        ranks = {score: k for k, score in enumerate(sorted({score for score, _ in pieces.values()}, reverse=True))}
+        halves: dict[int, list[tuple[int, int, int]]] = {}
+        for p, (score, i) in pieces.items():
+            for k in range(1, len(p)):
+                if p[:k] in pieces and p[k:] in pieces:
+                    halves.setdefault(pieces[p[:k]][1], []).append((pieces[p[k:]][1], ranks[score], i))
+        # symbol `none` is no piece
+        self.none = max((i for _, i in pieces.values()), default=0) + 1
+        span = 4 * sum(map(len, halves.values())) + 1
+        self.base = np.zeros(self.none + 1, np.int64)
+        self.owner = np.full(span + self.none + 1, -1, np.int32)
+        self.rank, self.into = np.full(len(self.owner), NO_RANK, np.int32), np.full(len(self.owner), -1, np.int32)
+        # longest rows first, each at the first of some places where it meets no other
+        places = np.random.default_rng(0)
+        for left, row in sorted(halves.items(), key=lambda x: (-len(x[1]), x[0])):
+            right, rank, into = np.array(row).T
+            while (self.owner[(base := int(places.integers(span))) + right] >= 0).any():
+                pass
+            self.base[left] = base
+            self.owner[base + right], self.rank[base + right], self.into[base + right] = left, rank, into
         # one more place than the greatest character needs: for all beyond it
-        self.symbol = np.full(max((ord(p) for p in pieces if len(p) == 1), default=0) + 2, -1, np.int32)
+        self.symbol = np.full(max((ord(p) for p in pieces if len(p) == 1), default=0) + 2, self.none, np.int32)
         for p, (_, i) in pieces.items():
             if len(p) == 1:
                 self.symbol[ord(p)] = i
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Score and piece of neighbours; minus infinity where they make none."""
-        key = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.scores[at], -np.inf), self.into[at]
+        """Rank and piece of neighbours; NO_RANK where they make none."""
+        at = self.base[left] + right
+        return np.where(self.owner[at] == left, self.rank[at], NO_RANK), self.into[at]
 
     def fold(self, words: list[str]) -> dict[str, np.ndarray]:
-        """Ids of each word. Long words and those with a character that is no piece go one by one."""
-        out: dict[str, np.ndarray] = {}
-        words = sorted(words, key=len)
-        for at in range(0, len(words), MATRIX_WORDS):
-            some = words[at : at + MATRIX_WORDS]
-            n = np.array([len(w) for w in some])
-            some, n = some[: np.searchsorted(n, MOST_REMEMBERED_CHARS, side="right")], n[n <= MOST_REMEMBERED_CHARS]
-            if some:
-                rows = np.full((len(some), n[-1]), -1, np.int32)
-                code = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32)
-                rows[np.arange(n[-1]) < n[:, None]] = self.symbol[np.minimum(code, len(self.symbol) - 1)]
-                whole = np.flatnonzero((rows >= 0).sum(axis=1) == n)
-                rows = self._merged(rows[whole])
-                ends = np.cumsum((rows >= 0).sum(axis=1))
-                flat = rows[rows >= 0]
-                out |= {some[k]: flat[a:b] for k, a, b in zip(whole, [0, *ends[:-1]], ends)}
-        return out | {w: fold_word(w, self.pieces, self.byte_base) for w in words if w not in out}
+        """Ids of each word."""
+        ids, counts = self.folded(pa.array(words, pa.string()))
+        return dict(zip(words, np.split(ids, np.cumsum(counts)[:-1]))) if words else {}
+
+    def folded(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and how many each has. Long words and those with a character that is no piece go one by one."""
+        if not len(words):
+            return flat([])
+        data, offsets = buffers(words)
+        code = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes().decode().encode("utf-32-le"), np.uint32)
+        symbols = self.symbol[np.minimum(code, len(self.symbol) - 1)]
+        n = np.asarray(pc.utf8_length(words)).astype(np.int64)
+        first = np.cumsum(n) - n
+        alone = n > MOST_REMEMBERED_CHARS
+        alone[np.repeat(np.arange(len(n)), n)[symbols == self.none]] = True
+        order = np.flatnonzero(~alone)
+        order = order[np.argsort(n[order], kind="stable")]
+        ids, counts = [], []
+        for at in range(0, len(order), MATRIX_WORDS):
+            some = order[at : at + MATRIX_WORDS]
+            place = np.arange(n[some[-1]])[:, None]
+            rows = np.where(place < n[some], symbols[np.minimum(first[some] + place, len(symbols) - 1)], self.none)
+            left = self._merged(rows).T
+            kept = left != self.none
+            ids.append(left[kept])
+            counts.append(kept.sum(axis=1))
+        slow = np.flatnonzero(alone)
+        singly = flat([fold_word(w, self.pieces, self.byte_base) for w in words.take(pa.array(slow)).to_pylist()])
+        back = np.empty(len(n), np.int64)
+        back[np.concatenate([order, slow])] = np.arange(len(n))
+        return gathered(np.concatenate([*ids, singly[0]]), np.concatenate([*counts, singly[1]]), back)
 
     def _merged(self, rows: np.ndarray) -> np.ndarray:
-        """rows of symbols, -1 behind the last, after all their merges: symbols that went are -1."""
-        # a column of -1 ends each row: no pair crosses it
-        rows = np.pad(rows, ((0, 0), (0, 1)), constant_values=-1)
-        symbols, width = rows.ravel(), rows.shape[1]
-        after, before = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols) - 1)
-        scores, into = self.pairs(symbols, np.append(symbols[1:], -1))
-        table_, live = scores.reshape(rows.shape), np.arange(len(rows))
-        while len(live):
-            own = table_[live]
-            best = own.argmax(axis=1)  # the leftmost of equal ones
-            go = own[np.arange(len(live)), best] > -np.inf
-            live = live[go]
-            here = live * width + best[go]
+        """rows, a word in each column and `none` behind its last symbol, after all merges: symbols that went are `none`."""
+        # a row of `none` ends the words: no pair crosses it
+        rows = np.pad(rows, ((0, 1), (0, 0)), constant_values=self.none)
+        height, width = rows.shape
+        symbols, last = rows.ravel(), (height - 1) * width
+        after, before = np.arange(len(symbols)) + width, np.arange(len(symbols)) - width
+        after[last:] -= width
+        ranks, into = self.pairs(symbols, symbols[after])
+        # the least of rank and place: the leftmost of equal ones
+        table_ = (ranks.astype(np.int64) * height).reshape(rows.shape) + np.arange(height)[:, None]
+        keys = table_.ravel()
+        none = NO_RANK * height
+        while True:
+            best = table_.min(axis=0)
+            column = np.flatnonzero(best < none)
+            if not len(column):
+                return rows
+            here = best[column] % height * width + column
             gone = after[here]
-            symbols[here], symbols[gone], scores[gone] = into[here], -1, -np.inf
-            after[here] = after[gone]
-            before[after[here]] = here
-            near = np.concatenate([here, before[here]])
-            scores[near], into[near] = self.pairs(symbols[near], symbols[np.minimum(after[near], len(symbols) - 1)])
-        return symbols.reshape(rows.shape)
+            next_ = after[gone]
+            symbols[here], symbols[gone], keys[gone] = into[here], self.none, none
+            after[here], before[next_] = next_, here
+            near, following = np.concatenate([here, before[here]]), np.concatenate([next_, here])
+            found, into[near] = self.pairs(symbols[near], symbols[following])
+            # what is before a word's first symbol, a negative place, is the last row, which has no rank
+            keys[near] = found.astype(np.int64) * height + near // width % height
 
 
 def _viterbi_word(word: str, pieces: dict[str, tuple[float, int]], byte_base: int, longest: int, unknown: float = -1000.0) -> np.ndarray:
@@ -341,6 +450,7 @@ class Decoder:
             parts[i] = p.replace(SPACE, " ").encode()
         for b in range(256):
             parts[model.byte_base + b] = bytes([b])
+        self.parts = pa.array(parts, pa.large_binary())
         self.length = np.array([len(p) for p in parts], np.int64)
         self.start = np.cumsum(self.length) - self.length
         self.data = np.frombuffer(b"".join(parts), np.uint8)
@@ -352,47 +462,74 @@ class Decoder:
         out = self.data[at].tobytes()
         return out[1:] if out[:1] == b" " else out
 
+    def digests(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """Digest of what the ids of each text decode to. ids: those of all texts, counts of each."""
+        sizes = np.concatenate([[0], np.cumsum(self.length[ids])])
+        data = memoryview(self.parts.take(pa.array(ids)).buffers()[2] or b"").cast("B")
+        ends = np.cumsum(counts)
+        bounds = ((int(a), int(b)) for a, b in zip(sizes[ends - counts], sizes[ends]))
+        return [hashlib.sha256(data[a + (a < b and data[a] == 32) : b]).hexdigest() for a, b in bounds]
+
 
 def encoded(df: DataFrame, model: Pieces, words: dict[str, np.ndarray], text: str = "text") -> DataFrame:
     """df with ids instead of the text, n_tokens, and decoded_sha256: the digest of the decoded ids. They replace columns of these names."""
-    import re
-
     rest = [f for f in df.schema.fields if f.name not in (text, "ids", "n_tokens", "decoded_sha256")]
     schema = T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_sha256", T.StringType())])
     # the model's size and DICTIONARY_WORDS bound it
-    shared = df.sparkSession.sparkContext.broadcast((model, words, None if model.unigram else Merges(model.by_piece(), model.byte_base)))
+    shared = df.sparkSession.sparkContext.broadcast((model, [w.replace(SPACE, " ") for w in words], flat(list(words.values())), joins(model), None if model.unigram else Merges(model.by_piece(), model.byte_base)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known, joins = shared.value
-        decoder, cut, own = Decoder(model), re.compile(WORD), dict(known)
-
-        def fold(words: list[str]) -> dict[str, np.ndarray]:
-            if joins:
-                return joins.fold(words)
-            pieces = model.by_piece()
-            return {w: _viterbi_word(w, pieces, model.byte_base, model.longest) for w in words}
+        model, known, known_ids, meets, merges_ = shared.value
+        decoder, known, pieces = Decoder(model), pa.array(known, pa.string()), merges_.pieces if merges_ else model.by_piece()
+        parts, part_ids = pa.array([], pa.string()), flat([])
+
+        def fold(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+            words = pc.replace_substring(words, " ", SPACE)
+            if merges_:
+                return merges_.folded(words)
+            return flat([_viterbi_word(w, pieces, model.byte_base, model.longest) for w in words.to_pylist()])
+
+        def coded(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+            """Ids of words that the dictionary lacks, and how many each has."""
+            nonlocal parts, part_ids
+            some, n = cut_parts(words, meets) if merges_ else (words, np.ones(len(words), np.int64))
+            some = some.dictionary_encode()
+            if len(parts) >= REMEMBERED:
+                parts, part_ids = pa.array([], pa.string()), flat([])
+            at = pc.index_in(some.dictionary, parts)
+            new = some.dictionary.filter(at.is_null()).cast(pa.string())
+            new_ids = fold(new)
+            ids, counts = np.concatenate([part_ids[0], new_ids[0]]), np.concatenate([part_ids[1], new_ids[1]])
+            place = np.array(at.fill_null(-1)).astype(np.int64)
+            place[place < 0] = len(parts) + np.arange(len(new))
+            short = np.asarray(pc.utf8_length(new)) <= MOST_REMEMBERED_CHARS
+            part_ids = tuple(np.concatenate(x) for x in zip(part_ids, gathered(*new_ids, np.flatnonzero(short))))
+            parts = pa.concat_arrays([parts, new.filter(pa.array(short))])
+            ids, counts = gathered(ids, counts, place[np.asarray(some.indices)])
+            sums = np.concatenate([[0], np.cumsum(counts)])
+            ends = np.cumsum(n)
+            return ids, sums[ends] - sums[ends - n]
 
         for batch in batches:
-            for part in blocks(batch, text):
-                data, offsets = buffers(part.column(text))
-                ids, digests = [], []
-                values = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
-                words = [cut.findall(SPACE + v.replace(" ", SPACE)) if v else [] for v in values]
-                if len(own) >= REMEMBERED:
-                    own = dict(known)
-                lacking = list(set(chain.from_iterable(words)).difference(own))
-                own |= fold(lacking)
-                for uses in words:
-                    found = [own[w] for w in uses]
-                    ids.append(np.concatenate(found) if found else np.zeros(0, np.int32))
-                    digests.append(hashlib.sha256(decoder.decode(ids[-1])).hexdigest())
-                for w in lacking:
-                    if len(w) > MOST_REMEMBERED_CHARS:
-                        del own[w]
-                counts = np.array([len(i) for i in ids], np.int64)
-                null = np.array(part.column(text).is_null())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate(ids)), mask=pa.array(null) if null.any() else None)
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in rest), lists, pa.array(counts, mask=null), pa.array(digests, pa.string(), mask=null)], schema.names)
+            for part in blocks(batch, text, CUT_BYTES):
+                words, n = cut_words(part.column(text))
+                words = words.dictionary_encode()
+                different = words.dictionary.cast(pa.string())
+                at = pc.index_in(different, known)
+                own = coded(different.filter(at.is_null()))
+                place = np.array(at.fill_null(-1)).astype(np.int64)
+                place[place < 0] = len(known) + np.arange(len(own[1]))
+                coded_words, place = tuple(np.concatenate(x) for x in zip(known_ids, own)), place[np.asarray(words.indices)]
+                ends, row = np.concatenate([[0], np.cumsum(n)]), 0
+                # ids take more room than words: fewer texts at once
+                for some in blocks(part, text):
+                    bounds = ends[row : row + some.num_rows + 1]
+                    ids, counts = gathered(*coded_words, place[bounds[0] : bounds[-1]])
+                    offsets = np.concatenate([[0], np.cumsum(counts)])[bounds - bounds[0]]
+                    counts, null = np.diff(offsets), np.array(some.column(text).is_null())
+                    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array(null) if null.any() else None)
+                    yield pa.RecordBatch.from_arrays([*(some.column(f.name) for f in rest), lists, pa.array(counts, mask=null), pa.array(decoder.digests(ids, counts), pa.string(), mask=null)], schema.names)
+                    row += some.num_rows
 
     return df.mapInArrow(run, schema)
 
