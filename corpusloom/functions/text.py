@@ -225,9 +225,9 @@ def markdown_path(url: Column) -> Column:
 
 
 def ceiling_slices(text: Column, size: int) -> Column:
-    """The text in slices of at most size code points, as (ordinal, content)."""
-    last = F.greatest(F.ceil(F.length(text) / size).cast("int"), F.lit(1)) - 1
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("ordinal"), F.substring(text, i * size + 1, F.lit(size)).alias("content")))
+    """The text in slices of at most size code points, as (ordinal, content), in one pass. Of no text there is one slice, null or empty like it."""
+    slices = F.when(F.length(text) > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), 0)).otherwise(F.array(text))
+    return F.transform(slices, lambda x, i: F.struct(i.alias("ordinal"), x.alias("content")))
 
 
 def tokens(text: Column) -> Column:

@@ -50,3 +50,7 @@ def same_as_sql_on_odd_texts(spark, folder, name):
 
 def test_chunks_put_together_are_any_text(spark, tmp_path):
     same_as_sql_on_odd_texts(spark, tmp_path, "chunk_concat_roundtrip")
+
+
+def test_hashes_of_the_chunks_of_any_text(spark, tmp_path):
+    same_as_sql_on_odd_texts(spark, tmp_path, "chunk_hash")
